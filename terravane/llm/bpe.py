@@ -7,6 +7,7 @@ or white space on both sides of a space are encoded whole.
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
@@ -14,6 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 DEFAULT = "byte_bpe_50k.json"
+#: White space, a superset of the pattern's own.
+BLANK = r"[\s\x{b}\x{1c}-\x{1f}\x{85}\pZ]"
 _encoders: dict[str, Encoder] = {}
 
 
@@ -30,14 +33,10 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _blank(s: str) -> bool:
-    return not s or s.isspace()
-
-
 class Encoder:
     """encode() gives the ids of texts, end to end, and where each text's ids begin."""
 
-    def __init__(self, path: str, max_cached: int = 400_000) -> None:
+    def __init__(self, path: str, max_cached: int = 800_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -46,8 +45,6 @@ class Encoder:
         self.n_bytes = np.zeros(self.tok.get_vocab_size(), np.int64)  # a byte-level token has a character for each byte
         for token, i in self.tok.get_vocab().items():
             self.n_bytes[i] = len(token)
-        import json
-
         kind = json.loads(self.tok.to_str())
         pre = kind.get("pre_tokenizer") or {}
         self.by_chunk = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not kind.get("normalizer")
@@ -55,9 +52,9 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.slot: dict[str, int] = {}
+        self.slot: dict[str, dict[str, int]] = {" ": {}, "": {}}  # by what stands before the chunk
         self.start, self.size, self.pool = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
-        self.used = 0
+        self.n_slots = self.used = 0
 
     def tokens(self) -> list[str]:
         out = [""] * len(self.n_bytes)
@@ -80,28 +77,26 @@ class Encoder:
         off, values = off - off[0], values.slice(off[0], off[-1] - off[0])
         first = np.zeros(len(values), bool)
         first[off[:-1]] = True
-        codes = np.empty(len(values), np.int64)
-        keys: list[str] = []
-        tail, head = [], []  # ends or begins with white space beyond its own leading space
+        at = np.empty(len(values), np.int64)
+        tail, head = np.zeros(len(values), bool), np.zeros(len(values), bool)
         for mask, lead in ((~first, " "), (first, "")):
             part = values.filter(pa.array(mask)).dictionary_encode()
-            names = part.dictionary.to_pylist()
-            codes[mask] = np.asarray(part.indices, np.int64) + len(keys)
-            keys += [lead + s for s in names]
-            tail += [(_blank(s[-1:]) and bool(s or lead)) for s in names]
-            head += [(_blank(s[:1]) and bool(lead)) for s in names]
-        slots = self._slots(keys)
-        bad = np.array(tail)[codes[:-1]] & np.array(head)[codes[1:]] & ~first[1:]
+            codes, names = np.asarray(part.indices), part.dictionary
+            at[mask] = self._slots(lead, names.to_pylist())[codes]
+            # ends or begins with white space beyond the space before it
+            empty = pc.equal(names, "").to_numpy(zero_copy_only=False) & bool(lead)
+            tail[mask] = (pc.match_substring_regex(names, BLANK + "$").to_numpy(zero_copy_only=False) | empty)[codes]
+            head[mask] = (pc.match_substring_regex(names, "^" + BLANK).to_numpy(zero_copy_only=False) & bool(lead) | empty)[codes]
+        bad = tail[:-1] & head[1:] & ~first[1:]
         if bad.any():
             whole[np.searchsorted(off, np.flatnonzero(bad), "right") - 1] = True
-        at = slots[codes]
         start, size = self.start[at], self.size[at]
         ends = np.r_[0, np.cumsum(size)]
         ids = self.pool[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])]
         doc_off = ends[off]
         if whole.any():
             ids, doc_off = self._patched(ids, doc_off, np.flatnonzero(whole), texts)
-        if len(self.slot) > self.max_cached:
+        if self.n_slots > self.max_cached:
             self._clear()
         return ids, doc_off
 
@@ -119,43 +114,34 @@ class Encoder:
             sizes[row] = new_off[k + 1] - new_off[k]
         return np.concatenate([*parts, ids[at:]]), np.r_[0, np.cumsum(sizes)]
 
-    def _slots(self, keys: list[str]) -> np.ndarray:
-        """Where each key's ids are in the pool; keys that aren't there are encoded."""
-        get = self.slot.get
-        slots = np.array([get(k, -1) for k in keys], np.int64)
-        missing = [keys[i] for i in np.flatnonzero(slots < 0)]
-        if missing:
-            missing = list(dict.fromkeys(missing))
-            plain = [k for k in missing if len(k) > 1 and k[0] == " " and not k[1].isspace() and not k[-1].isspace()]
-            other = [k for k in missing if not (len(k) > 1 and k[0] == " " and not k[1].isspace() and not k[-1].isspace())]
-            for k in range(0, len(plain), 20_000):
-                self._add_joined(plain[k : k + 20_000])
-            self._add(other, [e.ids for e in self.tok.encode_batch(other, add_special_tokens=False)])
-            slots = np.array([get(k, -1) for k in keys], np.int64)
-        return slots
-
-    def _add_joined(self, keys: list[str]) -> None:
-        """Encode keys as one text and cut its ids at their byte lengths."""
-        ids = np.array(self.tok.encode("".join(keys), add_special_tokens=False).ids, np.int64)
-        ends = np.cumsum(self.n_bytes[ids])
-        due = np.cumsum([len(k.encode()) for k in keys])
-        cut = np.searchsorted(ends, due) + 1
-        if cut[-1] > len(ids) or (ends[cut - 1] != due).any():  # never with a byte-level pattern; then one by one
-            self._add(keys, [e.ids for e in self.tok.encode_batch(keys, add_special_tokens=False)])
-            return
-        self._add_arrays(keys, ids, np.diff(np.r_[0, cut]))
-
-    def _add(self, keys: list[str], found: list[list[int]]) -> None:
-        self._add_arrays(keys, np.array([i for ids in found for i in ids], np.int64), np.array([len(x) for x in found], np.int64))
-
-    def _add_arrays(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        n = len(self.slot)
-        while n + len(keys) > len(self.start):
+    def _slots(self, lead: str, names: list[str]) -> np.ndarray:
+        """Where each chunk's ids are in the pool; chunks that aren't there are encoded."""
+        known = self.slot[lead]
+        missing = [k for k in names if k not in known]
+        plain = [k for k in missing if k and not k[0].isspace() and not k[-1].isspace()] if lead else []
+        other = [k for k in missing if not k or k[0].isspace() or k[-1].isspace()] if lead else missing
+        groups = [plain[k : k + 200] for k in range(0, len(plain), 200)]
+        for group, e in zip(groups, self.tok.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.int64)
+            due = np.cumsum([len(k.encode()) + 1 for k in group])  # cut the ids of the joined text at bytes
+            ends = np.cumsum(self.n_bytes[ids])
+            cut = np.searchsorted(ends, due) + 1
+            if cut[-1] > len(ids) or (ends[cut - 1] != due).any():  # never with a byte-level pattern; then one by one
+                other += group
+            else:
+                self._add(lead, group, ids, np.diff(np.r_[0, cut]))
+        found = [e.ids for e in self.tok.encode_batch_fast([lead + k for k in other], add_special_tokens=False)]
+        self._add(lead, other, np.array([i for ids in found for i in ids], np.int64), np.array([len(x) for x in found], np.int64))
+        return np.fromiter(map(known.__getitem__, names), np.int64, len(names))
+
+    def _add(self, lead: str, names: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, used = self.n_slots, self.used
+        while n + len(names) > len(self.start):
             self.start, self.size = np.r_[self.start, self.start * 0], np.r_[self.size, self.size * 0]
-        while self.used + len(ids) > len(self.pool):
+        while used + len(ids) > len(self.pool):
             self.pool = np.r_[self.pool, self.pool * 0]
-        self.pool[self.used : self.used + len(ids)] = ids
-        self.start[n : n + len(keys)] = self.used + np.cumsum(sizes) - sizes
-        self.size[n : n + len(keys)] = sizes
-        self.slot.update(zip(keys, range(n, n + len(keys)), strict=True))
-        self.used += len(ids)
+        self.pool[used : used + len(ids)] = ids
+        self.start[n : n + len(names)] = used + np.cumsum(sizes) - sizes
+        self.size[n : n + len(names)] = sizes
+        self.slot[lead].update(zip(names, range(n, n + len(names)), strict=True))
+        self.n_slots, self.used = n + len(names), used + len(ids)
