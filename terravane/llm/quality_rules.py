@@ -135,12 +135,20 @@ def cover(grow: list, prune: list, cuts: list[tuple[str, list[float]]], min_prec
             bad, good = _sums(prune, conditions[:k])
             return ((bad + 1) / (bad + good + 2), -k)
 
-        conditions = conditions[: max(range(1, len(conditions) + 1), key=worth)]
-        (bad, good), (all_bad, all_good) = _sums(prune, conditions), (a + b for a, b in zip(_sums(prune, conditions), _sums(grow, conditions), strict=True))
-        if bad + good and bad < min_precision * (bad + good) or all_bad < max(min_rows, min_precision * (all_bad + all_good)):
-            return rules
-        rules.append(Rule(tuple((cuts[f][0], above, cuts[f][1][k]) for f, above, k in conditions), all_bad + all_good, all_good))
-        grow, prune = ([c for c in cells if not _holds(c[0], conditions)] for cells in (grow, prune))
+        pruned = conditions[: max(range(1, len(conditions) + 1), key=worth)]
+        taken = next((c for c in (pruned, conditions) if _precise(c, grow, prune, min_precision, min_rows)), None)
+        if taken:
+            bad, good = _sums(grow + prune, taken)
+            rules.append(Rule(tuple((cuts[f][0], above, cuts[f][1][k]) for f, above, k in taken), bad + good, good))
+            grow, prune = ([c for c in cells if not _holds(c[0], taken)] for cells in (grow, prune))
+        else:  # these bad rows can't be told from good ones: grow without them
+            grow = [c for c in grow if c[1] or not _holds(c[0], conditions)]
+
+
+def _precise(conditions: list, grow: list, prune: list, min_precision: float, min_rows: int) -> bool:
+    """Whether enough rows are covered, and few enough good ones, on all rows and on those held out."""
+    held, both = _sums(prune, conditions), _sums(grow + prune, conditions)
+    return both[0] >= min_rows and all(bad >= min_precision * (bad + good) for bad, good in (held, both))
 
 
 def _grow(cells: list, cuts: list, min_rows: int) -> list[tuple[int, bool, int]]:
