@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terravane.llm import line_dedup, packing, quality_rules, sharding, token_files, warc
+from terravane.llm import line_dedup, ngram_join, packing, quality_rules, sharding, token_files, warc
 from terravane.llm._shared import new_path, staged, table
 from terravane.llm.bpe import tokenizer_path
 
@@ -48,6 +48,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("position").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose shingle sets have a Jaccard similarity of 0.75 or more."""
+    return ngram_join.similar_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 2048 tokens."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -69,7 +74,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.with_global_start(token_files.read_documents(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_quality_rules, op5_sharding, op8_packing, op9_line_dedup, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_quality_rules, op5_sharding, op6_ngram_join, op8_packing, op9_line_dedup, op10_token_files)}
 
 SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
