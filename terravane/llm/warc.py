@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 from pyspark.sql.types import StructType
 
+from terravane.llm._shared import staged
+
 #: The alphabet of RFC 4648.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 END = "\r\n\r\n"
@@ -59,7 +61,8 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", payload_col: str = "
         .where("n > 1")
         .drop("n")
     )
-    page = page.join(groups, "payload_digest", "left")
+    # written first, so that Spark knows its size: payloads are shuffled only if it is too large to broadcast
+    page = page.join(staged(groups, "warc-groups"), "payload_digest", "left")
     revisit = F.col("first_id").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("first_id"))
     return page.withColumns({
         "record_type": F.when(revisit, "revisit").otherwise("response"),
