@@ -31,7 +31,7 @@ from terravane.llm.components import connected_components
 
 WORDS, PERCENT = 5, 75
 #: Text bytes of a block of documents; sets and hashes of a group that one task takes.
-BLOCK_BYTES, GROUP_SETS, GROUP_HASHES = 32 << 20, 10_000, 2_000_000
+BLOCK_BYTES, GROUP_SETS, GROUP_HASHES = 8 << 20, 10_000, 2_000_000
 #: Odd multipliers for mixing 64-bit hashes.
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -75,8 +75,10 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.nd
     if not out:
         return np.zeros(0, np.uint64), np.zeros(len(n) + 1, np.int64)
     h, doc = np.concatenate(out), np.concatenate(doc)
-    order = np.lexsort((h, doc))
-    h, doc = h[order], doc[order]
+    order = np.argsort(h)
+    doc = doc[order]
+    order = order[np.argsort(doc.astype(np.uint16) if len(n) < 65536 else doc, kind="stable")]  # 16 bits: by radix
+    h, doc = h[order], np.sort(doc)
     new = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]
     h, doc = h[new], doc[new]
     return h, np.r_[0, np.cumsum(np.bincount(doc, minlength=len(n)))]
@@ -132,73 +134,104 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def _cuts(n_buckets: int) -> np.ndarray:
+    """Where the buckets' ranges of 48-bit hashes begin and end."""
+    return (np.arange(n_buckets + 1, dtype=object) * (1 << 48) // n_buckets).astype(np.uint64)
+
+
+def _codes(digest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First rows of the distinct digests, and of each row the place of its digest among them."""
+    _, first, code = np.unique(digest, return_index=True, return_inverse=True)
+    return first, code.reshape(-1)
+
+
 def _scatter(n_buckets: int, words: int):
+    """Blocks of documents to (bucket, blob): one blob of the documents, and for each range of hashes its postings.
+
+    A posting names its set by a place in the blob's list of 64-bit digests; the other half of a digest and the set's
+    size travel once, with its smallest hash.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches):
             ids = block.column(0).to_numpy()
             h, off = shingle_sets(block.column(1).combine_chunks(), words)
+            del block
             digest, n = set_digests(h, off), np.diff(off)
             rows = [(-1 - int(np.uint64(ids[0]) % np.uint64(n_buckets)), _put(ids, n, digest.reshape(-1)))]
-            _, first = np.unique(np.ascontiguousarray(digest).view("V16").reshape(-1), return_index=True)
             kept = np.zeros(len(n), bool)
-            kept[first] = True
+            kept[_codes(np.ascontiguousarray(digest).view("V16").reshape(-1))[0]] = True
             kept &= n > 0
-            of = np.repeat(np.cumsum(kept) - 1, n)
-            mask = np.repeat(kept, n)
-            h, of = h[mask] >> np.uint64(16), of[mask]
+            h = h[np.repeat(kept, n)] >> np.uint64(16)
             digest, n = digest[kept], n[kept]
-            order = np.argsort(h, kind="stable")
-            h, of = h[order], of[order]
-            cuts = np.searchsorted(h, (np.arange(n_buckets + 1, dtype=object) * (1 << 48) // n_buckets).astype(np.uint64))
+            of = np.repeat(np.arange(len(n), dtype=np.uint32), n)
+            home = np.zeros(len(h), bool)
+            home[np.cumsum(n) - n] = True  # the smallest of each set
+            order = np.argsort(h)
+            h, of, home = h[order], of[order], home[order]
+            cuts = np.searchsorted(h, _cuts(n_buckets))
             for b in np.flatnonzero(np.diff(cuts)):
-                part, owner = h[cuts[b] : cuts[b + 1]], of[cuts[b] : cuts[b + 1]]
-                owners, owner = np.unique(owner, return_inverse=True)
+                at = slice(cuts[b], cuts[b + 1])
+                part = h[at]
+                owners, owner = np.unique(of[at], return_inverse=True)
                 delta = np.diff(part, prepend=part[:1])
                 if delta.max(initial=0) < 1 << 32:
                     delta = delta.astype("<u4")
-                rows.append((int(b), _put(part[:1], delta, owner.astype("<u2" if len(owners) < 65536 else "<u4"), digest[owners].reshape(-1), n[owners].astype("<u4"))))
-            for batch in _rows(BUCKETS, rows).to_batches(max_chunksize=64):
-                yield batch
+                own = of[at][home[at]]
+                rows.append((int(b), _put(part[:1], delta, owner.astype("<u2" if len(owners) < 65536 else "<u4"), digest[owners, 0], digest[own].reshape(-1), n[own].astype("<u4"))))
+            yield from _rows(BUCKETS, rows).to_batches(max_chunksize=64)
 
     return run
 
 
-def _count(n_parts: int):
+def _count(n_buckets: int, n_parts: int):
     """Counts the sets of each hash and sends hashes of two sets or more back to the parts of their sets."""
     def run(key: tuple, data: pa.Table) -> pa.Table:
         bucket = key[0].as_py()
         if bucket < 0:  # documents pass through
             return _rows(PARTS, [(0, -1, b.as_py()) for b in data.column("blob")])
-        hashes, owners, digests, sizes, base = [], [], [], [], 0
-        for blob in data.column("blob"):
-            first, delta, owner, digest, n = _get(blob.as_buffer())
-            hashes.append(first + np.cumsum(delta, dtype=np.uint64))
-            owners.append(owner.astype(np.int64) + base)
-            digests.append(digest.reshape(-1, 2))
-            sizes.append(n)
-            base += len(n)
-        digest, size = np.concatenate(digests), np.concatenate(sizes)
-        _, first, code = np.unique(np.ascontiguousarray(digest).view("V16").reshape(-1), return_index=True, return_inverse=True)
-        digest, size = digest[first], size[first]
-        h, owner = np.concatenate(hashes), code.reshape(-1)[np.concatenate(owners)]
-        order = np.lexsort((owner, h))
-        h, owner = h[order], owner[order]
-        new = np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]
-        h, owner = h[new], owner[new]
+        blobs = [_get(b.as_buffer()) for b in data.column("blob")]
+        digest = np.concatenate([b[3] for b in blobs])
+        home, size = np.concatenate([b[4].reshape(-1, 2) for b in blobs]), np.concatenate([b[5] for b in blobs])
+        first, code = _codes(digest)
+        digest = digest[first]
+        low, bits = _cuts(n_buckets)[bucket], np.uint64(max(1, len(digest).bit_length()))
+        packed, at, base = np.empty(sum(len(b[1]) for b in blobs), np.uint64), 0, 0
+        wide = np.empty(0 if (1 << 48) // n_buckets < 1 << (64 - int(bits)) else len(packed), np.uint64)
+        for start, delta, owner, own, _, _ in blobs:  # hash and set in one number, where they fit
+            h, to = start - low + np.cumsum(delta, dtype=np.uint64), slice(at, at + len(delta))
+            if len(wide):
+                wide[to] = h
+            packed[to] = (h << bits) * np.uint64(not len(wide)) | code[base : base + len(own)].astype(np.uint64)[owner]
+            at, base = at + len(delta), base + len(own)
+        del blobs, data
+        if len(wide):
+            order = np.lexsort((packed, wide))
+            h, owner = wide[order], packed[order].astype(np.uint32)
+            new = np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]
+            h, owner = h[new], owner[new]
+        else:
+            packed.sort()
+            packed = packed[np.r_[True, packed[1:] != packed[:-1]]]
+            h, owner = packed >> bits, (packed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.uint32)
+        del packed, wide
         start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         count = np.diff(np.r_[start, len(h)])
-        df = np.repeat(count, count)
-        shared = df > 1
-        h, owner, df = h[shared], owner[shared], np.minimum(df[shared], 65535).astype("<u2")
-        part = (digest[:, 0] % np.uint64(n_parts)).astype(np.int64)
+        shared = np.repeat(count > 1, count)
+        h, owner = h[shared] + low, owner[shared]
+        count = count[count > 1]
+        df = np.repeat(np.minimum(count, 65535).astype("<u2"), count)
+        part = (digest % np.uint64(n_parts)).astype(np.int64)
         order = np.lexsort((owner, part[owner]))
         h, owner, df = h[order], owner[order], df[order]
         cuts = np.searchsorted(part[owner], np.arange(n_parts + 1))
+        home_part = (home[:, 0] % np.uint64(n_parts)).astype(np.int64)
         rows = []
-        for p in np.flatnonzero(np.diff(cuts)):
+        for p in range(n_parts):
             a, b = cuts[p], cuts[p + 1]
-            own, first, count = np.unique(owner[a:b], return_index=True, return_counts=True)
-            rows.append((1, int(p), _put(digest[own].reshape(-1), size[own], count.astype("<u4"), h[a:b], df[a:b])))
+            at = np.flatnonzero(home_part == p)
+            if b > a or len(at):
+                own, count = np.unique(owner[a:b], return_counts=True)
+                rows.append((1, p, _put(home[at].reshape(-1), size[at], digest[own], count.astype("<u4"), h[a:b], df[a:b])))
         return _rows(PARTS, rows)
 
     return run
@@ -211,14 +244,14 @@ def _survivors(percent: int):
     """Sets whose prefix holds shared hashes; hashes: those of two sets or more, rarest first; prefix: how many of
     them are in the set's prefix."""
     def run(key: tuple, data: pa.Table) -> pa.Table:
-        digests, sizes, counts, hashes, dfs = zip(*(_get(b.as_buffer()) for b in data.column("blob")), strict=True)
-        digest, size = np.concatenate(digests).reshape(-1, 2), np.concatenate(sizes).astype(np.int64)
-        _, first, code = np.unique(np.ascontiguousarray(digest).view("V16").reshape(-1), return_index=True, return_inverse=True)
-        owner = np.repeat(code.reshape(-1), np.concatenate(counts))
-        h, df = np.concatenate(hashes), np.concatenate(dfs)
-        order = np.lexsort((h, df, owner))
-        h, owner = h[order], owner[order]
-        digest, size = digest[first], size[first]
+        homes, sizes, digests, counts, hashes, dfs = map(np.concatenate, zip(*(_get(b.as_buffer()) for b in data.column("blob")), strict=True))
+        digest, size = homes.reshape(-1, 2), sizes.astype(np.int64)
+        order = np.argsort(digest[:, 0])  # blocks of documents may hold the same set
+        order = order[np.r_[True, np.diff(digest[order, 0]) > 0]] if len(order) else order
+        digest, size = digest[order], size[order]
+        owner = np.repeat(np.searchsorted(digest[:, 0], digests), counts)
+        order = np.lexsort((hashes, dfs, owner))
+        h, owner = hashes[order], owner[order]
         shared = np.bincount(owner, minlength=len(size))
         prefix = np.minimum(shared, size + (-percent * size // 100) + 1 - (size - shared))  # -ceil(x) = floor(-x)
         ends = np.cumsum(shared)
@@ -395,9 +428,10 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least percent / 100; a component's id is its smallest document id."""
     spark = docs.sparkSession
     n = slices(spark)
+    buckets = max(4, 2 * n // 3)  # few, as each block lists its sets for each; a task holds a number for each posting
     texts = docs.select(row_key(F.col(id_col)).alias("doc"), F.col(text_col).alias("text"))
-    blobs = texts.mapInArrow(_scatter(n, words), "bucket int, blob binary")
-    counted = staged(blobs.groupBy("bucket").applyInArrow(_count(n), "kind int, part int, blob binary"), "shingles")
+    blobs = texts.mapInArrow(_scatter(buckets, words), "bucket int, blob binary")
+    counted = staged(blobs.groupBy("bucket").applyInArrow(_count(buckets, n), "kind int, part int, blob binary"), "shingles")
 
     sets = counted.where("kind = 1").select("part", "blob").groupBy("part").applyInArrow(_survivors(percent), "sid binary, n int, prefix int, n_hashes int, hashes binary")
     sets = staged(sets, "sets")
