@@ -40,7 +40,8 @@ def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     order = ["h1", "h2", "doc", "pos"]
     ranged = rows.repartitionByRange(slices(rows.sparkSession), *order).sortWithinPartitions(*order)
     first = ranged.groupBy("h1", "h2").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc"))
-    first = first.where("first_doc < last_doc").drop("last_doc")
+    # written, so that the join has plain exchanges below it and Spark may split a very common key's rows
+    first = staged(first.where("first_doc < last_doc").drop("last_doc"), "first-lines")
     lost = rows.join(first, ["h1", "h2"]).where("doc > first_doc")
     word = lost.groupBy("doc", "text_hash", F.shiftright("pos", 6).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, pos & 63)")).alias("bits")
