@@ -457,3 +457,18 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     out = members.join(first, "label", "left").withColumn("component", F.when(F.col("n_shingles") > 0, F.col("first")).otherwise(F.col("doc")))
     named = lambda c: F.nullif(F.col(c), F.lit(MAX_LONG))
     return out.select(named("doc").alias(id_col), "n_shingles", named("component").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The document of the smallest id of each component, and of repeated rows with its id and text one.
+
+    Rows without an id can't be named by others and stay.
+    """
+    members = staged(similar_components(docs, id_col, text_col).select(id_col, "component_id"), "components")
+    gone = staged(members.where(F.col("component_id") < F.col(id_col)).select(id_col).distinct(), "gone")
+    kept = docs.join(gone, id_col, "left_anti")
+    repeated = staged(members.groupBy(id_col).count().where(f"count > 1 AND `{id_col}` IS NOT NULL").select(id_col), "repeated")
+    if repeated.head(1):
+        again = kept.join(repeated, id_col, "left_semi").dropDuplicates([id_col, text_col])
+        kept = kept.join(repeated, id_col, "left_anti").unionByName(again)
+    return kept.select(docs.columns)

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terravane.llm._shared import SPACE, SPACE_CLASS
+from terravane.llm._shared import SPACE, SPACE_CLASS, staged
 
 #: Labelled rows that the list is fitted on at most: those of the smallest id hashes.
 MAX_LABELLED = 20_000
@@ -181,3 +181,19 @@ def judged(counts: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> Data
     rated = features(counts)
     rules = learn(rated.drop("quality").join(labels.select(id_col, "quality"), id_col), id_col)
     return rated.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules)).drop(*FEATURES)
+
+
+def labelled_features(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """FEATURES and quality of the labelled rows that learn() would take, counted for these alone."""
+    few = labels.select(id_col, "quality").where(F.col("quality").isin(0, 1)).orderBy(F.xxhash64(id_col), "quality").limit(max_labelled)
+    rows = docs.select(id_col, text_col).join(F.broadcast(few), id_col)  # at most max_labelled
+    return features(with_counts(rows, text_col).drop(text_col))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that base rules and learned list keep, with their own columns."""
+    named = {c: f"_in_{k}" for k, c in enumerate(docs.columns)}  # own columns may have the counts' names
+    rules = learn(staged(labelled_features(docs, labels, id_col, text_col), "labelled"), id_col)
+    rated = features(with_counts(docs.withColumnsRenamed(named), named[text_col]))
+    kept = rated.where(~base_failed() & verdict(rules))
+    return kept.select(*(F.col(f"`{new}`").alias(c) for c, new in named.items()))
