@@ -195,5 +195,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     named = {c: f"_in_{k}" for k, c in enumerate(docs.columns)}  # own columns may have the counts' names
     rules = learn(staged(labelled_features(docs, labels, id_col, text_col), "labelled"), id_col)
     rated = features(with_counts(docs.withColumnsRenamed(named), named[text_col]))
-    kept = rated.where(~base_failed() & verdict(rules))
+    # a column that isn't deterministic keeps Spark from moving the filter below the counts, which would copy their
+    # expressions into each of its conditions
+    rated = rated.withColumn("_row", F.monotonically_increasing_id())
+    kept = rated.where(~base_failed() & verdict(rules) & (F.col("_row") >= 0))
     return kept.select(*(F.col(f"`{new}`").alias(c) for c, new in named.items()))

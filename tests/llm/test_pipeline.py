@@ -8,6 +8,7 @@ import pytest
 from test_ngram_join import brute
 
 from terravane.llm import quality_rules
+from terravane.llm._shared import staged
 
 
 @pytest.mark.parametrize("where", ["sf", "edge"])
@@ -40,7 +41,7 @@ def test_rules_take_effect(spark):
     where = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{where}/{t}.parquet") for t in ("documents", "labels"))
     kept = {r.doc_id for r in quality_rules.keep_good(docs, labels).select("doc_id").collect()}
-    rated = quality_rules.judged(quality_rules.with_counts(docs).drop("text"), labels)
+    rated = quality_rules.judged(staged(quality_rules.with_counts(docs).drop("text"), "counts"), labels)
     assert kept == {r.doc_id for r in rated.where("kept").collect()}
 
 
