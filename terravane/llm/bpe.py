@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 DEFAULT = "byte_bpe_50k.json"
 #: White space, a superset of the pattern's own.
 BLANK = r"[\s\x{b}\x{1c}-\x{1f}\x{85}\pZ]"
+#: Text that is cut into chunks at a time: what bounds a worker's memory.
+SLICE_BYTES = 12 << 20
 _encoders: dict[str, Encoder] = {}
 
 
@@ -36,7 +38,7 @@ def encoder(path: str) -> Encoder:
 class Encoder:
     """encode() gives the ids of texts, end to end, and where each text's ids begin."""
 
-    def __init__(self, path: str, max_cached: int = 800_000) -> None:
+    def __init__(self, path: str, max_cached: int = 600_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -64,9 +66,13 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(texts, "")
+        step = max(1, len(texts) * SLICE_BYTES // max(texts.nbytes, 1))
+        parts = [self._encode(texts.slice(k, step)) for k in range(0, len(texts), step)]
+        sizes = np.concatenate([np.zeros(1, np.int64), *(np.diff(off) for _, off in parts)])
+        return np.concatenate([np.zeros(0, np.uint32), *(ids for ids, _ in parts)]), np.cumsum(sizes)
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         n = len(texts)
-        if not n:
-            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
         whole = np.full(n, not self.by_chunk)
         for s in self.special:
             whole |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)

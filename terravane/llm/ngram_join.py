@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terravane.llm._shared import MAX_LONG, row_key, slices, staged
+from terravane.llm._shared import MAX_LONG, release_memory, row_key, slices, staged
 from terravane.llm.components import connected_components
 
 WORDS, PERCENT = 5, 75
@@ -179,6 +179,8 @@ def _scatter(n_buckets: int, words: int):
                 own = of[at][home[at]]
                 rows.append((int(b), _put(part[:1], delta, owner.astype("<u2" if len(owners) < 65536 else "<u4"), digest[owners, 0], digest[own].reshape(-1), n[own].astype("<u4"))))
             yield from _rows(BUCKETS, rows).to_batches(max_chunksize=64)
+            del h, of, home, order, rows
+            release_memory()
 
     return run
 
@@ -232,6 +234,8 @@ def _count(n_buckets: int, n_parts: int):
             if b > a or len(at):
                 own, count = np.unique(owner[a:b], return_counts=True)
                 rows.append((1, p, _put(home[at].reshape(-1), size[at], digest[own], count.astype("<u4"), h[a:b], df[a:b])))
+        del h, owner, df, order, shared, start
+        release_memory()
         return _rows(PARTS, rows)
 
     return run

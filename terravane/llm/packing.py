@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from terravane.llm._shared import release_memory
 from terravane.llm.bpe import encoder
 from terravane.llm.token_files import in_order
 
@@ -146,6 +147,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = LENGTH,
                 yield batch_of(rows)
                 rows = []
         rows += packer.pack()
+        release_memory()
         if rows:
             yield batch_of(rows)
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terravane.llm._shared import slices, staged
+from terravane.llm._shared import release_memory, slices, staged
 from terravane.llm.bpe import encoder
 
 MAGIC = b"TVID0001"
@@ -139,6 +139,7 @@ def encode_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
                     yield flush()
         if held:
             yield flush()
+        release_memory()
 
     rows = in_order(docs, id_col, text_col).mapInArrow(write, "value binary")
     rows.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", 1).text(path)
