@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terravane.llm import line_dedup, ngram_join, packing, quality_rules, sharding, token_files, warc, webp
+from terravane.llm import line_dedup, ngram_join, packing, quality_rules, sharding, token_files, viterbi, warc, webp
 from terravane.llm._shared import new_path, staged, table
 from terravane.llm.bpe import tokenizer_path
 
@@ -58,6 +58,11 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text by streaming Viterbi search, and the text that they decode to."""
+    return viterbi.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 2048 tokens."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -79,7 +84,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.with_global_start(token_files.read_documents(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_quality_rules, op4_webp, op5_sharding, op6_ngram_join, op8_packing, op9_line_dedup, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_quality_rules, op4_webp, op5_sharding, op6_ngram_join, op7_sentencepiece, op8_packing, op9_line_dedup, op10_token_files)}
 
 SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
