@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terravane.llm import line_dedup, ngram_join, packing, quality_rules, sharding, token_files, viterbi, warc, webp
+from terravane.llm import license_scan, line_dedup, ngram_join, packing, quality_rules, sharding, token_files, viterbi, warc, webp
 from terravane.llm._shared import new_path, staged, table
 from terravane.llm.bpe import tokenizer_path
 
@@ -35,6 +35,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(counts, labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licences that each whole text states."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_scan.scan(docs).select("doc_id", "licenses")
+
+
 def op4_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts stored as lossless WebP, read back and described."""
     return webp.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -84,7 +90,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.with_global_start(token_files.read_documents(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_quality_rules, op4_webp, op5_sharding, op6_ngram_join, op7_sentencepiece, op8_packing, op9_line_dedup, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_license_scan, op4_webp, op5_sharding, op6_ngram_join, op7_sentencepiece, op8_packing, op9_line_dedup, op10_token_files)}
 
 SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
