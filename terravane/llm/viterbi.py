@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-MAX_CACHED = 400_000
+MAX_CACHED = 1_000_000
 
 
 class Pieces:
@@ -42,7 +42,8 @@ class Pieces:
         self.score = {self.names[i]: (float(sp.get_score(i)), i) for i in normal}
         self.longest = max(map(len, self.score))
         self.missing = min(s for s, _ in self.score.values()) - 10.0  # of a character without a piece
-        self.of_byte = {i: b for b, i in self.byte.items()}
+        of_byte = {i: b for b, i in self.byte.items()}
+        self.raw = [bytes([of_byte[i]]) if i in of_byte else name.replace(MARK, " ").encode() for i, name in enumerate(self.names)]
         self.cuts = not any(MARK in p.lstrip(MARK) for p in self.score)
         self.cached: dict[str, list[int]] = {}
 
@@ -85,12 +86,33 @@ class Pieces:
         return out[::-1]
 
     def ids(self, stretch: str) -> list[int]:
+        """Ids of a stretch; one shorter than the window is searched at once."""
+        if len(stretch) < 2 * self.longest:
+            return self._short(stretch)
         out: list[int] = []
         for run in self.committed(stretch):
             for piece, text in run:
                 out += [piece] if piece >= 0 else [self.byte[b] for b in text.encode()]
         return out
 
+    def _short(self, stretch: str) -> list[int]:
+        get, longest, missing = self.score.get, self.longest, self.missing
+        best, way = [0.0], [(0, -1)]
+        for end in range(1, len(stretch) + 1):
+            top, choice = best[end - 1] + missing, (end - 1, -1)
+            for start in range(end - 1, max(end - longest, 0) - 1, -1):
+                if (found := get(stretch[start:end])) and best[start] + found[0] >= top:
+                    top, choice = best[start] + found[0], (start, found[1])
+            best.append(top)
+            way.append(choice)
+        out: list[int] = []
+        end = len(stretch)
+        while end:
+            start, piece = way[end]
+            out += [piece] if piece >= 0 else [self.byte[b] for b in reversed(stretch[start:end].encode())]
+            end = start
+        return out[::-1]
+
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
@@ -115,8 +137,7 @@ class Pieces:
         return out
 
     def decode(self, ids: Iterable[int]) -> str:
-        raw = b"".join(bytes([self.of_byte[i]]) if i in self.of_byte else self.names[i].replace(MARK, " ").encode() for i in ids)
-        return raw[1:].decode()
+        return b"".join(map(self.raw.__getitem__, ids))[1:].decode()
 
 
 @cache
