@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-MAX_CACHED = 1_000_000
+MAX_CACHED = 2_000_000
 
 
 class Pieces:
