@@ -1,17 +1,21 @@
 """Geometry values and ST_* functions as native Column expressions.
 
 A geometry is a struct of its type, SRID, bounding box and paths: one path of one vertex for a point, one path for a
-line, rings (shell first) for a polygon. Bounding boxes are plain columns, so their tests prune Parquet row groups and
+line, rings (shell first) for a polygon, and for a multi-polygon the rings of all, shells turning left and holes right. Bounding boxes are plain columns, so their tests prune Parquet row groups and
 join cells come from arithmetic. Null in, null out.
 """
 
 from __future__ import annotations
 
+import functools
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-POINT, LINESTRING, POLYGON, MULTIPOINT, MULTILINESTRING = 1, 2, 3, 4, 5
-NAMES = {POINT: "Point", LINESTRING: "LineString", POLYGON: "Polygon", MULTIPOINT: "MultiPoint", MULTILINESTRING: "MultiLineString"}
+POINT, LINESTRING, POLYGON, MULTIPOINT, MULTILINESTRING, MULTIPOLYGON = 1, 2, 3, 4, 5, 6
+NAMES = {POINT: "Point", LINESTRING: "LineString", POLYGON: "Polygon", MULTIPOINT: "MultiPoint", MULTILINESTRING: "MultiLineString", MULTIPOLYGON: "MultiPolygon"}
 GEOM = "struct<gtype:tinyint,srid:int,xmin:double,ymin:double,xmax:double,ymax:double,paths:array<array<struct<x:double,y:double>>>>"
 BASE32 = "0123456789bcdefghjkmnpqrstuvwxyz"
 
@@ -28,15 +32,35 @@ def vertex(x: Column, y: Column) -> Column:
     return F.struct(x.alias("x"), y.alias("y"))
 
 
+def bind(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def once(f):
+    """Bind the first argument, unless it is a plain column: nested calls would copy it each time it is named."""
+    @functools.wraps(f)
+    def call(g, *args, **kw):
+        plain = isinstance(g, str) or re.fullmatch(r"Column<'[\w.]+'>", repr(g))
+        return f(g, *args, **kw) if plain else bind(g, lambda v: f(v, *args, **kw))
+
+    return call
+
+
 def make(gtype: Column, paths: Column, srid: Column | None = None) -> Column:
     """A geometry of paths, with its bounding box."""
-    flat = F.flatten(paths)
-    xs, ys = F.transform(flat, lambda p: p.x), F.transform(flat, lambda p: p.y)
-    out = F.struct(
-        gtype.cast("tinyint").alias("gtype"), (F.lit(0) if srid is None else srid).cast("int").alias("srid"),
-        F.array_min(xs).alias("xmin"), F.array_min(ys).alias("ymin"), F.array_max(xs).alias("xmax"), F.array_max(ys).alias("ymax"), paths.alias("paths"),
-    )
-    return F.when(paths.isNotNull() & gtype.isNotNull(), out)
+    raw = F.struct(gtype.cast("tinyint").alias("gtype"), paths.alias("paths"), (F.lit(0) if srid is None else srid).cast("int").alias("srid"))
+
+    def built(r: Column) -> Column:
+        flat = F.flatten(r.paths)
+        xs, ys = F.transform(flat, lambda p: p.x), F.transform(flat, lambda p: p.y)
+        out = F.struct(
+            r.gtype.alias("gtype"), r.srid.alias("srid"), F.array_min(xs).alias("xmin"), F.array_min(ys).alias("ymin"),
+            F.array_max(xs).alias("xmax"), F.array_max(ys).alias("ymax"), r.paths.alias("paths"),
+        )
+        return F.when(r.paths.isNotNull() & r.gtype.isNotNull(), out)
+
+    return bind(raw, built)
 
 
 def _bounded(gtype: int, xmin: Column, ymin: Column, xmax: Column, ymax: Column, paths: Column) -> Column:
@@ -55,13 +79,18 @@ def st_polygonfromenvelope(xmin, ymin, xmax, ymax) -> Column:
     return _bounded(POLYGON, F.least(a, c), F.least(b, d), F.greatest(a, c), F.greatest(b, d), F.array(ring))
 
 
+def _exactly(delim) -> Column:
+    """A pattern of the delimiter itself."""
+    return F.concat(F.lit("\\Q"), delim if isinstance(delim, Column) else F.lit(delim), F.lit("\\E"))
+
+
 def _pairs(text: Column, delim: str) -> Column:
-    n = F.transform(F.split(text, delim if delim.isalnum() else "\\" + delim), lambda t: F.trim(t).try_cast("double"))
-    return F.transform(F.sequence(F.lit(0), F.size(n) / 2 - 1), lambda k: vertex(F.get(n, (2 * k).cast("int")), F.get(n, (2 * k + 1).cast("int"))))
+    n = F.transform(F.split(text, _exactly(delim)), lambda t: F.trim(t).try_cast("double"))
+    return F.transform(F.sequence(F.lit(0), F.floor(F.size(n) / 2).cast("int") - 1), lambda k: vertex(F.get(n, 2 * k), F.get(n, 2 * k + 1)))
 
 
 def st_pointfromtext(text, delim: str = ",") -> Column:
-    parts = F.split(_g(text), "\\" + delim)
+    parts = F.split(_g(text), _exactly(delim))
     return st_point(F.trim(F.get(parts, F.lit(0))).try_cast("double"), F.trim(F.get(parts, F.lit(1))).try_cast("double"))
 
 
@@ -73,8 +102,14 @@ def st_polygonfromtext(text, delim: str = ",") -> Column:
     return make(F.lit(POLYGON), F.array(_pairs(_g(text), delim)))
 
 
+def multi_rings(polygons: Column) -> Column:
+    """The rings of all polygons, shells turned left and holes right."""
+    turn = lambda r, k: F.when((_signed_area(r) > 0) == (k == 0), r).otherwise(F.reverse(r))
+    return F.flatten(F.transform(polygons, lambda p: F.transform(p, turn)))
+
+
 def st_geomfromwkt(wkt) -> Column:
-    """POINT, LINESTRING, POLYGON, MULTIPOINT and MULTILINESTRING; anything else is null."""
+    """POINT, LINESTRING, POLYGON and their MULTI forms; anything else is null."""
     first = F.trim(F.split(_g(wkt), "\t")[0])
     kind = F.upper(F.regexp_extract(first, r"^\s*(\w+)\s*\(", 1))
     body = F.regexp_extract(first, r"^\s*\w+\s*(\(.*\))\s*$", 1)
@@ -83,25 +118,52 @@ def st_geomfromwkt(wkt) -> Column:
     json = F.translate(json, "()", "[]")
     json = F.when(kind.isin("POLYGON", "MULTILINESTRING"), json).when(kind == "MULTIPOINT", F.concat(F.lit("["), F.regexp_replace(json, r"\[\s*(\{[^}]*\})\s*\]", "$1"), F.lit("]"))).when(kind.isin("POINT", "LINESTRING"), F.concat(F.lit("["), json, F.lit("]")))
     codes = F.create_map(*(x for k, n in NAMES.items() for x in (F.lit(n.upper()), F.lit(k))))
+    parsed = lambda p: F.when(~F.exists(F.flatten(p), lambda v: v.x.isNull() | v.y.isNull()), make(F.try_element_at(codes, kind), p))
     paths = F.from_json(json, "array<array<struct<x:double,y:double>>>", {"mode": "PERMISSIVE"})
-    bad = F.exists(F.flatten(paths), lambda p: p.x.isNull() | p.y.isNull())
-    return F.when(~bad, make(F.try_element_at(codes, kind), paths))
+    many = F.from_json(F.when(kind == "MULTIPOLYGON", F.translate(F.regexp_replace(body, rf"{number}\s+{number}(?:\s+[-+0-9.eE]+)*", '{"x":$1,"y":$2}'), "()", "[]")), "array<array<array<struct<x:double,y:double>>>>")
+    paths = F.when(kind == "MULTIPOLYGON", multi_rings(many)).otherwise(paths)
+    return bind(paths, parsed)
 
 
 st_geomfromtext = st_geomfromwkt
 
 
 def st_geomfromgeojson(text) -> Column:
-    """Features and bare geometries of Point, LineString and Polygon."""
+    """Features and bare geometries of Point, LineString, Polygon and their Multi forms."""
     raw = _g(text)
     at = lambda path: F.coalesce(F.get_json_object(raw, f"$.geometry.{path}"), F.get_json_object(raw, f"$.{path}"))
     kind, coords = at("type"), at("coordinates")
-    rings = F.from_json(F.when(kind == "Point", F.concat(F.lit("[["), coords, F.lit("]]"))).when(kind == "LineString", F.concat(F.lit("["), coords, F.lit("]"))).otherwise(coords), "array<array<array<double>>>")
-    paths = F.transform(rings, lambda r: F.transform(r, lambda p: vertex(F.get(p, F.lit(0)), F.get(p, F.lit(1)))))
-    codes = F.create_map(*(x for k, n in NAMES.items() if k <= POLYGON for x in (F.lit(n), F.lit(k))))
+    flat = kind.isin("LineString", "MultiPoint")
+    rings = F.from_json(F.when(kind == "Point", F.concat(F.lit("[["), coords, F.lit("]]"))).when(flat, F.concat(F.lit("["), coords, F.lit("]"))).when(kind != "MultiPolygon", coords), "array<array<array<double>>>")
+    pair = lambda p: vertex(F.get(p, F.lit(0)), F.get(p, F.lit(1)))
+    many = F.from_json(F.when(kind == "MultiPolygon", coords), "array<array<array<array<double>>>>")
+    many = F.transform(many, lambda rings: F.transform(rings, lambda r: F.transform(r, pair)))
+    paths = F.when(kind == "MultiPolygon", multi_rings(many)).otherwise(F.transform(rings, lambda r: F.transform(r, pair)))
+    codes = F.create_map(*(x for k, n in NAMES.items() for x in (F.lit(n), F.lit(k))))
     return make(F.try_element_at(codes, kind), paths)
 
 
+def st_geomfromgeohash(text, precision: int | None = None) -> Column:
+    """The cell of a hash, in either case, cut to the precision; a bad character or a negative precision gives null."""
+    if precision is not None and precision < 0:
+        return F.lit(None).cast(GEOM)
+    chars = F.split(F.lower(_g(text)), "")
+    chars = chars if precision is None else F.slice(chars, 1, precision)
+    codes = F.transform(chars, lambda c: F.instr(F.lit(BASE32), c) - 1)
+    bits = F.flatten(F.transform(codes, lambda v: F.array(*(F.shiftright(v, k).bitwiseAND(1) for k in (4, 3, 2, 1, 0)))))
+    state = F.struct(F.lit(-180.0).alias("a"), F.lit(180.0).alias("b"), F.lit(-90.0).alias("c"), F.lit(90.0).alias("d"), F.lit(True).alias("even"))
+
+    def halve(s: Column, bit: Column) -> Column:
+        one, midx, midy = bit == 1, (s.a + s.b) / 2, (s.c + s.d) / 2
+        return F.struct(
+            F.when(s.even & one, midx).otherwise(s.a).alias("a"), F.when(s.even & ~one, midx).otherwise(s.b).alias("b"),
+            F.when(~s.even & one, midy).otherwise(s.c).alias("c"), F.when(~s.even & ~one, midy).otherwise(s.d).alias("d"), (~s.even).alias("even"),
+        )
+
+    cell = bind(F.aggregate(bits, state, halve), lambda box: st_polygonfromenvelope(box.a, box.c, box.b, box.d))
+    return F.when(~F.exists(codes, lambda v: v < 0), cell)
+
+
 def st_x(g) -> Column:
     return F.when(_g(g).gtype == POINT, _g(g).xmin)
 
@@ -122,6 +184,7 @@ def st_geometrytype(g) -> Column:
     return F.element_at(F.create_map(*(x for k, n in NAMES.items() for x in (F.lit(k).cast("tinyint"), F.lit("ST_" + n)))), _g(g).gtype)
 
 
+@once
 def st_npoints(g) -> Column:
     return F.aggregate(_g(g).paths, F.lit(0), lambda n, p: n + F.size(p))
 
@@ -135,23 +198,31 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
 
 
+@once
 def st_length(g) -> Column:
     """Length of lines, perimeter of polygons, 0 for points."""
     whole = _sum(F.transform(_g(g).paths, lambda p: _sum(_steps(p, lambda a, b: F.hypot(b.x - a.x, b.y - a.y)))))
     return F.when(_g(g).gtype.isin(POINT, MULTIPOINT), F.lit(0.0)).otherwise(whole)
 
 
-def _ring_area(p: Column) -> Column:
+def _signed_area(p: Column) -> Column:
     first = F.get(p, F.lit(0))  # relative to a vertex, for precision
-    return F.abs(_sum(_steps(p, lambda a, b: (a.x - first.x) * (b.y - first.y) - (b.x - first.x) * (a.y - first.y)))) / 2
+    return _sum(_steps(p, lambda a, b: (a.x - first.x) * (b.y - first.y) - (b.x - first.x) * (a.y - first.y))) / 2
 
 
+def _ring_area(p: Column) -> Column:
+    return F.abs(_signed_area(p))
+
+
+@once
 def st_area(g) -> Column:
     """Shell less holes; 0 for points and lines."""
     areas = F.transform(_g(g).paths, _ring_area)
-    return F.when(_g(g).gtype == POLYGON, 2 * F.get(areas, F.lit(0)) - _sum(areas)).when(_g(g).isNotNull(), F.lit(0.0))
+    one = F.coalesce(2 * F.get(areas, F.lit(0)) - _sum(areas), F.lit(0.0))
+    return F.when(_g(g).gtype == POLYGON, one).when(_g(g).gtype == MULTIPOLYGON, _sum(F.transform(_g(g).paths, _signed_area))).when(_g(g).isNotNull(), F.lit(0.0))
 
 
+@once
 def st_centroid(g) -> Column:
     """Of the shell's area for polygons without holes, of the length for lines, of the vertices for points."""
     p = F.get(_g(g).paths, F.lit(0))
@@ -165,6 +236,7 @@ def st_centroid(g) -> Column:
     return F.when(_g(g).gtype == POLYGON, area).when(_g(g).gtype == LINESTRING, line).otherwise(mean)
 
 
+@once
 def st_envelope(g) -> Column:
     g = _g(g)
     box = st_polygonfromenvelope(g.xmin, g.ymin, g.xmax, g.ymax)
@@ -177,62 +249,89 @@ def _line_end(g, at: int) -> Column:
     return F.when(_g(g).gtype == LINESTRING, st_point(v.x, v.y))
 
 
+@once
 def st_startpoint(g) -> Column:
     return _line_end(g, 1)
 
 
+@once
 def st_endpoint(g) -> Column:
     return _line_end(g, -1)
 
 
+@once
 def st_isclosed(g) -> Column:
     p = F.get(_g(g).paths, F.lit(0))
     return F.when(_g(g).gtype == LINESTRING, F.get(p, F.lit(0)) == F.element_at(p, -1)).when(_g(g).isNotNull(), F.lit(True))
 
 
+@once
 def st_exteriorring(g) -> Column:
     return F.when(_g(g).gtype == POLYGON, make(F.lit(LINESTRING), F.slice(_g(g).paths, 1, 1), _g(g).srid))
 
 
+@once
 def st_numinteriorrings(g) -> Column:
     return F.when(_g(g).gtype == POLYGON, F.size(_g(g).paths) - 1)
 
 
+@once
 def st_interiorringn(g, n: int) -> Column:
     ring = F.get(_g(g).paths, F.lit(n + 1))
     return F.when((_g(g).gtype == POLYGON) & (F.lit(n) >= 0), make(F.lit(LINESTRING), F.when(ring.isNotNull(), F.array(ring))))
 
 
+@once
+def _polygons(paths: Column) -> Column:
+    """A multi-polygon's rings by polygon: a shell turns left and begins one."""
+    starts = F.filter(F.transform(paths, lambda p, k: F.when(_signed_area(p) > 0, k)), lambda k: k.isNotNull())
+    return F.transform(starts, lambda s, j: F.slice(paths, s + 1, F.coalesce(F.get(starts, j + 1), F.size(paths)) - s))
+
+
+@once
 def st_numgeometries(g) -> Column:
-    return F.when(_g(g).gtype == MULTIPOINT, st_npoints(g)).when(_g(g).gtype == MULTILINESTRING, F.size(_g(g).paths)).when(_g(g).isNotNull(), F.lit(1))
+    return F.when(_g(g).gtype == MULTIPOINT, st_npoints(g)).when(_g(g).gtype == MULTILINESTRING, F.size(_g(g).paths)).when(_g(g).gtype == MULTIPOLYGON, F.size(_polygons(_g(g).paths))).when(_g(g).isNotNull(), F.lit(1))
 
 
+@once
 def st_dumppoints(g) -> Column:
     return F.transform(F.flatten(_g(g).paths), lambda v: st_point(v.x, v.y))
 
 
+@once
 def st_dump(g) -> Column:
     lines = F.transform(_g(g).paths, lambda p: make(F.lit(LINESTRING), F.array(p)))
-    return F.when(_g(g).gtype == MULTIPOINT, st_dumppoints(g)).when(_g(g).gtype == MULTILINESTRING, lines).when(_g(g).isNotNull(), F.array(_g(g)))
+    return F.when(_g(g).gtype == MULTIPOINT, st_dumppoints(g)).when(_g(g).gtype == MULTILINESTRING, lines).when(_g(g).gtype == MULTIPOLYGON, F.transform(_polygons(_g(g).paths), lambda p: make(F.lit(POLYGON), p))).when(_g(g).isNotNull(), F.array(_g(g)))
 
 
 def st_geometryn(g, n: int) -> Column:
     return F.get(st_dump(g), F.lit(n))
 
 
-def st_makepolygon(line) -> Column:
+@once
+def st_makepolygon(line, holes=None) -> Column:
+    """Of a closed line, and an array of closed lines as its holes."""
+    if holes is not None:
+        shell = st_makepolygon(line)
+        rings = F.transform(_g(holes), lambda h: F.get(h.paths, F.lit(0)))
+        closed = F.forall(rings, lambda r: (F.size(r) >= 4) & (F.get(r, F.lit(0)) == F.element_at(r, -1)))
+        return F.when(closed, make(F.lit(POLYGON), F.concat(shell.paths, rings), _g(line).srid))
     p = F.get(_g(line).paths, F.lit(0))
     closed = (_g(line).gtype == LINESTRING) & (F.size(p) >= 4) & (F.get(p, F.lit(0)) == F.element_at(p, -1))
     return F.when(closed, make(F.lit(POLYGON), _g(line).paths, _g(line).srid))
 
 
+@once
 def st_addpoint(line, point, at: int = -1) -> Column:
     p, v = F.get(_g(line).paths, F.lit(0)), vertex(_g(point).xmin, _g(point).ymin)
     n = F.size(p)
-    new = F.concat(p, F.array(v)) if at == -1 else F.concat(F.slice(p, 1, max(at, 0)), F.array(v), F.slice(p, at + 1, F.greatest(n - at, F.lit(0)))) if at >= 0 else F.lit(None)
-    return F.when((_g(line).gtype == LINESTRING) & (_g(point).gtype == POINT) & (F.lit(at) <= n) & (F.lit(at) >= -1), make(F.lit(LINESTRING), F.array(new)))
+    at = at if isinstance(at, Column) else F.lit(at)
+    k = F.when(at == -1, n).otherwise(at)
+    new = F.concat(F.slice(p, 1, F.greatest(k, F.lit(0))), F.array(v), F.slice(p, F.greatest(k, F.lit(0)) + 1, F.greatest(n - k, F.lit(0))))
+    return F.when((_g(line).gtype == LINESTRING) & (_g(point).gtype == POINT) & (at <= n) & (at >= -1), make(F.lit(LINESTRING), F.array(new)))
 
 
+@once
 def st_removepoint(line, at: int) -> Column:
     p = F.get(_g(line).paths, F.lit(0))
     ok = (_g(line).gtype == LINESTRING) & (F.size(p) > 2) & (F.lit(at) < F.size(p)) & (F.lit(at) >= 0)
@@ -243,15 +342,69 @@ def _each_vertex(g, f) -> Column:
     return make(_g(g).gtype, F.transform(_g(g).paths, lambda p: F.transform(p, f)), _g(g).srid)
 
 
+@once
+def _along(path: Column, share: Column) -> Column:
+    """The vertex at a share of a path's length, with the edge it lies on."""
+    sizes = _steps(path, lambda a, b: F.hypot(b.x - a.x, b.y - a.y))
+    ends = F.aggregate(sizes, F.array(F.lit(0.0)), lambda out, v: F.concat(out, F.array(F.element_at(out, -1) + v)))
+
+    def at(ends: Column) -> Column:
+        want = F.element_at(ends, -1) * share
+        k = F.greatest(F.lit(1), F.least(F.size(F.filter(ends, lambda v: v <= want)), F.size(path) - 1))
+        a, b, low = F.get(path, k - 1), F.get(path, k), F.get(ends, k - 1)
+        t = F.coalesce(F.try_divide(want - low, F.get(ends, k) - low), F.lit(0.0))
+        return F.struct(k.alias("k"), (a.x + t * (b.x - a.x)).alias("x"), (a.y + t * (b.y - a.y)).alias("y"))
+
+    return bind(ends, at)
+
+
+@once
+def st_lineinterpolatepoint(line, share) -> Column:
+    """Null unless a line and a share from 0 to 1."""
+    share = _d(share)
+    at = bind(_along(F.get(_g(line).paths, F.lit(0)), share), lambda at: st_point(at.x, at.y))
+    return F.when((_g(line).gtype == LINESTRING) & share.between(0, 1), at)
+
+
+@once
+def st_linesubstring(line, low, high) -> Column:
+    """Null unless a line and 0 <= low <= high <= 1."""
+    low, high = _d(low), _d(high)
+    p = F.get(_g(line).paths, F.lit(0))
+    ends = F.struct(_along(p, low).alias("a"), _along(p, high).alias("b"))
+    path = bind(ends, lambda e: _between(p, e.a, e.b))
+    return F.when((_g(line).gtype == LINESTRING) & (low >= 0) & (low <= high) & (high <= 1), make(F.lit(LINESTRING), F.array(path), _g(line).srid))
+
+
+def _between(p: Column, a: Column, b: Column) -> Column:
+    """The path's part from one place to another, without vertices twice."""
+    part = F.concat(F.array(vertex(a.x, a.y)), F.slice(p, a.k + 1, F.greatest(b.k - a.k, F.lit(0))), F.array(vertex(b.x, b.y)))
+    return bind(part, lambda q: F.filter(q, lambda v, k: (k == 0) | (k == F.size(q) - 1) | ((v != F.get(q, k - 1)) & (v != F.element_at(q, -1)))))
+
+
+@once
+def st_boundary(g) -> Column:
+    """Rings of areas, ends of lines that an odd number of them share; an empty polygon where there is none."""
+    g = _g(g)
+    rings = make(F.when(F.size(g.paths) == 1, F.lit(LINESTRING)).otherwise(F.lit(MULTILINESTRING)), g.paths, g.srid)
+    ends = F.flatten(F.transform(g.paths, lambda p: F.array(F.get(p, F.lit(0)), F.element_at(p, -1))))
+    odd = F.array_distinct(F.filter(ends, lambda e: F.size(F.filter(ends, lambda o: o == e)) % 2 == 1))
+    none = make(F.lit(POLYGON), F.slice(g.paths, 1, 0), g.srid)
+    return F.when(g.gtype.isin(POLYGON, MULTIPOLYGON), rings).when(g.gtype.isin(LINESTRING, MULTILINESTRING) & (F.size(odd) > 0), make(F.lit(MULTIPOINT), F.array(odd), g.srid)).when(g.isNotNull(), none)
+
+
+@once
 def st_flipcoordinates(g) -> Column:
     return _each_vertex(g, lambda v: vertex(v.y, v.x))
 
 
+@once
 def st_precisionreduce(g, scale: int) -> Column:
-    k = 10.0**scale
+    k = F.pow(F.lit(10.0), scale if isinstance(scale, Column) else F.lit(scale))
     return _each_vertex(g, lambda v: vertex(F.floor(v.x * k + 0.5) / k, F.floor(v.y * k + 0.5) / k))
 
 
+@once
 def st_transform(g, source: str, target: str) -> Column:
     """Between EPSG:4326 (latitude first, as EPSG has it) and EPSG:3857."""
     r = 6378137.0
@@ -269,19 +422,22 @@ def _number(c: Column) -> Column:
     return F.regexp_replace(F.when((F.abs(c) < 1e15) & (c == F.floor(c)), c.cast("decimal(38,0)").cast("string")).otherwise(c.cast("string")), r"\.0$", "")
 
 
+@once
 def st_astext(g) -> Column:
     g = _g(g)
     path = lambda p: F.concat(F.lit("("), F.array_join(F.transform(p, lambda v: F.concat_ws(" ", _number(v.x), _number(v.y))), ", "), F.lit(")"))
     nested = F.concat(F.lit("("), F.array_join(F.transform(g.paths, path), ", "), F.lit(")"))
     name = F.upper(F.substring(st_geometrytype(g), 4, 30))
-    return F.concat(name, F.lit(" "), F.when(g.gtype.isin(POLYGON, MULTILINESTRING), nested).otherwise(path(F.get(g.paths, F.lit(0)))))
+    many = F.concat(F.lit("("), F.array_join(F.transform(_polygons(g.paths), lambda p: F.concat(F.lit("("), F.array_join(F.transform(p, path), ", "), F.lit(")"))), ", "), F.lit(")"))
+    return F.concat(name, F.lit(" "), F.when(F.size(g.paths) == 0, F.lit("EMPTY")).when(g.gtype == MULTIPOLYGON, many).when(g.gtype.isin(POLYGON, MULTILINESTRING), nested).otherwise(path(F.get(g.paths, F.lit(0)))))
 
 
+@once
 def st_asgeojson(g) -> Column:
     g = _g(g)
     pair = lambda v: F.concat(F.lit("["), v.x.cast("string"), F.lit(","), v.y.cast("string"), F.lit("]"))
     path = lambda p: F.concat(F.lit("["), F.array_join(F.transform(p, pair), ","), F.lit("]"))
-    body = F.when(g.gtype == POINT, pair(F.get(F.get(g.paths, F.lit(0)), F.lit(0)))).when(g.gtype.isin(LINESTRING, MULTIPOINT), path(F.get(g.paths, F.lit(0)))).otherwise(F.concat(F.lit("["), F.array_join(F.transform(g.paths, path), ","), F.lit("]")))
+    body = F.when(g.gtype == POINT, pair(F.get(F.get(g.paths, F.lit(0)), F.lit(0)))).when(g.gtype.isin(LINESTRING, MULTIPOINT), path(F.get(g.paths, F.lit(0)))).when(g.gtype == MULTIPOLYGON, F.concat(F.lit("["), F.array_join(F.transform(_polygons(g.paths), lambda p: F.concat(F.lit("["), F.array_join(F.transform(p, path), ","), F.lit("]"))), ","), F.lit("]"))).otherwise(F.concat(F.lit("["), F.array_join(F.transform(g.paths, path), ","), F.lit("]")))
     return F.concat(F.lit('{"type":"'), F.substring(st_geometrytype(g), 4, 30), F.lit('","coordinates":'), body, F.lit("}"))
 
 
@@ -290,10 +446,12 @@ def st_azimuth(a, b) -> Column:
     return F.when((_g(a).gtype == POINT) & (_g(b).gtype == POINT), F.when(angle < 0, angle + 2 * 3.141592653589793).otherwise(angle))
 
 
+@once
 def st_geohash(g, precision: int) -> Column:
     """Of the centre of the envelope; null outside longitude and latitude; at most 20 characters."""
     x, y = (_g(g).xmin + _g(g).xmax) / 2, (_g(g).ymin + _g(g).ymax) / 2
-    bits = 5 * min(max(precision, 0), 20)
+    precision = precision if isinstance(precision, Column) else F.lit(precision)
+    bits = 5 * F.least(precision, F.lit(20))
     state = F.struct(F.lit(-180.0).alias("a"), F.lit(180.0).alias("b"), F.lit(-90.0).alias("c"), F.lit(90.0).alias("d"), F.lit(0).alias("v"), F.lit("").alias("s"))
 
     def step(s: Column, k: Column) -> Column:
@@ -308,7 +466,7 @@ def st_geohash(g, precision: int) -> Column:
             F.when(done, F.lit(0)).otherwise(v).alias("v"), F.when(done, F.concat(s.s, F.substring(F.lit(BASE32), v + 1, F.lit(1)))).otherwise(s.s).alias("s"),
         )
 
-    hashed = F.aggregate(F.sequence(F.lit(0), F.lit(bits - 1)), state, step, lambda s: s.s) if bits else F.lit("")
+    hashed = F.when(bits > 0, F.aggregate(F.sequence(F.lit(0), F.greatest(bits, F.lit(1)) - 1), state, step, lambda s: s.s)).otherwise(F.lit(""))
     return F.when(x.between(-180, 180) & y.between(-90, 90), hashed)
 
 
@@ -352,7 +510,7 @@ def covers_point(g, x: Column, y: Column) -> Column:
     edge = F.exists(g.paths, lambda p: _on_edge(p, x, y))
     inside = F.aggregate(g.paths, F.lit(0), lambda n, p: n + _crossings(p, x, y)) % 2 == 1
     at = F.exists(F.flatten(g.paths), lambda v: (v.x == x) & (v.y == y))
-    return F.when(g.gtype == POLYGON, edge | inside).when(g.gtype.isin(LINESTRING, MULTILINESTRING), edge).otherwise(at)
+    return F.when(g.gtype.isin(POLYGON, MULTIPOLYGON), edge | inside).when(g.gtype.isin(LINESTRING, MULTILINESTRING), edge).otherwise(at)
 
 
 def _edges(g: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terravane.functions import geometry as G
+from terravane.functions import shapes as E
 
 
 def _cell(v: Column, size: float) -> Column:
@@ -93,6 +94,17 @@ def layer_count(polygons: DataFrame, points: DataFrame, name: str, poly_geom: st
     return whole.union(edge.select(name, F.lit(1).cast("long"))).groupBy(name).agg(F.sum("c").alias("n"))
 
 
+def union_aggregate(df: DataFrame, key: str, geom: str, cell: tuple[float, float] | None = None) -> DataFrame:
+    """(key, geom): the union of each group's areas. Areas of one cell are united first, then the cells' results, so a
+    large group is spread over tasks and only outlines meet in the last one."""
+    cx, cy = cell or tuple(8 * c for c in cell_size(df, geom))
+    g = F.col(geom)
+    rows = df.where(g.gtype.isin(G.POLYGON, G.MULTIPOLYGON)).select(key, geom, _cell(g.xmin, cx).alias("_x"), _cell(g.ymin, cy).alias("_y"))
+    part = rows.groupBy(key, "_x", "_y").agg(F.collect_set(g.paths).alias("_all"))
+    part = part.select(key, E.st_union_all("_all").alias(geom))
+    return part.groupBy(key).agg(F.collect_list(F.col(geom).paths).alias("_all")).select(key, E.st_union_all("_all").alias(geom))
+
+
 def ripley_k(points: DataFrame, others: DataFrame, radii: list[float], area: float, left_geom: str, right_geom: str) -> DataFrame:
     """(radius, pairs, k, l): K = pairs area / (n m), L = sqrt(K / pi); one join at the largest radius serves all."""
     n, m = points.count(), others.count()

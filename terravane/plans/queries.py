@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terravane.functions import geometry as G
 from terravane.functions import raster as R
+from terravane.functions import shapes as E
 from terravane.functions import viz as V
 from terravane.operators import spatial as S
 
@@ -128,6 +129,32 @@ def intersection_aggregate(spark, sf_dir):
     return out.where("e IS NOT NULL").select("k", F.col("e.ymin").alias("low"), F.col("e.ymax").alias("high"))
 
 
+@query("SELECT k, round(2.0 * sum(run), 6) AS area FROM (SELECT p_size AS k, least(100, coalesce(lead(p_retailprice) OVER (PARTITION BY p_size ORDER BY p_retailprice) - p_retailprice, 100)) AS run FROM part) GROUP BY k")
+def union_aggregate(spark, sf_dir):
+    out = S.union_aggregate(_boxes(spark, sf_dir).select(F.col("p_size").alias("k"), "box"), "k", "box", (1.0, 400.0))
+    return out.select("k", F.round(G.st_area("box"), 6).alias("area"))
+
+
+@query("SELECT p_partkey, p_size + 0.0 AS ax, 100.0 AS half, true AS valid, 9 AS n FROM part")
+def shape_functions(spark, sf_dir):
+    s, p = F.col("p_size"), F.col("p_retailprice")
+    line = G.st_setsrid(G.st_linestringfromtext(F.concat_ws(",", s, F.lit(0), s, F.lit(1), s + 1, F.lit(1))), 0)
+    df = _boxes(spark, sf_dir).select("p_partkey", "box", G.st_polygonfromenvelope(s, p - 90, s + 3, p).alias("other"), line.alias("line"))
+    half = E.st_intersection("box", "other")
+    return df.select(
+        "p_partkey", G.st_lineinterpolatepoint("line", 0.5).xmin.alias("ax"), F.round(2 * G.st_area(half), 6).alias("half"),
+        E.st_isvalid("box").alias("valid"), (G.st_npoints(E.st_convexhull("box")) + G.st_npoints(E.st_convexhull("line"))).alias("n"),
+    )
+
+
+@query("SELECT p_partkey, 'POLYGON ((' || p_size || ' 0, ' || p_size || ' 1, ' || (p_size + 1) || ' 1, ' || (p_size + 1) || ' 0, ' || p_size || ' 0))' AS wkt FROM part")
+def wkb_round_trip(spark, sf_dir):
+    s = F.col("p_size")
+    df = _boxes(spark, sf_dir).select("p_partkey", G.st_polygonfromenvelope(s, F.lit(0), s + 1, F.lit(1)).alias("g"))
+    df = df.select("p_partkey", F.hex(E.st_asewkb("g")).alias("h"))
+    return df.select("p_partkey", E.st_geomfromwkb("h").alias("g")).select("p_partkey", G.st_astext("g").alias("wkt"))
+
+
 @query("SELECT p_partkey, 4 * 50.0 AS area, 204.0 AS length, p_size * 1.0 AS cx, round(p_retailprice, 6) AS cy, 5 AS n, 'ST_Polygon' AS kind, CAST(p_size AS DOUBLE) AS px FROM part")
 def scalar_functions(spark, sf_dir):
     df = _boxes(spark, sf_dir)
