@@ -1,6 +1,7 @@
 """Licence scans: MinHash bands over overlapping windows retrieve templates, exact containment verifies them.
 
-A text's lines become five-word shingles (a line of fewer words is one). Windows of WINDOW shingles overlap by half; a
+All five-word sequences of a text are its shingles; line ends are white space like any other. A template of fewer words
+is sought whole, at every word. Windows of WINDOW shingles overlap by half; a
 window's band is its least shingle hash under one of BANDS masks. A window that shares a share j of its and a template
 part's shingles collides in some band with probability 1 - (1 - j) ** BANDS: 0.97 at j = 1/4, 0.9998 at 1/2. Where a
 window collides, the stretch around it must hold 75 % of the template's shingles.
@@ -14,9 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terravane.llm._shared import SPACE, ascii_lower
+from terravane.llm._shared import SPACE_CLASS, ascii_lower
 
-WINDOW, BANDS, PERCENT = 4, 12, 75
+SHINGLE, WINDOW, BANDS, PERCENT = 5, 4, 12, 75
 #: Short licence statements.
 TEMPLATES = (
     ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -27,13 +28,18 @@ TEMPLATES = (
 )
 
 
-def shingles(text: Column) -> Column:
-    """Hashes of the shingles of each line, in order."""
-    lines = F.split(ascii_lower(F.coalesce(text, F.lit(""))), "\n", -1)
-    words = F.transform(lines, lambda x: F.split(F.btrim(x, F.lit(SPACE)), r"[\x20\x09-\x0D]+", -1))
-    of_line = lambda w: F.when(F.get(w, F.lit(0)) == "", F.array().cast("array<bigint>")).when(F.size(w) < 5, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.size(w) - 5), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, 5), " "))))
-    return F.flatten(F.transform(words, of_line))
+def normal(text: Column) -> Column:
+    """The words of a text, lower-case, with one space before and after each: line ends are white space."""
+    words = F.btrim(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), SPACE_CLASS, " "), F.lit(" "))
+    return F.concat(F.lit(" "), words, F.lit(" "))
+
+
+def with_shingles(df: DataFrame, text: Column) -> DataFrame:
+    """Adds the words in _n, and the hashes of all shingles of SHINGLE words in _s, in order."""
+    df = df.withColumn("_n", normal(text)).withColumn("_w", F.expr("transform(split(btrim(_n, ' '), ' ', -1), x -> xxhash64(x))"))
+    each = ", ".join(f"get(_w, i + {k})" for k in range(SHINGLE))
+    some = F.expr(f"transform(sequence(0, size(_w) - {SHINGLE}), i -> xxhash64({each}))")
+    return df.withColumn("_s", F.when(F.size("_w") >= SHINGLE, some).otherwise(F.expr("cast(array() as array<bigint>)"))).drop("_w")
 
 
 def _masks() -> list[int]:
@@ -45,28 +51,26 @@ def _masks() -> list[int]:
     return out
 
 
-def template_hashes(spark: SparkSession, templates) -> list[tuple[str, list[int]]]:
-    """Shingles of each template; their list is short and given by the caller."""
-    rows = spark.createDataFrame(list(templates), "name string, text string").select("name", shingles(F.regexp_replace("text", r"\s+", " ")).alias("s")).collect()
-    return [(r.name, list(r.s)) for r in rows if r.s]
+def template_hashes(spark: SparkSession, templates) -> tuple[list[tuple[str, list[int]]], list[tuple[str, str]]]:
+    """Shingles of each template, and the words of those too short for one; their list is short and given by the caller."""
+    rows = with_shingles(spark.createDataFrame(list(templates), "name string, text string"), F.col("text")).collect()
+    return [(r["name"], r["_s"]) for r in rows if r["_s"]], [(r["name"], r["_n"]) for r in rows if not r["_s"] and r["_n"].strip()]
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, text_col: str = "text", out_col: str = "licenses") -> DataFrame:
     """Adds the sorted names of the templates that the text holds."""
-    hashed = template_hashes(docs.sparkSession, templates)
-    df = docs.withColumn("_s", shingles(F.col(text_col)))
-    collides = []
-    for mask in _masks():
-        least = "least(" + ", ".join(f"get(_s, j + {k}) ^ ({mask}L)" for k in range(WINDOW)) + ")"
-        known = {h ^ mask for _, s in hashed for h in s}  # the least of some piece of a template
-        collides.append(f"{least} IN ({', '.join(f'{v}L' for v in sorted(known))})")
-    hits = F.expr(f"filter(sequence(0, greatest(size(_s) - 1, 0), {WINDOW // 2}), j -> {' OR '.join(collides)})")
-    df = df.withColumn("_hits", F.when(F.size("_s") > 0, hits))
-    found = []
+    hashed, short = template_hashes(docs.sparkSession, templates)
+    df = with_shingles(docs, F.col(text_col))
+    known = ", ".join(f"{h}L" for h in sorted({h for _, s in hashed for h in s}))
+    least = ", ".join("least(" + ", ".join(f"get(_s, j + {k}) ^ ({mask}L)" for k in range(WINDOW)) + f") ^ ({mask}L)" for mask in _masks())
+    if hashed:  # does the least of a window stand in some piece of a template?
+        hits = F.expr(f"filter(sequence(0, greatest(size(_s) - 1, 0), {WINDOW // 2}), j -> exists(array({least}), v -> v IN ({known})))")
+        df = df.withColumn("_hits", F.when(F.size("_s") > 0, hits))
+    found = [F.when(F.contains("_n", F.lit(words)), F.lit(name)) for name, words in short]
     for name, s in hashed:
         reach = len(s) + WINDOW
         wanted = "array(" + ", ".join(f"{h}L" for h in sorted(set(s))) + ")"
         stretch = f"slice(_s, greatest(j - {reach}, 0) + 1, {2 * reach + WINDOW})"
         test = F.expr(f"exists(_hits, j -> 100 * size(array_intersect({stretch}, {wanted})) >= {PERCENT * len(set(s))})")
         found.append(F.when(test, F.lit(name)))
-    return df.withColumn(out_col, F.array_sort(F.array_compact(F.array(*found)))).drop("_s", "_hits")
+    return df.withColumn(out_col, F.array_sort(F.array_distinct(F.array_compact(F.array(*found))))).drop("_n", "_s", "_hits")

@@ -39,3 +39,15 @@ def test_altered_and_embedded(spark):
     texts = ["x y z " * 20 + "this work is  LICENSED under the GNU general public license, version 3. and more words here", "This work is licensed under the GNU General Public License, edition 3.", "This work was licensed by nobody under the GNU General Public Licence", "all rights reserved.\nnext"]
     got = L.scan(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).orderBy("i").collect()
     assert [r.licenses for r in got] == [["gpl-3.0"], ["gpl-3.0"], [], ["all-rights-reserved"]]
+
+
+def test_wrapped_and_inside_lines(spark):
+    texts = [
+        "Released under\n  the MIT License.", "Licensed under the Apache\r\nLicense, Version 2.0.", "Licensed under CC\nBY-NC 4.0.",
+        "This work is licensed under the\nGNU General Public License,\nversion 3.", "Copyright 2024 Foo Inc. All rights reserved. More follows here.", "All rights\nreserved.", "overall rights reserved.",
+    ]
+    got = L.scan(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).orderBy("i").collect()
+    assert [r.licenses for r in got] == [["mit"], ["apache-2.0"], ["cc-by-nc-4.0"], ["gpl-3.0"], ["all-rights-reserved"], ["all-rights-reserved"], []]
+    words = [f"word{k}" for k in range(300)]
+    lines = "\n".join(" ".join(words[k : k + 11]) for k in range(0, 300, 11))
+    assert L.scan(spark.createDataFrame([("before\n" + lines,)], "text string"), [("own", " ".join(words))]).first().licenses == ["own"]
