@@ -1,7 +1,7 @@
 """Licence scans: MinHash bands over overlapping windows retrieve templates, exact containment verifies them.
 
-All five-word sequences of a text are its shingles; line ends are white space like any other. A template of fewer words
-is sought whole, at every word. Windows of WINDOW shingles overlap by half; a
+All five-word sequences of a text are its shingles; line ends are white space like any other. Punctuation around
+words is taken off. A template of fewer shingles than a window is sought whole, at every word. Windows of WINDOW shingles overlap by half; a
 window's band is its least shingle hash under one of BANDS masks. A window that shares a share j of its and a template
 part's shingles collides in some band with probability 1 - (1 - j) ** BANDS: 0.97 at j = 1/4, 0.9998 at 1/2. Where a
 window collides, the stretch around it must hold 75 % of the template's shingles.
@@ -12,12 +12,19 @@ values; an empty table gives no rows; other columns pass through.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terravane.llm._shared import SPACE_CLASS, ascii_lower
+from terravane.llm import license_texts
+from terravane.llm._shared import ascii_lower
 
 SHINGLE, WINDOW, BANDS, PERCENT = 5, 4, 12, 75
+#: What is taken off words: as characters, and in a class of a pattern.
+PUNCT_CHARS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~“”‘’«»–—•"
+PUNCT = r"!-/:-@\[-`{-~“”‘’«»–—•"
 #: Short licence statements.
 TEMPLATES = (
     ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -29,9 +36,11 @@ TEMPLATES = (
 
 
 def normal(text: Column) -> Column:
-    """The words of a text, lower-case, with one space before and after each: line ends are white space."""
-    words = F.btrim(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), SPACE_CLASS, " "), F.lit(" "))
-    return F.concat(F.lit(" "), words, F.lit(" "))
+    """The words of a text, lower-case, without punctuation around them, with one space before and after each: line ends
+    are white space."""
+    between = rf"(?<![{PUNCT}])[{PUNCT}]*+[\x20\x09-\x0D][\x20\x09-\x0D{PUNCT}]*+"
+    trimmed = F.btrim(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), between, " "), F.lit(" " + PUNCT_CHARS))
+    return F.concat(F.lit(" "), trimmed, F.lit(" "))
 
 
 def with_shingles(df: DataFrame, text: Column) -> DataFrame:
@@ -51,26 +60,49 @@ def _masks() -> list[int]:
     return out
 
 
-def template_hashes(spark: SparkSession, templates) -> tuple[list[tuple[str, list[int]]], list[tuple[str, str]]]:
-    """Shingles of each template, and the words of those too short for one; their list is short and given by the caller."""
-    rows = with_shingles(spark.createDataFrame(list(templates), "name string, text string"), F.col("text")).collect()
-    return [(r["name"], r["_s"]) for r in rows if r["_s"]], [(r["name"], r["_n"]) for r in rows if not r["_s"] and r["_n"].strip()]
+def template_hashes(spark: SparkSession, templates) -> tuple[list[tuple], list[tuple]]:
+    """(name, shingles, needed) of each template, and (name, words, needed) of those of fewer shingles than a window,
+    which must stand whole; their list is short and given by the caller."""
+    rows = [(k, t[1], list(t[2]) if len(t) > 2 else []) for k, t in enumerate(templates)]
+    made = with_shingles(spark.createDataFrame(rows, "k int, text string, needed array<string>"), F.col("text")).withColumn("needed", F.transform("needed", normal)).collect()
+    made = [(templates[r["k"]][0], r["_s"], r["_n"], r["needed"]) for r in made if r["_n"].strip()]
+    return [(n, s, must) for n, s, _, must in made if len(s) >= WINDOW], [(n, words, must) for n, s, words, must in made if len(s) < WINDOW]
+
+
+def tagged(text: Column) -> Column:
+    """The ids in a text's SPDX tags, lower-case, without -only, -or-later and +."""
+    word = r"[A-Za-z0-9.+-]+"
+    tag = rf"(?i)SPDX-License-Identifier:[ \t(]*({word}(?:[ \t()]+(?:AND|OR|WITH)[ \t()]+{word})*)"
+    plain = F.regexp_replace(ascii_lower(F.array_join(F.regexp_extract_all(text, F.lit(tag)), " and ")), r"[ \t()]+with[ \t()]+\S+", "")
+    ids = F.transform(F.split(plain, r"[ \t()]+(?:and|or)[ \t()]+"), lambda x: F.regexp_replace(x, r"(-only|-or-later|\+|\.)+$", ""))
+    return F.filter(ids, lambda x: x != "")
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, text_col: str = "text", out_col: str = "licenses") -> DataFrame:
-    """Adds the sorted names of the templates that the text holds."""
-    hashed, short = template_hashes(docs.sparkSession, templates)
+def scan(docs: DataFrame, templates=None, text_col: str = "text", out_col: str = "licenses") -> DataFrame:
+    """Adds the sorted names of the templates that the text holds; of all known ones and SPDX tags where none are given."""
+    tags = templates is None
+    hashed, short = template_hashes(docs.sparkSession, [*TEMPLATES, *license_texts.templates()] if tags else list(templates))
     df = with_shingles(docs, F.col(text_col))
-    known = ", ".join(f"{h}L" for h in sorted({h for _, s in hashed for h in s}))
+    known = ", ".join(f"{h}L" for h in sorted({h for _, s, _ in hashed for h in s}))
     least = ", ".join("least(" + ", ".join(f"get(_s, j + {k}) ^ ({mask}L)" for k in range(WINDOW)) + f") ^ ({mask}L)" for mask in _masks())
     if hashed:  # does the least of a window stand in some piece of a template?
         hits = F.expr(f"filter(sequence(0, greatest(size(_s) - 1, 0), {WINDOW // 2}), j -> exists(array({least}), v -> v IN ({known})))")
         df = df.withColumn("_hits", F.when(F.size("_s") > 0, hits))
-    found = [F.when(F.contains("_n", F.lit(words)), F.lit(name)) for name, words in short]
-    for name, s in hashed:
-        reach = len(s) + WINDOW
-        wanted = "array(" + ", ".join(f"{h}L" for h in sorted(set(s))) + ")"
-        stretch = f"slice(_s, greatest(j - {reach}, 0) + 1, {2 * reach + WINDOW})"
-        test = F.expr(f"exists(_hits, j -> 100 * size(array_intersect({stretch}, {wanted})) >= {PERCENT * len(set(s))})")
-        found.append(F.when(test, F.lit(name)))
-    return df.withColumn(out_col, F.array_sort(F.array_distinct(F.array_compact(F.array(*found))))).drop("_n", "_s", "_hits")
+    holds = lambda must: reduce(or_, (F.contains("_n", F.lit(w)) for w in must)) if must else F.lit(True)
+    found = [F.when(F.contains("_n", F.lit(words)) & holds(must), F.lit(name)) for name, words, must in short]
+    long = []
+    for name, s, must in hashed:
+        reach, stride = len(s) + WINDOW, max(len(s) // 4, WINDOW // 2)  # one stretch for all hits of a stride
+        wanted = f"cast(split('{','.join(map(str, sorted(set(s))))}', ',') AS array<bigint>)"
+        stretch = f"slice(_s, greatest(b * {stride} - {reach}, 0) + 1, {2 * reach + WINDOW + stride - WINDOW // 2})"
+        test = F.expr(f"exists(array_distinct(transform(_hits, j -> int(j div {stride}))), b -> 100 * size(array_intersect({stretch}, {wanted})) >= {PERCENT * len(set(s))})")
+        long.append(F.when(holds(must) & test, F.lit(name)))
+    names = F.array(*found) if found else F.array().cast("array<string>")
+    if long:
+        names = F.when(F.size("_hits") > 0, F.concat(names, F.array(*long))).otherwise(names)
+    if tags:
+        names = F.when(F.contains("_n", F.lit("spdx-license-identifier")), F.concat(names, tagged(F.col(text_col)))).otherwise(names)
+    df = df.withColumn(out_col, F.array_sort(F.array_distinct(F.array_compact(names)))).drop("_n", "_s", "_hits")
+    for one, other in license_texts.HOLDS.items() if tags else ():
+        df = df.withColumn(out_col, F.when(F.array_contains(out_col, one), F.array_remove(out_col, other)).otherwise(F.col(out_col)))
+    return df

@@ -3,6 +3,7 @@ import re
 import pytest
 
 from terravane.llm import license_scan as L
+from terravane.llm import license_texts
 from terravane.llm.queries import op3_license_scan
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -51,3 +52,13 @@ def test_wrapped_and_inside_lines(spark):
     words = [f"word{k}" for k in range(300)]
     lines = "\n".join(" ".join(words[k : k + 11]) for k in range(0, 300, 11))
     assert L.scan(spark.createDataFrame([("before\n" + lines,)], "text string"), [("own", " ".join(words))]).first().licenses == ["own"]
+
+
+def test_full_texts_headers_and_tags(spark):
+    given = [(n, "Some words before it.\n" + "\n".join(" * " + line for line in t.split("\n")) + "\nand some after it.") for n, t, _ in license_texts.templates()]
+    given += [
+        ("apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License");'), ("mit", "// SPDX-License-Identifier: MIT"), ("mit-0", "# SPDX-License-Identifier: MIT-0"),
+        ("apache-2.0 gpl-2.0", "/* SPDX-License-Identifier: (GPL-2.0-or-later WITH Classpath-exception-2.0 OR Apache-2.0) */"), ("", "He permitted redistribution, with or without conditions."),
+    ]
+    rows = L.scan(spark.createDataFrame([(k, n, t) for k, (n, t) in enumerate(given)], "i int, name string, text string")).collect()
+    assert [(r.i, r.name, r.licenses) for r in rows if " ".join(r.licenses) != r.name] == []
