@@ -1,6 +1,9 @@
-"""SentencePiece encoding and decoding by a streaming Viterbi search.
+"""SentencePiece encoding and decoding: by merges for BPE models, by a streaming Viterbi search for unigram models.
 
-Pieces and scores come from a model file. The best way to every place of the text is kept in a window of one longest
+Pieces and scores come from a model file. The scores of a BPE model are the ranks of its merges, whose sum says nothing:
+its ids are those of merges in the order of rank, within stretches that no merge crosses.
+
+The search of a unigram model: the best way to every place of the text is kept in a window of one longest
 piece; ids are committed as soon as the ways of all surviving places go through one boundary, so a text of any length
 needs a bounded window as long as its ways converge. No piece goes on over a space after another character, so each
 such space is a boundary, and the ids of the stretch before it are kept in a bounded cache.
@@ -16,8 +19,9 @@ table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -29,6 +33,33 @@ MARK = "▁"
 MAX_CACHED = 2_000_000
 
 
+def model_type(data: bytes) -> int:
+    """1: unigram, 2: BPE; field 3 of field 2 of a model file."""
+    def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+        at = 0
+
+        def number() -> int:
+            nonlocal at
+            out = shift = 0
+            while True:
+                out |= (data[at] & 127) << shift
+                shift, at = shift + 7, at + 1
+                if data[at - 1] < 128:
+                    return out
+
+        while at < len(data):
+            key = number()
+            if key & 7 == 0:
+                yield key >> 3, number()
+                continue
+            n = {1: 8, 5: 4}.get(key & 7) or number()
+            yield key >> 3, data[at : at + n]
+            at += n
+
+    trainer = next((v for k, v in fields(data) if k == 2), b"")
+    return next((v for k, v in fields(trainer) if k == 3), 1)
+
+
 class Pieces:
     """The normal and byte pieces of a model file."""
 
@@ -46,6 +77,9 @@ class Pieces:
         self.raw = [bytes([of_byte[i]]) if i in of_byte else name.replace(MARK, " ").encode() for i, name in enumerate(self.names)]
         self.cuts = not any(MARK in p.lstrip(MARK) for p in self.score)
         self.cached: dict[str, list[int]] = {}
+        self.merges = model_type(sp.serialized_model_proto()) == 2
+        self.pairs = {p[k : k + 2] for p in self.score for k in range(len(p) - 1)} if self.merges else set()
+        self.merged: dict[str, list[int]] = {}
 
     def committed(self, text: Iterable[str]) -> Iterator[list[tuple[int, str]]]:
         """Runs of (id, piece), as they are settled; id -1 for a character without a piece. text: characters."""
@@ -113,25 +147,84 @@ class Pieces:
             end = start
         return out[::-1]
 
+    def _merge_short(self, stretch: str) -> list[str]:
+        """The pair of best score is merged first, of equal ones the leftmost."""
+        get, none = self.score.get, (-np.inf, -1)
+        parts = list(stretch)
+        gain = [get(a + b, none)[0] for a, b in zip(parts, parts[1:])]
+        while gain and (top := max(gain)) > -np.inf:
+            k = gain.index(top)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del gain[k]
+            if k:
+                gain[k - 1] = get(parts[k - 1] + parts[k], none)[0]
+            if k < len(gain):
+                gain[k] = get(parts[k] + parts[k + 1], none)[0]
+        return parts
+
+    def _merge_long(self, stretch: str) -> list[str]:
+        """The same by a heap of pairs."""
+        get = self.score.get
+        n = len(stretch)
+        part: list[str] = list(stretch)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(-found[0], k, stretch[k : k + 2]) for k in range(n - 1) if (found := get(stretch[k : k + 2]))]
+        heapq.heapify(heap)
+        while heap:
+            _, k, both = heapq.heappop(heap)
+            right = after[k]
+            if not part[k] or right >= n or len(part[k]) + len(part[right]) != len(both):
+                continue  # one of them has been merged since
+            part[k], part[right] = both, ""
+            after[k] = right = after[right]
+            if right < n:
+                before[right] = k
+                if found := get(both + part[right]):
+                    heapq.heappush(heap, (-found[0], k, both + part[right]))
+            if (left := before[k]) >= 0 and (found := get(part[left] + both)):
+                heapq.heappush(heap, (-found[0], left, part[left] + both))
+        return [p for p in part if p]
+
+    def merged_ids(self, stretch: str) -> list[int]:
+        """Ids by merges in order. No merge goes over two characters that stand side by side in no piece, so a long
+        stretch is cut there."""
+        if len(stretch) < 64:
+            parts = self._merge_short(stretch)
+        else:
+            cuts = [0, *(k for k in range(1, len(stretch)) if stretch[k - 1 : k + 1] not in self.pairs), len(stretch)]
+            parts = [p for a, b in zip(cuts, cuts[1:]) for p in (self._merge_short if b - a < 64 else self._merge_long)(stretch[a:b])]
+        out: list[int] = []
+        for p in parts:
+            found = self.score.get(p)
+            out += [found[1]] if found else [self.byte[b] for b in p.encode()]
+        return out
+
+    def tokens(self, text: str) -> list[int]:
+        """The library's ids: by merges in order for a BPE model, by the best sum of scores for a unigram model."""
+        return self._encode(text, self.merged_ids, self.merged) if self.merges else self.encode(text)
+
     def encode(self, text: str) -> list[int]:
+        """Ids of the best sum of scores."""
+        return self._encode(text, self.ids, self.cached)
+
+    def _encode(self, text: str, ids: Callable[[str], list[int]], known: dict[str, list[int]]) -> list[int]:
         if not text:
             return []
         marked = MARK + text.replace(" ", MARK)
         if not self.cuts:
-            return self.ids(marked)
+            return ids(marked)
         out: list[int] = []
-        known = self.cached
         held = ""
         for word in marked.split(MARK)[1:]:
             held += MARK
             if word:
                 if (found := known.get(held + word)) is None:
-                    found = self.ids(held + word)
+                    found = ids(held + word)
                     if len(held) + len(word) < 64:
                         known[held + word] = found
                 out += found
                 held = ""
-        out += self.ids(held) if held else []
+        out += ids(held) if held else []
         if len(known) > MAX_CACHED:
             known.clear()
         return out
@@ -151,7 +244,7 @@ def with_ids(docs: DataFrame, model: str, text_col: str = "text", ids_col: str =
     @F.pandas_udf("array<int>")
     def run(texts):
         own = pieces(model)
-        return texts.map(lambda t: own.encode(t or ""))
+        return texts.map(lambda t: own.tokens(t or ""))
 
     return docs.withColumn(ids_col, run(F.coalesce(text_col, F.lit(""))))
 
@@ -173,7 +266,7 @@ def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
-                ids = own.encode(text or "")
+                ids = own.tokens(text or "")
                 rows.append((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), hashlib.sha256(own.decode(ids).encode()).hexdigest()))
             n, crc, sha = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_ids", "ids_crc32", "decoded_sha256"])

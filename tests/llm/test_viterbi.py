@@ -1,7 +1,10 @@
 import hashlib
 import random
+import zlib
 
+import numpy as np
 import pytest
+import sentencepiece
 
 from terravane.llm.bpe import tokenizer_path
 from terravane.llm.queries import op7_sentencepiece
@@ -53,3 +56,21 @@ def test_query(spark, where, edge_dir):
     docs = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{where}/documents.parquet").collect()]
     got = op7_sentencepiece(spark, where).collect()
     assert sorted(((r.doc_id, r.decoded_sha256) for r in got), key=repr) == sorted(((i, hashlib.sha256(t.encode()).hexdigest()) for i, t in docs), key=repr)
+
+
+@pytest.mark.parametrize("where", ["sf", "edge"])
+def test_query_gives_the_librarys_ids(spark, where, edge_dir):
+    where = "/root/testdata/sf0.001" if where == "sf" else edge_dir
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    ids = [(r.doc_id, sp.encode(r.text or "")) for r in spark.read.parquet(f"{where}/documents.parquet").collect()]
+    got = [(r.doc_id, r.n_ids, r.ids_crc32) for r in op7_sentencepiece(spark, where).collect()]
+    assert sorted(got, key=repr) == sorted(((i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in ids), key=repr)
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_merges_against_the_library(seed):
+    rng = random.Random(seed)
+    own, sp = pieces(MODEL), sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    signs = rng.choice(["theandring  \n.,éß漢😀\x00", "x", "ab", "theandringos", "▁ a"])
+    text = "".join(rng.choice(signs) for _ in range(rng.randint(1, 2000)))
+    assert own.merges and own.tokens(text) == sp.encode(text) and own.decode(own.tokens(text)) == text.replace("▁", " ")
