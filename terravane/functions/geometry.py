@@ -612,7 +612,8 @@ def st_envelope_aggr(g) -> Column:
 
 
 def st_intersection_aggr(g) -> Column:
-    """Of boxes: null once empty."""
+    """Of boxes: null once empty. Another shape is an error: spatial.intersection_aggregate takes all."""
     g = _g(g)
     a, b, c, d = F.max(g.xmin), F.max(g.ymin), F.min(g.xmax), F.min(g.ymax)
-    return F.when((a <= c) & (b <= d), st_polygonfromenvelope(a, b, c, d))
+    boxes = F.coalesce(F.bool_and(is_box(g)), F.lit(True))
+    return F.when(~boxes, F.raise_error(F.lit("st_intersection_aggr is for boxes; use operators.spatial.intersection_aggregate"))).when((a <= c) & (b <= d), st_polygonfromenvelope(a, b, c, d))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Callable
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession
@@ -111,6 +112,13 @@ def st_union_all(paths) -> Column:
     return G.make(out.gtype, out.paths)
 
 
+def st_intersection_all(shapes) -> Column:
+    """Of an array of shapes as struct<gtype, paths>; an empty polygon once nothing is common, null for none."""
+    kernel = lambda many: reduce(K.intersection, [(s["gtype"], [[(v["x"], v["y"]) for v in p] for p in s["paths"]]) for s in many]) if many else None
+    out = call(kernel, SHAPE, G._g(shapes))
+    return G.make(out.gtype, out.paths)
+
+
 def st_isvalid(g) -> Column:
     return call(K.is_valid, "boolean", _shape(g))
 

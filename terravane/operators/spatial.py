@@ -105,6 +105,17 @@ def union_aggregate(df: DataFrame, key: str, geom: str, cell: tuple[float, float
     return part.groupBy(key).agg(F.collect_list(F.col(geom).paths).alias("_all")).select(key, E.st_union_all("_all").alias(geom))
 
 
+def intersection_aggregate(df: DataFrame, key: str, geom: str, parts: int = 64) -> DataFrame:
+    """(key, geom): the common part of each group's shapes; an empty polygon where there is none. Each group is dealt to
+    parts that are folded first, so at most so many shapes meet in the last fold. Null shapes are left out."""
+    g = F.col(geom)
+    shape = F.struct(g.gtype.cast("int").alias("gtype"), g.paths.alias("paths"))
+    rows = df.where(g.isNotNull()).select(key, shape.alias(geom)).withColumn("_part", F.pmod(F.xxhash64(geom), F.lit(parts)))
+    part = rows.groupBy(key, "_part").agg(F.collect_set(geom).alias("_all")).select(key, E.st_intersection_all("_all").alias(geom))
+    last = part.groupBy(key).agg(F.collect_set(F.struct(g.gtype.cast("int").alias("gtype"), g.paths.alias("paths"))).alias("_all"))
+    return last.select(key, E.st_intersection_all("_all").alias(geom))
+
+
 def ripley_k(points: DataFrame, others: DataFrame, radii: list[float], area: float, left_geom: str, right_geom: str) -> DataFrame:
     """(radius, pairs, k, l): K = pairs area / (n m), L = sqrt(K / pi); one join at the largest radius serves all."""
     n, m = points.count(), others.count()

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from terravane.operators.spatial import intersection_aggregate
 from terravane.functions import geometry as G
 from terravane.functions import kernels as K
 from terravane.functions import shapes as S
@@ -115,3 +116,16 @@ def test_sql_names(spark):
     spark.createDataFrame([("POLYGON ((0 0, 0 10, 10 10, 10 0, 0 0))",)], "t string").selectExpr("ST_GeomFromWKT(t) AS g").createOrReplaceTempView("shapes")
     r = spark.sql("SELECT ST_Area(g), ST_Touches(g, ST_Point(0D, 5D)), ST_SRID(ST_SetSRID(g, 7)), ST_AsText(ST_GeomFromWKB(hex(ST_AsBinary(g)))), round(ST_Area(ST_Buffer(g, -1)), 6), RS_Mean(array(1D, 2D)) FROM shapes").first()
     assert tuple(r) == (100.0, True, 7, "POLYGON ((0 0, 0 10, 10 10, 10 0, 0 0))", 64.0, 1.5)
+
+
+def test_intersection_aggregate_of_all_shapes(spark):
+    groups = {
+        "some": ["POLYGON ((13.274347 52.461841, 13.202927 52.590509, 13.429549 52.572151, 13.385598 52.430871, 13.274347 52.461841))", "POLYGON ((13.525691 52.484427, 13.345767 52.495297, 13.352635 52.54961, 13.539426 52.537082, 13.525691 52.484427))"],
+        "none": ["POLYGON ((13.212541 52.465188, 13.113652 52.55462, 13.238637 52.57382, 13.252372 52.470207, 13.212541 52.465188))", "POLYGON ((13.561402 52.493625, 13.561402 52.566308, 13.727591 52.55128, 13.669905 52.47188, 13.561402 52.493625))"],
+        "boxes": ["POLYGON ((0 0, 0 4, 4 4, 4 0, 0 0))", "POLYGON ((1 1, 1 9, 9 9, 9 1, 1 1))", "POLYGON ((2 0, 2 9, 3 9, 3 0, 2 0))", None], "one": ["POLYGON ((0 0, 2 0, 0 2, 0 0))"],
+    }
+    df = spark.createDataFrame([(k, t) for k, ts in groups.items() for t in ts], "k string, t string").select("k", G.st_geomfromwkt("t").alias("g"))
+    got = {r.k: r.area for r in intersection_aggregate(df, "k", "g").select("k", G.st_area("g").alias("area")).collect()}
+    assert got == {"some": pytest.approx(0.0034700160226227607, abs=1e-12), "none": 0.0, "boxes": pytest.approx(3.0), "one": pytest.approx(2.0)}
+    with pytest.raises(Exception, match="is for boxes"):
+        df.groupBy("k").agg(G.st_intersection_aggr("g")).collect()
