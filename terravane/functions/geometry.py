@@ -527,15 +527,18 @@ def _edges_meet(a: Column, b: Column) -> Column:
     return F.exists(_edges(a), lambda s: F.exists(_edges(b), lambda t: meet(s, t)))
 
 
-def _first(g: Column) -> Column:
-    return F.get(F.get(g.paths, F.lit(0)), F.lit(0))
+def _some_inside(a: Column, b: Column) -> Column:
+    """Does a cover the first vertex of some path of b, or some point of a multi-point b?"""
+    firsts = F.transform(b.paths, lambda p: F.get(p, F.lit(0)))
+    return F.exists(F.when(b.gtype == MULTIPOINT, F.flatten(b.paths)).otherwise(firsts), lambda v: covers_point(a, v.x, v.y))
 
 
 def st_intersects(a, b) -> Column:
-    """Boxes first; then edges that meet or a vertex of one inside the other."""
+    """Boxes first; then edges that meet or a vertex of one's part inside the other. Multi-points have no edges."""
     a, b = _g(a), _g(b)
+    edges = (a.gtype != MULTIPOINT) & (b.gtype != MULTIPOINT) & _edges_meet(a, b)
     exact = F.when(a.gtype == POINT, covers_point(b, a.xmin, a.ymin)).when(b.gtype == POINT, covers_point(a, b.xmin, b.ymin)).otherwise(
-        _edges_meet(a, b) | covers_point(a, _first(b).x, _first(b).y) | covers_point(b, _first(a).x, _first(a).y))
+        edges | _some_inside(a, b) | _some_inside(b, a))
     return boxes_meet(a, b) & F.when(is_box(a) & (is_box(b) | (b.gtype == POINT)) | is_box(b) & (a.gtype == POINT), F.lit(True)).otherwise(exact)
 
 

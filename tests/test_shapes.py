@@ -6,11 +6,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from terravane.operators.spatial import intersection_aggregate
 from terravane.functions import geometry as G
 from terravane.functions import kernels as K
 from terravane.functions import shapes as S
 from terravane.functions.sql import register_all
+from terravane.operators.spatial import intersection_aggregate, spatial_join
 
 
 def ring(rng, n, cx, cy, r):
@@ -129,3 +129,19 @@ def test_intersection_aggregate_of_all_shapes(spark):
     assert got == {"some": pytest.approx(0.0034700160226227607, abs=1e-12), "none": 0.0, "boxes": pytest.approx(3.0), "one": pytest.approx(2.0)}
     with pytest.raises(Exception, match="is for boxes"):
         df.groupBy("k").agg(G.st_intersection_aggr("g")).collect()
+
+
+def test_native_intersects_of_many_parts(spark):
+    box, slanted = "POLYGON ((0 0, 0 10, 10 10, 10 0, 0 0))", "POLYGON ((0 0, 1 10, 10 10, 10 0, 0 0))"
+    ring = "POLYGON ((0 0, 0 10, 10 10, 10 0, 0 0), (1 1, 1 9, 9 9, 9 1, 1 1))"
+    pairs = [
+        (slanted, "MULTIPOLYGON (((20 20, 20 21, 21 21, 20 20)), ((5 5, 5 6, 6 6, 5 5)))", True), (box, "MULTILINESTRING ((-9 -9, -8 -8), (4 4, 5 6))", True),
+        (box, "MULTIPOINT ((-5 5), (15 5))", False), (box, "MULTIPOINT ((-5 5), (5 5))", True), ("LINESTRING (0 -5, 0 5)", "MULTIPOINT ((-1 0), (1 0))", False), ("LINESTRING (0 -5, 0 5)", "MULTIPOINT ((-1 0), (0 1))", True),
+        ("MULTIPOINT ((0 0), (2 2))", "MULTIPOINT ((1 1), (3 3))", False), ("MULTIPOINT ((0 0), (2 2))", "MULTIPOINT ((1 1), (2 2))", True), (ring, "MULTIPOLYGON (((4 4, 4 5, 5 5, 4 4)), ((6 6, 6 7, 7 7, 6 6)))", False),
+        (ring, "MULTIPOLYGON (((4 4, 4 5, 5 5, 4 4)), ((0.2 2, 0.2 3, 0.8 3, 0.2 2)))", True),
+    ]
+    df = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k int, s string, t string, want boolean").select("k", "want", G.st_geomfromwkt("s").alias("a"), G.st_geomfromwkt("t").alias("b"))
+    got = df.select("k", "want", G.st_intersects("a", "b").alias("ab"), G.st_intersects("b", "a").alias("ba")).collect()
+    assert [r for r in got if not r.ab == r.ba == r.want] == []
+    joined = spatial_join(df.select("k", "a"), df.select(F.col("k").alias("l"), "b"), left_geom="a", right_geom="b", cell=(4.0, 4.0)).where("k = l")
+    assert sorted(r.k for r in joined.collect()) == [k for k, p in enumerate(pairs) if p[2]]
