@@ -27,8 +27,8 @@ from terravane.llm.token_files import in_order
 LENGTH = 2048
 #: Penalties in tokens: of a cut at a sentence end, of any other cut inside a document, and of a window.
 SENTENCE, INSIDE, WINDOW = 16.0, 48.0, 32.0
-#: Sentence ends are thinned to one for each so many tokens; cuts inside sentences have this distance.
-STEP, FAR = 32, 128
+#: Cuts inside sentences have this distance.
+FAR = 128
 #: Tokens that the programme runs over at a time; the last windows go to the next run.
 RUN = 1 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -43,7 +43,6 @@ def candidates(ends: np.ndarray, is_end: np.ndarray) -> tuple[np.ndarray, np.nda
     """Places where a window may end, in order, and their penalties. ends: where documents end; is_end: of each token,
     whether a sentence ends with it."""
     sentence = np.flatnonzero(is_end) + 1
-    sentence = sentence[np.r_[True, np.diff(sentence // STEP) > 0]] if len(sentence) else sentence
     places = np.union1d(ends, sentence)
     gaps = np.diff(np.r_[0, places])
     wide = np.flatnonzero(gaps > FAR)
