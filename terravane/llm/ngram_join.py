@@ -427,9 +427,9 @@ def _tasks(groups: DataFrame, postings: DataFrame, sets: DataFrame, most_sets: i
     return whole.union(dealt.select(task.alias("task"), "sid").join(sets, "sid").select("task", "sid", "n", "hashes"))
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, most_sets: int = GROUP_SETS, most_hashes: int = GROUP_HASHES) -> DataFrame:
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, most_sets: int = GROUP_SETS, most_hashes: int = GROUP_HASHES, with_sets: bool = False) -> DataFrame:
     """(id_col, n_shingles, component_id) of each document: documents link when their sets' Jaccard similarity is at
-    least percent / 100; a component's id is its smallest document id."""
+    least percent / 100; a component's id is its smallest document id. with_sets: and the digest of its set as sid."""
     spark = docs.sparkSession
     n = slices(spark)
     buckets = max(4, 2 * n // 3)  # few, as each block lists its sets for each; a task holds a number for each posting
@@ -456,23 +456,39 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     members = counted.where("kind = 0").select("blob").mapInArrow(documents, "doc long, n_shingles long, sid binary")
     members = members.join(staged(component, "set-components"), "sid", "left").withColumn("label", F.coalesce("component", "sid"))
-    members = staged(members.select("doc", "n_shingles", "label"), "members")
+    sid = ["sid"] if with_sets else []
+    members = staged(members.select("doc", "n_shingles", "label", *sid), "members")
     first = staged(members.where("n_shingles > 0").groupBy("label").agg(F.min("doc").alias("first")), "first-members")
     out = members.join(first, "label", "left").withColumn("component", F.when(F.col("n_shingles") > 0, F.col("first")).otherwise(F.col("doc")))
     named = lambda c: F.nullif(F.col(c), F.lit(MAX_LONG))
-    return out.select(named("doc").alias(id_col), "n_shingles", named("component").alias("component_id"))
+    return out.select(named("doc").alias(id_col), "n_shingles", named("component").alias("component_id"), *sid)
+
+
+def _set_ids(words: int):
+    """The digest of each text's set beside its row, as similar_components names sets."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches):
+            h, off = shingle_sets(block.column(1).combine_chunks(), words)
+            digest = set_digests(h, off)
+            sid = pa.array([d.tobytes() for d in digest], pa.binary())
+            yield from pa.table([block.column(0), block.column(1), sid], ["doc", "text", "sid"]).to_batches()
+
+    return run
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document of the smallest id of each component, and of repeated rows with its id and text one.
+    """The document of the smallest id of each component, and of repeated rows with its id and text one. Of rows that
+    share an id, each stays or goes by its own text.
 
     Rows without an id can't be named by others and stay.
     """
-    members = staged(similar_components(docs, id_col, text_col).select(id_col, "component_id"), "components")
-    gone = staged(members.where(F.col("component_id") < F.col(id_col)).select(id_col).distinct(), "gone")
-    kept = docs.join(gone, id_col, "left_anti")
+    members = staged(similar_components(docs, id_col, text_col, with_sets=True).select(id_col, "component_id", "sid"), "components")
+    gone = staged(members.where(F.col("component_id") < F.col(id_col)).select(id_col, "sid").distinct(), "gone")
     repeated = staged(members.groupBy(id_col).count().where(f"count > 1 AND `{id_col}` IS NOT NULL").select(id_col), "repeated")
-    if repeated.head(1):
-        again = kept.join(repeated, id_col, "left_semi").dropDuplicates([id_col, text_col])
-        kept = kept.join(repeated, id_col, "left_anti").unionByName(again)
-    return kept.select(docs.columns)
+    if not repeated.head(1):
+        return docs.join(gone.select(id_col), id_col, "left_anti").select(docs.columns)
+    kept = docs.join(gone.select(id_col).distinct(), id_col, "left_anti").join(repeated, id_col, "left_anti")
+    again = docs.join(repeated, id_col, "left_semi").dropDuplicates([id_col, text_col])
+    texts = again.where(F.col(text_col).isNotNull()).select(row_key(F.col(id_col)).alias("doc"), F.col(text_col).alias("text")).mapInArrow(_set_ids(WORDS), "doc long, text string, sid binary")
+    out = texts.join(gone.withColumnRenamed(id_col, "doc"), ["doc", "sid"], "left_semi").select(F.col("doc").alias(id_col), F.col("text").alias(text_col))
+    return kept.unionByName(again.join(staged(out, "gone-texts"), [id_col, text_col], "left_anti")).select(docs.columns)

@@ -101,3 +101,10 @@ def test_components_of_paths_and_stars(spark):
     star = [(7, k) for k in range(8, 40)]
     got = dict(connected_components(spark.createDataFrame(path + star + [(3, 3)], "u long, v long")).collect())
     assert got == {k: 100 for k in range(100, 161)} | {k: 7 for k in range(7, 40)}
+
+
+def test_repeated_id_drops_only_the_near_copy(spark):
+    copy, clean = " ".join(f"w{k}" for k in range(80)), " ".join(f"clean{k}" for k in range(80))
+    rows = [(1, copy), (10, copy + " more"), (10, clean), (10, clean), (10, None), (12, copy), (13, "short"), (None, copy)]
+    got = J.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted([(1, copy), (10, clean), (10, None), (13, "short"), (None, copy)], key=repr)
