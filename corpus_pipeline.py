@@ -20,7 +20,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that a document of smaller id holds; n_chars follows the text."""
-    kept = line_dedup.dedup_lines(docs)
+    kept = line_dedup.dedup_lines(docs, counts=False)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
