@@ -1,12 +1,14 @@
 """Lossless WebP columns: an encoder of payloads and a decoder of any VP8L stream to pixel arrays.
 
-The decoder reads prefix codes, back-references, the colour cache and entropy images, and inverts the predictor,
-cross-colour, subtract-green and palette transforms. Streams whose codes all have 8 bits, which the encoder writes, are
-read as whole arrays. Payloads become images of 64 RGB pixels a row and at most ROWS rows; a longer one is several
-images, end to end.
+The encoder chooses by content: a palette, predictors by block, the cross-colour or subtract-green transform, or none,
+by estimated entropy; back-references to runs seen before; a colour cache of the size that is estimated the cheapest;
+and prefix codes of the symbols' own frequencies. The decoder reads prefix codes by tables, back-references, the colour
+cache and entropy images, and inverts the four transforms; every stream goes through it. Payloads become grey
+images of 192 samples a row and at most ROWS rows; a longer one is several images, end to end.
 
 Defined results: null is an empty payload; payloads are filled with spaces to a positive multiple of 192 bytes; equal
-payloads give equal media; an empty table gives no rows.
+payloads give equal media; an empty table gives no rows; a stream that ends too early raises; digests() returns columns
+of its own and reads no others than the two it is given, and with_media() replaces a column of the name it adds.
 """
 
 from __future__ import annotations
@@ -14,15 +16,18 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WIDTH, ROWS = 64, 4096
-UNIT = 3 * WIDTH
-REVERSED = np.packbits(np.unpackbits(np.arange(256, dtype=np.uint8)).reshape(256, 8)[:, ::-1], axis=1).reshape(-1)
+WIDTH, ROWS = 192, 4096
+#: Bits that a code's table looks up at once, blocks of the predictor transform, cache sizes that are tried where a
+#: literal takes so many bits, and about the bits of a back-reference.
+TABLE_BITS, BLOCK_BITS, CACHE_BITS, CACHED_BITS, COPY_BITS = 10, 4, (0, 6, 8, 10), 8.0, 22
+HASH = 0x1E35A7BD  # fixed value of the format: the colour cache's multiplier
 #: Fixed values of the format: order of code-length codes, and near distances as (x, y).
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 NEAR = (
@@ -36,63 +41,493 @@ NEAR = (
 
 
 class BitWriter:
+    """Fields of up to 64 bits, lowest bit first."""
+
     def __init__(self) -> None:
-        self.value = self.n = 0
+        self.values: list[np.ndarray] = []
+        self.sizes: list[np.ndarray] = []
+        self.held: list[int] = []
+        self.bits: list[int] = []
 
     def put(self, value: int, bits: int) -> None:
-        self.value |= value << self.n
-        self.n += bits
+        self.held.append(value)
+        self.bits.append(bits)
+
+    def extend(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        self.values += [np.array(self.held, np.uint64), values.astype(np.uint64)]
+        self.sizes += [np.array(self.bits, np.int64), sizes.astype(np.int64)]
+        self.held, self.bits = [], []
+
+    def bytes(self) -> bytes:
+        self.extend(np.zeros(0), np.zeros(0))
+        value, size = np.concatenate(self.values), np.concatenate(self.sizes)
+        value, size = value[size > 0], size[size > 0]
+        end = np.cumsum(size)
+        if not len(end):
+            return b""
+        at = end - size
+        shift, word = (at & 63).astype(np.uint64), at >> 6
+        out = np.zeros(int(end[-1] >> 6) + 2, np.uint64)
+        first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+        out[word[first]] = np.bitwise_or.reduceat(value << shift, first)
+        out[word[first] + 1] |= np.bitwise_or.reduceat((value >> np.uint64(1)) >> (np.uint64(63) - shift), first)
+        return out.tobytes()[: -(-int(end[-1]) // 8)]
+
+
+def code_lengths(count: np.ndarray, most: int) -> np.ndarray:
+    """Lengths of a prefix code of the symbols that occur, at most so many bits each; all 0 for fewer than two."""
+    used = np.flatnonzero(count)
+    lengths = np.zeros(len(count), np.int64)
+    if len(used) < 2:
+        return lengths
+    least = 1
+    while True:  # rare symbols count as more until no code is too long
+        own = np.maximum(count[used], least)
+        order = np.argsort(own, kind="stable")
+        leaves = own[order].tolist()
+        n = len(leaves)
+        inner: list[int] = []
+        parent = [0] * (2 * n - 1)
+        a = b = 0
+        for k in range(n - 1):  # leaves and inner nodes are two rising queues
+            total = 0
+            for _ in (0, 1):
+                if b >= len(inner) or (a < n and leaves[a] <= inner[b]):
+                    total, child, a = total + leaves[a], a, a + 1
+                else:
+                    total, child, b = total + inner[b], n + b, b + 1
+                parent[child] = n + k
+            inner.append(total)
+        depth = [0] * (2 * n - 1)
+        for k in range(2 * n - 3, -1, -1):
+            depth[k] = depth[parent[k]] + 1
+        if max(depth[:n]) <= most:
+            lengths[used[order]] = depth[:n]
+            return lengths
+        least *= 2
+
+
+@cache
+def _reversed(bits: int) -> np.ndarray:
+    """Every number of so many bits with its bits reversed."""
+    out = np.zeros(1, np.int64)
+    for k in range(bits):
+        out = np.concatenate([out, out | 1 << (bits - 1 - k)])
+    return out
 
 
-def _flat_codes(w: BitWriter) -> None:
-    """Codes of 8 bits for green, red and blue; one symbol for alpha and distance."""
-    for _ in range(3):
-        w.put(0, 1)
-        w.put(12 - 4, 4)
-        for symbol in LENGTH_ORDER[:12]:
-            w.put(int(symbol == 8), 3)
-        w.put(1, 1)  # 256 lengths follow, each of no bits
-        w.put(3, 3)
-        w.put(256 - 2, 8)
-    w.put(1 | 0 << 1 | 1 << 2 | 255 << 3, 11)
-    w.put(1, 4)  # one symbol of one bit: 0
-
-
-def encode(rgb: np.ndarray) -> bytes:
-    """A WebP file of (rows, columns, 3) samples."""
-    rows, columns = rgb.shape[:2]
+def _canonical(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols in the order of their codes, and their lengths."""
+    used = np.flatnonzero(lengths)
+    used = used[np.argsort(lengths[used], kind="stable")]
+    return used, lengths[used]
+
+
+def reversed_codes(lengths: np.ndarray) -> np.ndarray:
+    """The canonical code of each symbol as it stands in the stream: its first bit lowest."""
+    used, size = _canonical(lengths)
+    out = np.zeros(len(lengths), np.uint64)
+    room = 1 << (15 - size)
+    out[used] = _reversed(15)[np.cumsum(room) - room]  # codes are left-aligned places of 15 bits
+    return out
+
+
+def _put_code(w: BitWriter, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Writes the prefix code of symbols with these counts; the code and its lengths."""
+    used = np.flatnonzero(count)
+    if len(used) == 1 and used[0] < 256:
+        w.put(1 | 1 << 2 | int(used[0]) << 3, 11)
+        return np.zeros(len(count), np.uint64), np.zeros(len(count), np.int64)
+    if len(used) <= 2 and (not len(used) or used[-1] < 256):  # a simple code of one or two symbols
+        symbols = used.tolist() or [0]
+        w.put(1 | (len(symbols) - 1) << 1 | 1 << 2, 3)
+        for s in symbols:
+            w.put(s, 8)
+        lengths = np.zeros(len(count), np.int64)
+        lengths[used] = len(symbols) - 1
+        return reversed_codes(lengths), lengths
+    lengths = code_lengths(count, 15)
+    if len(used) == 1:  # a symbol that a simple code can't name: it takes no bits either
+        lengths[used] = 1
+    symbols: list[int] = []  # of a length or a run, extra bits, how many
+    extras: list[int] = []
+    more: list[int] = []
+    edge = np.flatnonzero(np.concatenate([[True], lengths[1:] != lengths[:-1], [True]])).tolist()
+    for a, b, value in zip(edge, edge[1:], lengths[edge[:-1]].tolist()):
+        n = b - a
+        if value:
+            symbols.append(value)
+            extras.append(0)
+            more.append(0)
+            n -= 1
+        while n:
+            k, s, e, m = 1, value, 0, 0
+            if n >= 3:
+                if value:
+                    k = min(n, 6)
+                    s, e, m = 16, k - 3, 2
+                else:
+                    k = min(n, 138)
+                    s, e, m = (17, k - 3, 3) if k <= 10 else (18, k - 11, 7)
+            symbols.append(s)
+            extras.append(e)
+            more.append(m)
+            n -= k
+    small = code_lengths(np.bincount(symbols, minlength=19), 7)
+    if not small.any():
+        small[symbols[0]] = 1
+    codes = reversed_codes(small)
+    bits = np.zeros(19, np.int64) if (small > 0).sum() == 1 else small
+    last = max(k for k, s in enumerate(LENGTH_ORDER) if small[s])
+    w.put(0, 1)
+    w.put(max(last + 1, 4) - 4, 4)
+    for s in LENGTH_ORDER[: max(last + 1, 4)]:
+        w.put(int(small[s]), 3)
+    w.put(0, 1)  # lengths of the whole alphabet follow
+    size = bits[symbols]
+    w.extend(codes[symbols] | np.array(extras, np.uint64) << size.astype(np.uint64), size + np.array(more))
+    if len(used) == 1:
+        lengths[used] = 0
+    return reversed_codes(lengths), lengths
+
+
+@cache
+def _log_sums() -> np.ndarray:
+    """n log2 n of every count that an image can have."""
+    n = np.arange(WIDTH * ROWS + 1)
+    return n * np.log2(np.maximum(n, 1))
+
+
+def _entropy_bits(count: np.ndarray, totals: tuple[int, ...]) -> float:
+    """Bits of the symbols of some alphabets with these counts, end to end, and about what their codes take."""
+    table = _log_sums()
+    return sum(float(table[t]) for t in totals) - float(table[count].sum()) + 5 * int(np.count_nonzero(count))
+
+
+@cache
+def _near_codes(width: int) -> np.ndarray:
+    """The code of each small distance that a near place has, else 0."""
+    out = np.zeros(8 * width + 9, np.int64)
+    for k, (dx, dy) in reversed(list(enumerate(NEAR, 1))):
+        if dy * width + dx >= 1:
+            out[dy * width + dx] = k
+        elif k > 1:
+            out[1] = out[1] or k
+    return out
+
+
+def _prefix(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbol, extra bits and how many of lengths or distance codes from 1 on."""
+    x = values - 1
+    top = np.frexp(np.maximum(x, 1).astype(float))[1] - 1
+    big = x >= 4
+    n = np.where(big, top - 1, 0)
+    return np.where(big, 2 * top + ((x >> n) & 1), x), x & ((1 << n) - 1), n
+
+
+def _copies(pixels: np.ndarray, least: int) -> tuple[list[int], list[int], list[int]]:
+    """Where back-references stand, their lengths and distances: of each place the longest run on from the last place
+    before it with the same pixels, so many at least, taken greedily."""
+    n = len(pixels) - least + 1
+    if n < 2:
+        return [], [], []
+    p = pixels.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    key = p[:n]
+    for k in range(1, least):
+        key = (key ^ (key >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F) + p[k : n + k]
+    key = (key >> np.uint64(48)).astype(np.uint16)  # sorted by radix
+    order = np.argsort(key, kind="stable")
+    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    before = np.full(n, -1, np.int64)
+    before[order[same + 1]] = order[same]
+    found = np.flatnonzero(before >= 0)
+    for k in range(least):  # keys are hashes
+        found = found[pixels[found + k] == pixels[before[found] + k]]
+    if not len(found):
+        return [], [], []
+    distance = found - before[found]
+    broken = np.concatenate([(np.diff(found) != 1) | (np.diff(distance) != 0), [True]])
+    ends = found[broken][np.cumsum(np.concatenate([[0], broken[:-1]]))] + least
+    at, size, far, upto = [], [], [], 0
+    for a, b, d in zip(found.tolist(), ends.tolist(), distance.tolist()):
+        if a >= upto:
+            upto = min(b, a + 4096)
+            at.append(a)
+            size.append(upto - a)
+            far.append(d)
+    return at, size, far
+
+
+def _cached(pixels: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cache place of each pixel, and whether its colour is there when it comes."""
+    place = (((pixels.astype(np.uint64) * np.uint64(HASH)) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - bits)).astype(np.uint16)
+    order = np.argsort(place, kind="stable")
+    same = (place[order[1:]] == place[order[:-1]]) & (pixels[order[1:]] == pixels[order[:-1]])
+    hit = np.zeros(len(pixels), bool)
+    hit[order[1:][same]] = True
+    return place.astype(np.int64), hit
+
+
+def _put_image(w: BitWriter, pixels: np.ndarray, width: int, outer: bool = False, bits_each: float = 16.0) -> None:
+    """Writes an image of 32-bit ARGB pixels: cache, codes, tokens. bits_each: about what a literal pixel takes."""
+    n = len(pixels)
+    at, size, far = _copies(pixels, max(3, int(COPY_BITS / max(bits_each, 2.0)) + 1))
+    token = np.ones(n, bool)
+    if at:
+        inside = np.zeros(n + 1, np.int64)
+        np.add.at(inside, np.array(at), 1)
+        np.add.at(inside, np.array(at) + np.array(size), -1)
+        token = np.cumsum(inside[:-1]) == 0
+    literal = np.flatnonzero(token)
+    length = _prefix(np.array(size, np.int64))
+    far = np.array(far, np.int64)
+    near = _near_codes(width)
+    code = np.where(far < len(near), near[np.minimum(far, len(near) - 1)], 0)
+    distance = _prefix(np.where(code > 0, code, far + 120))
+    own = pixels[literal].astype(np.int64)
+    best, copied = None, 768 + 256 + length[0]
+    for bits in CACHE_BITS if bits_each >= CACHED_BITS else (0,):
+        if bits and 1 << bits > max(len(own), 32):
+            break
+        if bits:
+            place, hit = (x[literal] for x in _cached(pixels, bits))
+        else:
+            place, hit = np.zeros(len(own), np.int64), np.zeros(len(own), bool)
+        plain = own[~hit]
+        symbol = np.where(hit, 280 + place, own >> 8 & 255)
+        # the alphabets of red, blue, alpha and green end to end
+        all_of = np.concatenate([plain >> 16 & 255, 256 + (plain & 255), 512 + (plain >> 24), 768 + symbol, copied])
+        count = np.bincount(all_of, minlength=768 + 280 + (1 << bits if bits else 0))
+        cost = _entropy_bits(count, (len(plain),) * 3 + (len(symbol) + len(copied),))
+        if best is None or cost < best[0]:
+            best = (cost, bits, hit, symbol, count)
+    _, bits, hit, symbol, count = best
+    w.put(int(bits > 0) | bits << 1, 5 if bits else 1)
+    if outer:
+        w.put(0, 1)  # one group of codes
+    green, red, blue, alpha, to = (_put_code(w, c) for c in (count[768:], count[:256], count[256:512], count[512:768], np.bincount(distance[0], minlength=40)))
+    parts = [(green, symbol, None)] + [(c, own >> k & 255, hit if bits else None) for c, k in ((red, 16), (blue, 0), (alpha, 24)) if c[1].any()]
+    value, bit = np.zeros(n, np.uint64), np.zeros(n, np.int64)
+    v, b = np.zeros(len(own), np.uint64), np.zeros(len(own), np.int64)
+    for (codes, lengths), s, unless in parts:
+        more, size_of = codes[s], lengths[s]
+        if unless is not None:
+            size_of = np.where(unless, 0, size_of)
+            more = np.where(unless, np.uint64(0), more)
+        v |= more << b.astype(np.uint64)
+        b += size_of
+    value[literal], bit[literal] = v, b
+    if at:
+        v, b = green[0][256 + length[0]], green[1][256 + length[0]]
+        for more, size_of in ((length[1], length[2]), (to[0][distance[0]], to[1][distance[0]]), (distance[1], distance[2])):
+            v = v | more.astype(np.uint64) << b.astype(np.uint64)
+            b = b + size_of
+        value[at], bit[at] = v, b
+        token[at] = True
+    w.extend(value[token], bit[token])
+
+
+def _argb(pixels: np.ndarray) -> np.ndarray:
+    """Samples (…, 4), alpha first, as numbers of 32 bits."""
+    p = pixels.astype(np.uint32)
+    return (p[..., 0] << 24 | p[..., 1] << 16 | p[..., 2] << 8 | p[..., 3]).reshape(-1)
+
+
+def _sample_bits(rgb: np.ndarray) -> float:
+    """About what samples (…, 3) take as literals."""
+    n = rgb.size // 3
+    return _entropy_bits(np.bincount((rgb + np.array([0, 256, 512], np.int16)).reshape(-1), minlength=768), (n, n, n))
+
+
+def predictions(pixels: np.ndarray, mode: int) -> np.ndarray:
+    """What a mode predicts of each pixel but those of the first row and column; samples (rows, columns, 4)."""
+    flat = pixels.reshape(-1, 4).astype(np.int16)
+    w = pixels.shape[1]
+    k = np.arange(len(flat))
+    left, top, corner, right = (flat[np.maximum(k - d, 0)].reshape(pixels.shape) for d in (1, w, w + 1, w - 1))
+    return _predict(mode, left, top, corner, right).astype(np.uint8)
+
+
+def _predictor(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Residuals with the best mode of each block, and the modes."""
+    h, w = pixels.shape[:2]
+    size = 1 << BLOCK_BITS
+    bh, bw = -(-h // size), -(-w // size)
+    rest, cost = [], []
+    for mode in range(14):
+        r = pixels - predictions(pixels, mode)
+        far = np.minimum(r, 256 - r.astype(np.int16))[..., 1:].sum(axis=2)
+        far = np.pad(far, ((0, bh * size - h), (0, bw * size - w)))
+        rest.append(r)
+        cost.append(far.reshape(bh, size, bw, size).sum(axis=(1, 3)))
+    modes = np.argmin(cost, axis=0)
+    each = np.repeat(np.repeat(modes, size, axis=0), size, axis=1)[:h, :w]
+    out = np.take_along_axis(np.stack(rest), each[None, ..., None], axis=0)[0]
+    out[0, 1:] = pixels[0, 1:] - pixels[0, :-1]
+    out[1:, 0] = pixels[1:, 0] - pixels[:-1, 0]
+    out[0, 0] = pixels[0, 0] - np.array([255, 0, 0, 0], np.uint8)
+    return out, modes
+
+
+def _slope(x: np.ndarray, y: np.ndarray) -> int:
+    """The multiplier, in 32nds, that tells most of y from x; both signed."""
+    xx = float((x * x).sum())
+    return int(np.clip(round(32 * float((x * y).sum()) / xx), -128, 127)) if xx else 0
+
+
+def _cross_factors(pixels: np.ndarray) -> tuple[int, int, int]:
+    """Multipliers of green for red, green for blue and red for blue over the whole image."""
+    r, g, b = (pixels[..., k].astype(np.int8).astype(np.int32) for k in (1, 2, 3))
+    return _slope(g, r), _slope(g, b), _slope(r, b - (_slope(g, b) * g >> 5))
+
+
+def _crossed(pixels: np.ndarray, factors: tuple[int, int, int]) -> np.ndarray:
+    """Red and blue less what is told by green and red."""
+    r, g = (pixels[..., k].astype(np.int8).astype(np.int32) for k in (1, 2))
+    out = pixels.copy()
+    out[..., 1] = (pixels[..., 1] - (factors[0] * g >> 5)).astype(np.uint8)
+    out[..., 3] = (pixels[..., 3] - (factors[1] * g >> 5) - (factors[2] * r >> 5)).astype(np.uint8)
+    return out
+
+
+def _palette(w: BitWriter, argb: np.ndarray, rows: int, columns: int, plain_bits: float) -> tuple[np.ndarray, int] | None:
+    """Writes the palette transform where it is estimated to pay; the index image and its width."""
+    colours = np.unique(argb)
+    n = len(colours)
+    if n > 256:
+        return None
+    index = np.searchsorted(colours, argb)
+    pack = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
+    steps = np.diff(_channels(colours[None])[0].astype(np.int16), axis=0, prepend=np.zeros((1, 4), np.int16)).astype(np.uint8)
+    index = index.reshape(rows, columns)
+    width = (columns + (1 << pack) - 1) >> pack
+    if pack:  # several indices in a pixel
+        index = np.pad(index, ((0, 0), (0, (width << pack) - columns))).reshape(rows, width, 1 << pack)
+        index = (index << ((8 >> pack) * np.arange(1 << pack))).sum(axis=2)
+    if _one_channel_bits(index) + _sample_bits(steps[:, 1:]) >= plain_bits:
+        return None
+    w.put(1 | 3 << 1 | (n - 1) << 3, 11)
+    _put_image(w, _argb(steps), n)
+    return (np.uint32(0xFF000000) | index.astype(np.uint32) << np.uint32(8)).reshape(-1), width
+
+
+def encode(samples: np.ndarray) -> bytes:
+    """A WebP file of (rows, columns, 3) samples, or of (rows, columns) grey ones."""
+    rows, columns = samples.shape[:2]
     w = BitWriter()
     w.put(0x2F, 8)
     w.put(columns - 1, 14)
     w.put(rows - 1, 14)
-    w.put(0, 1 + 3 + 1 + 1 + 1)  # no alpha, version, transforms, colour cache, entropy image
-    _flat_codes(w)
-    shift = w.n % 8
-    body = REVERSED[rgb.reshape(-1, 3)[:, [1, 0, 2]].reshape(-1)]
-    out = np.zeros(len(body) + 1, np.uint8)
-    out[:-1] = body << shift
-    out[1:] |= (body.astype(np.uint16) >> (8 - shift)).astype(np.uint8)
-    out[0] |= w.value >> (w.n - shift)
-    data = (w.value & ((1 << (w.n - shift)) - 1)).to_bytes(w.n // 8, "little") + out.tobytes()
+    w.put(0, 1 + 3)  # no alpha, version
+    if samples.ndim == 2:
+        _put_grey(w, samples)
+    else:
+        _put_colours(w, samples)
+    data = w.bytes()
     chunk = b"VP8L" + len(data).to_bytes(4, "little") + data + b"\0" * (len(data) % 2)
     return b"RIFF" + (len(chunk) + 4).to_bytes(4, "little") + b"WEBP" + chunk
 
 
+def _one_channel_bits(grey: np.ndarray) -> float:
+    return _entropy_bits(np.bincount(grey.reshape(-1), minlength=256), (grey.size,))
+
+
+def _put_grey(w: BitWriter, grey: np.ndarray) -> None:
+    """A grey image: green alone varies under the subtract-green transform, of the predictor's residuals or of the samples,
+    or the indices of a palette."""
+    rows, columns = grey.shape
+    argb = np.uint32(0xFF000000) | grey.reshape(-1).astype(np.uint32) * np.uint32(0x10101)
+    bits = _one_channel_bits(grey)
+    if indexed := _palette(w, argb, rows, columns, bits):
+        w.put(0, 1)
+        _put_image(w, *indexed, outer=True, bits_each=bits / len(indexed[0]))
+        return
+    if rows > 1 and min(_one_channel_bits(grey[1:] - grey[:-1]), _one_channel_bits(grey[:, 1:] - grey[:, :-1])) < 0.95 * bits:
+        rest, modes = _predictor(_channels(argb.reshape(rows, columns)))
+        if (less := _one_channel_bits(rest[..., 2])) + 4 * modes.size < bits:
+            w.put(1 | 0 << 1 | (BLOCK_BITS - 2) << 3, 6)
+            _put_image(w, 0xFF000000 | modes.reshape(-1).astype(np.uint32) << 8, modes.shape[1])
+            grey, bits = rest[..., 2], less
+            argb = grey.reshape(-1).astype(np.uint32) << np.uint32(8)  # alpha is predicted too
+    w.put(1 | 2 << 1, 3)
+    w.put(0, 1)
+    _put_image(w, argb & np.uint32(0xFF00FF00), columns, outer=True, bits_each=bits / grey.size)
+
+
+def _put_colours(w: BitWriter, rgb: np.ndarray) -> None:
+    rows, columns = rgb.shape[:2]
+    pixels = np.concatenate([np.full((rows, columns, 1), 255, np.uint8), rgb], axis=2)
+    bits = _sample_bits(rgb)
+    if indexed := _palette(w, _argb(pixels), rows, columns, bits):
+        w.put(0, 1)
+        _put_image(w, *indexed, outer=True)
+        return
+    if rows > 1 and columns > 1 and min(_sample_bits(rgb[1:] - rgb[:-1]), _sample_bits(rgb[:, 1:] - rgb[:, :-1])) < 0.95 * bits:
+        rest, modes = _predictor(pixels)
+        if (less := _sample_bits(rest[..., 1:])) + 4 * modes.size < bits:
+            w.put(1 | 0 << 1 | (BLOCK_BITS - 2) << 3, 6)
+            _put_image(w, 0xFF000000 | modes.reshape(-1).astype(np.uint32) << 8, modes.shape[1])
+            pixels, bits = rest, less
+    green = pixels.copy()
+    green[..., 1] -= pixels[..., 2]
+    green[..., 3] -= pixels[..., 2]
+    factors = _cross_factors(pixels)
+    crossed = _crossed(pixels, factors)
+    no_green, no_cross = _sample_bits(green[..., 1:]), _sample_bits(crossed[..., 1:]) + 64
+    if no_cross < min(bits, no_green):
+        size, (gr, gb, rb) = 9, (f & 255 for f in factors)
+        w.put(1 | 1 << 1 | (size - 2) << 3, 6)
+        blocks = (-(-rows // 512), -(-columns // 512))
+        _put_image(w, np.full(blocks[0] * blocks[1], 0xFF000000 | rb << 16 | gb << 8 | gr, np.uint32), blocks[1])
+        pixels = crossed
+    elif no_green < bits:
+        w.put(1 | 2 << 1, 3)
+        pixels = green
+    w.put(0, 1)
+    _put_image(w, _argb(pixels), columns, outer=True, bits_each=min(bits, no_green, no_cross) / (rgb.size // 3))
+
+
 class Code:
-    """A canonical prefix code; one symbol takes no bits."""
+    """A canonical prefix code as a table of the next TABLE_BITS bits: symbol and length in one number, -1 where the code
+    is longer; those are in a dictionary by length and bits. One symbol takes no bits."""
 
     def __init__(self, lengths: list[int]) -> None:
-        used = [s for s, n in enumerate(lengths) if n]
-        self.single = used[0] if len(used) == 1 else 0 if not used else None
-        self.symbols: dict[tuple[int, int], int] = {}
-        code = 0
-        for n in range(1, 16):
-            for s in used if self.single is None else ():
-                if lengths[s] == n:
-                    self.symbols[n, code] = s
-                    code += 1
-            code <<= 1
-        self.flat = len(used) == 256 and used[-1] == 255 and all(lengths[s] == 8 for s in used)
+        size = np.array(lengths, np.int64)
+        used = np.flatnonzero(size)
+        self.single = len(used) < 2
+        if self.single:
+            self.table = [int(used[0]) << 4 if len(used) else 0]
+            self.mask = 0
+            return
+        used, size = _canonical(size)
+        self.most = int(size[-1])
+        bits = min(self.most, TABLE_BITS)
+        entry = used << 4 | size
+        short = np.searchsorted(size, bits, "right")
+        by_first = np.full(1 << bits, -1, np.int64)  # by the bits as a code is written, first bit highest
+        found = np.repeat(entry[:short], 1 << (bits - size[:short]))
+        by_first[: len(found)] = found
+        self.table, self.mask = by_first[_reversed(bits)].tolist(), (1 << bits) - 1
+        self.longer: dict[tuple[int, int], int] = {}
+        if short < len(used):
+            room = 1 << (15 - size)
+            code = _reversed(15)[np.cumsum(room) - room]
+            self.longer = {(n, c): e for n, c, e in zip(size[short:].tolist(), code[short:].tolist(), entry[short:].tolist())}
+
+    def long(self, value: int) -> int:
+        for n in range(TABLE_BITS + 1, self.most + 1):
+            found = self.longer.get((n, value & ((1 << n) - 1)))
+            if found is not None:
+                return found
+        raise ValueError("no such prefix code")
+
+
+def _fixed(red: list, r_code: Code, blue: list, b_code: Code, alpha: list, a_code: Code) -> tuple[int, int]:
+    """Alpha where it is one symbol, and all but green where they are; else -1."""
+    if not a_code.single:
+        return -1, -1
+    a = alpha[0] >> 4 << 24
+    return a, a | red[0] >> 4 << 16 | blue[0] >> 4 if r_code.single and b_code.single else -1
 
 
 class Vp8l:
@@ -107,21 +542,15 @@ class Vp8l:
         if self.bits(3):
             raise ValueError("unknown version")
 
-    def bits(self, n: int) -> int:
+    def peek(self, bits: int = 32) -> int:
+        """The next bits, and perhaps some more; zeros after the end."""
         first = self.at >> 3
-        value = int.from_bytes(self.data[first : first + (n + 14) // 8], "little") >> (self.at & 7)
-        self.at += n
-        return value & ((1 << n) - 1)
+        return int.from_bytes(self.data[first : first + bits // 8 + 1], "little") >> (self.at & 7)
 
-    def symbol(self, code: Code) -> int:
-        if code.single is not None:
-            return code.single
-        value = 0
-        for n in range(1, 16):
-            value = value << 1 | self.bits(1)
-            if (found := code.symbols.get((n, value))) is not None:
-                return found
-        raise ValueError("no such prefix code")
+    def bits(self, n: int) -> int:
+        value = self.peek() & ((1 << n) - 1)
+        self.at += n
+        return value
 
     def code(self, size: int) -> Code:
         lengths = [0] * size
@@ -135,27 +564,30 @@ class Vp8l:
             small[symbol] = self.bits(3)
         small_code = Code(small)
         left = 2 + self.bits(2 + 2 * self.bits(3)) if self.bits(1) else size
-        at, before = 0, 8
+        table, mask = small_code.table, small_code.mask
+        at, before, held, value = 0, 8, 0, 0
         while at < size and left:
             left -= 1
-            s = self.symbol(small_code)
+            if held < 14:  # no token takes more
+                value, held = self.peek(120), 120
+            s = table[value & mask]
+            n, s = s & 15, s >> 4
             if s < 16:
                 lengths[at] = s
                 at += 1
                 before = s or before
             else:
-                n = 3 + self.bits(2) if s == 16 else 3 + self.bits(3) if s == 17 else 11 + self.bits(7)
-                lengths[at : at + n] = [before if s == 16 else 0] * n
-                at += n
+                extra = 2 if s == 16 else 3 if s == 17 else 7
+                run = (11 if s == 18 else 3) + (value >> n & ((1 << extra) - 1))
+                if s == 16:
+                    lengths[at : at + run] = [before] * run
+                at += run
+                n += extra
+            value >>= n
+            held -= n
+            self.at += n
         return Code(lengths[:size])
 
-    def copied(self, symbol: int) -> int:
-        """Length or distance of a prefix symbol."""
-        if symbol < 4:
-            return symbol + 1
-        extra = (symbol - 2) >> 1
-        return ((2 + (symbol & 1)) << extra) + self.bits(extra) + 1
-
     def image(self, width: int, height: int, outer: bool = False) -> np.ndarray:
         cache_bits = self.bits(4) if self.bits(1) else 0
         cache = [0] * (1 << cache_bits) if cache_bits else []
@@ -166,47 +598,156 @@ class Vp8l:
             groups = (self.image(step, (height + (1 << group_bits) - 1) >> group_bits) >> 8 & 0xFFFF).tolist()
             n_groups = max(max(r) for r in groups) + 1
         codes = [[self.code(n) for n in (280 + len(cache), 256, 256, 256, 40)] for _ in range(n_groups)]
-        if n_groups == 1 and not cache and all(c.flat for c in codes[0][:3]) and codes[0][3].single is not None:
-            return self.whole(width, height, codes[0][3].single)
+        tables = [[x for c in own for x in (c.table, c.mask, c)] for own in codes]
+        (green, g_mask, g_code, red, r_mask, r_code, blue, b_mask, b_code, alpha, a_mask, a_code, to, t_mask, t_code) = tables[0]
+        fixed, one = _fixed(red, r_code, blue, b_code, alpha, a_code)
+        if one >= 0 and not groups and not cache:
+            return self.green(codes[0][0], to, t_mask, t_code, one, width, height)
+        data, total = self.data, width * height
+        byte, held = self.at >> 3, 0  # next byte to take, and bits that are taken but not used
+        value = 0
+        if self.at & 7:
+            value, held, byte = data[byte] >> (self.at & 7), 8 - (self.at & 7), byte + 1
         out: list[int] = []
-        filled = 0  # pixels that are in the cache
-
-        def fill() -> None:
-            nonlocal filled
-            for p in out[filled:] if cache else ():
-                cache[(0x1E35A7BD * p & 0xFFFFFFFF) >> (32 - cache_bits)] = p
-            filled = len(out)
-
-        while len(out) < width * height:
-            y, x = divmod(len(out), width)
-            green, red, blue, alpha, distance = codes[groups[y >> group_bits][x >> group_bits] if groups else 0]
-            s = self.symbol(green)
-            if s < 256:
-                r, b, a = self.symbol(red), self.symbol(blue), self.symbol(alpha)
-                out.append(a << 24 | r << 16 | s << 8 | b)
-            elif s < 280:
-                n, d = self.copied(s - 256), self.copied(self.symbol(distance))
+        filled = n_out = 0  # pixels in the cache, and in out
+        shift = 32 - cache_bits
+        while n_out < total:
+            if held < 96:  # no token takes more
+                value |= int.from_bytes(data[byte : byte + 16], "little") << held
+                held += 128
+                byte += 16
+            if groups:
+                own = tables[groups[n_out // width >> group_bits][n_out % width >> group_bits]]
+                (green, g_mask, g_code, red, r_mask, r_code, blue, b_mask, b_code, alpha, a_mask, a_code, to, t_mask, t_code) = own
+                fixed, one = _fixed(red, r_code, blue, b_code, alpha, a_code)
+            s = green[value & g_mask]
+            if s < 0:
+                s = g_code.long(value)
+            n = s & 15
+            value >>= n
+            held -= n
+            if s < 4096:  # 256 << 4: a literal
+                if one >= 0:
+                    out.append(one | s >> 4 << 8)
+                    n_out += 1
+                    continue
+                r = red[value & r_mask]
+                if r < 0:
+                    r = r_code.long(value)
+                n = r & 15
+                value >>= n
+                held -= n
+                b = blue[value & b_mask]
+                if b < 0:
+                    b = b_code.long(value)
+                n = b & 15
+                value >>= n
+                held -= n
+                if fixed < 0:
+                    a = alpha[value & a_mask]
+                    if a < 0:
+                        a = a_code.long(value)
+                    value >>= a & 15
+                    held -= a & 15
+                    out.append(a >> 4 << 24 | r >> 4 << 16 | s >> 4 << 8 | b >> 4)
+                else:
+                    out.append(fixed | r >> 4 << 16 | s >> 4 << 8 | b >> 4)
+                n_out += 1
+            elif s < 4480:  # 280 << 4: a copy
+                pair = []
+                for x in (s >> 4) - 256, -1:
+                    if x < 0:
+                        x = to[value & t_mask]
+                        if x < 0:
+                            x = t_code.long(value)
+                        value >>= x & 15
+                        held -= x & 15
+                        x >>= 4
+                    if x >= 4:
+                        n = (x - 2) >> 1
+                        x = ((2 + (x & 1)) << n) + (value & ((1 << n) - 1))
+                        value >>= n
+                        held -= n
+                    pair.append(x + 1)
+                n, d = pair
                 if d > 120:
                     d -= 120
                 else:
                     dx, dy = NEAR[d - 1]
                     d = max(1, dy * width + dx)
-                for _ in range(min(n, width * height - len(out))):
-                    out.append(out[-d])
+                if d > n_out:
+                    raise ValueError("a copy from before the image")
+                n = min(n, total - n_out)
+                out += out[n_out - d : n_out - d + n] if d >= n else (out[-d:] * (n // d + 1))[:n]
+                n_out += n
             else:
-                fill()
-                out.append(cache[s - 280])
+                for p in out[filled:]:
+                    cache[(HASH * p & 0xFFFFFFFF) >> shift] = p
+                filled = n_out
+                out.append(cache[(s >> 4) - 280])
+                n_out += 1
+        self.at = 8 * byte - held
+        if self.at > 8 * len(data):
+            raise ValueError("the stream ends too early")
         return np.array(out, np.uint32).reshape(height, width)
 
-    def whole(self, width: int, height: int, alpha: int) -> np.ndarray:
-        """Pixels whose samples have 8 bits each."""
-        n, shift, first = 3 * width * height, self.at & 7, self.at >> 3
-        raw = np.frombuffer(self.data, np.uint8, n + (shift > 0), first)
-        if shift:
-            raw = (raw[:-1] >> shift) | (raw[1:] << (8 - shift))
-        self.at += 8 * n
-        grb = REVERSED[raw].reshape(-1, 3).astype(np.uint32)
-        return (np.uint32(alpha) << np.uint32(24) | grb[:, 1] << 16 | grb[:, 0] << 8 | grb[:, 2]).reshape(height, width)
+    def green(self, code: Code, to: list, t_mask: int, t_code: Code, one: int, width: int, height: int) -> np.ndarray:
+        """Pixels of which green alone varies, without a cache."""
+        data, total = self.data, width * height
+        table, mask = code.table, code.mask
+        byte, held, value = self.at >> 3, 0, 0
+        if self.at & 7:
+            value, held, byte = data[byte] >> (self.at & 7), 8 - (self.at & 7), byte + 1
+        out = bytearray()
+        append = out.append
+        n_out = 0
+        while n_out < total:
+            if held < 96:  # no token takes more
+                value |= int.from_bytes(data[byte : byte + 16], "little") << held
+                held += 128
+                byte += 16
+            s = table[value & mask]
+            if s < 0:
+                s = code.long(value)
+            n = s & 15
+            value >>= n
+            held -= n
+            if s < 4096:  # 256 << 4: a literal
+                append(s >> 4)
+                n_out += 1
+                continue
+            x = (s >> 4) - 256
+            if x >= 4:
+                n = (x - 2) >> 1
+                x = ((2 + (x & 1)) << n) + (value & ((1 << n) - 1))
+                value >>= n
+                held -= n
+            size = min(x + 1, total - n_out)
+            x = to[value & t_mask]
+            if x < 0:
+                x = t_code.long(value)
+            n = x & 15
+            value >>= n
+            held -= n
+            x >>= 4
+            if x >= 4:
+                n = (x - 2) >> 1
+                x = ((2 + (x & 1)) << n) + (value & ((1 << n) - 1))
+                value >>= n
+                held -= n
+            if x >= 120:
+                d = x - 119
+            else:
+                dx, dy = NEAR[x]
+                d = max(1, dy * width + dx)
+            if d > n_out:
+                raise ValueError("a copy from before the image")
+            out += out[n_out - d : n_out - d + size] if d >= size else (out[-d:] * (size // d + 1))[:size]
+            n_out += size
+        self.at = 8 * byte - held
+        if self.at > 8 * len(data):
+            raise ValueError("the stream ends too early")
+        return np.uint32(one) | np.frombuffer(out, np.uint8).astype(np.uint32).reshape(height, width) << np.uint32(8)
 
     def decode(self) -> np.ndarray:
         steps, width = [], self.width
@@ -262,41 +803,50 @@ def uncross(pixels: np.ndarray, size: int, data: np.ndarray) -> np.ndarray:
     return out
 
 
-def _predicted(mode: int, left, top, corner, right) -> list[int]:
-    """left, top, top-left and top-right pixels as lists of samples."""
-    half = lambda a, b: [(p + q) >> 1 for p, q in zip(a, b, strict=True)]
-    clip = lambda v: min(max(v, 0), 255)
+def _predict(mode: int, left, top, corner, right):
+    """A mode's guess from the left, top, top-left and top-right samples, as arrays (…, 4) of signed numbers."""
+    half = lambda a, b: (a + b) >> 1
     if mode == 11:
-        near_left = sum(abs(t - c) for t, c in zip(top, corner, strict=True))
-        near_top = sum(abs(x - c) for x, c in zip(left, corner, strict=True))
-        return left if near_left < near_top else top
+        near_left = np.abs(top - corner).sum(axis=-1, keepdims=True)
+        near_top = np.abs(left - corner).sum(axis=-1, keepdims=True)
+        return np.where(near_left < near_top, left, top)
     if mode == 12:
-        return [clip(x + t - c) for x, t, c in zip(left, top, corner, strict=True)]
+        return np.clip(left + top - corner, 0, 255)
     if mode == 13:
-        return [clip(a + int((a - c) / 2)) for a, c in zip(half(left, top), corner, strict=True)]
-    return {
+        mean = half(left, top)
+        step = mean - corner
+        return np.clip(mean + (step + (step < 0) >> 1), 0, 255)  # halves go towards 0
+    guess = {
         1: lambda: left, 2: lambda: top, 3: lambda: right, 4: lambda: corner, 5: lambda: half(half(left, right), top), 6: lambda: half(left, corner), 7: lambda: half(left, top),
         8: lambda: half(corner, top), 9: lambda: half(top, right), 10: lambda: half(half(left, corner), half(top, right)),
-    }.get(mode, lambda: [255, 0, 0, 0])()
+    }.get(mode)
+    return guess() if guess else np.zeros_like(left) + np.array([255, 0, 0, 0], left.dtype)
 
 
 def unpredict(pixels: np.ndarray, size: int, data: np.ndarray) -> np.ndarray:
-    """Adds each pixel's prediction from the decoded ones before it."""
+    """Adds each pixel's prediction from the decoded ones before it. Stretches of a row whose mode doesn't look to the
+    left are added at once, those of mode 1 as running sums, others pixel by pixel."""
     h, w = pixels.shape[:2]
-    modes = _channels(data)[..., 2] & 15
-    flat = pixels.reshape(-1, 4).tolist()
-    for k, p in enumerate(flat):
-        y, x = divmod(k, w)
-        if not k:
-            guess = [255, 0, 0, 0]
-        elif not y:
-            guess = flat[k - 1]
-        elif not x:
-            guess = flat[k - w]
-        else:  # to the right of the last column is the row's own first pixel
-            guess = _predicted(int(modes[y >> size, x >> size]), flat[k - 1], flat[k - w], flat[k - w - 1], flat[k - w + 1])
-        flat[k] = [(a + b) & 255 for a, b in zip(p, guess, strict=True)]
-    return np.array(flat, np.uint8).reshape(h, w, 4)
+    modes = (_channels(data)[..., 2] & 15).tolist()
+    out = pixels.copy()
+    out[0, 0] += np.array([255, 0, 0, 0], np.uint8)
+    out[0] = np.cumsum(out[0], axis=0, dtype=np.uint8)
+    flat = out.reshape(-1, 4)
+    for y in range(1, h):
+        out[y, 0] += out[y - 1, 0]
+        for bx, mode in enumerate(modes[y >> size]):
+            a, b = max(1, bx << size), min(w, (bx + 1) << size)
+            if a >= b:
+                continue
+            k = y * w + a  # to the right of the last column is the row's own first pixel
+            if mode == 1:
+                flat[k - 1 : k - 1 + b - a + 1] = np.cumsum(flat[k - 1 : k + b - a], axis=0, dtype=np.uint8)
+                continue
+            spans = [(k, k + b - a)] if mode in (0, 2, 3, 4, 8, 9, 14, 15) else [(j, j + 1) for j in range(k, k + b - a)]
+            for i, j in spans:
+                left, top, corner, right = (flat[i - d : j - d].astype(np.int16) for d in (1, w, w + 1, w - 1))
+                flat[i:j] += _predict(mode, left, top, corner, right).astype(np.uint8)
+    return out
 
 
 def decode(data: bytes) -> np.ndarray:
@@ -320,23 +870,23 @@ def files(media: bytes) -> Iterator[bytes]:
 
 
 def store(payload: bytes) -> bytes:
-    """A payload, filled up, as images end to end."""
-    room = max(UNIT, -(-len(payload) // UNIT) * UNIT)
-    rows = np.frombuffer(payload.ljust(room, b" "), np.uint8).reshape(-1, WIDTH, 3)
+    """A payload, filled up, as grey images end to end."""
+    room = max(WIDTH, -(-len(payload) // WIDTH) * WIDTH)
+    rows = np.frombuffer(payload.ljust(room, b" "), np.uint8).reshape(-1, WIDTH)
     return b"".join(encode(rows[k : k + ROWS]) for k in range(0, len(rows), ROWS))
 
 
 def load(media: bytes) -> np.ndarray:
-    """The stored samples as rows of RGB pixels."""
-    return np.concatenate([decode(f)[..., 1:] for f in files(media)])
+    """The stored samples as rows."""
+    return np.concatenate([decode(f)[..., 2] for f in files(media)])
 
 
-def features(rgb: np.ndarray) -> str:
-    """Size, mean sample of each channel and entropy of all samples in bits."""
-    count = np.bincount(rgb.reshape(-1), minlength=256)
-    share = count[count > 0] / count.sum()
-    mean = rgb.reshape(-1, 3).mean(axis=0)
-    return f"{rgb.shape[1]}x{rgb.shape[0]};{mean[0]:.4f},{mean[1]:.4f},{mean[2]:.4f};{abs(-(share * np.log2(share)).sum()):.4f}"
+def features(samples: np.ndarray) -> str:
+    """Size, mean sample and entropy of the samples in bits."""
+    count = np.bincount(samples.reshape(-1), minlength=256)
+    n = samples.size
+    bits = float(_log_sums()[n] - _log_sums()[count].sum()) / n if n < len(_log_sums()) else -sum(c / n * np.log2(c / n) for c in count[count > 0].tolist())
+    return f"{samples.shape[1]}x{samples.shape[0]};{float(samples.mean()):.4f};{abs(bits):.4f}"
 
 
 def with_media(docs: DataFrame, text_col: str = "text", media_col: str = "media") -> DataFrame:
@@ -355,9 +905,9 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             rows = []
             for size, media in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
                 media = media.as_buffer().to_pybytes()
-                rgb = load(media)
-                payload = rgb.tobytes()
-                rows.append((size, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), features(rgb)))
+                samples = load(media)
+                payload = samples.tobytes()
+                rows.append((size, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), features(samples)))
             names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in zip(*rows, strict=True))], names)
 

@@ -1,5 +1,8 @@
+import base64
 import hashlib
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -19,16 +22,30 @@ def stream(width, height, build):
     w.put(height - 1, 14)
     w.put(0, 4)
     build(w)
-    return W.Vp8l(w.value.to_bytes(w.n // 8 + 9, "little")).decode()
+    return W.Vp8l(w.bytes()).decode()
+
+
+def _flat_codes(w):
+    """Codes of 8 bits for green, red and blue; one symbol for alpha and distance."""
+    for _ in range(3):
+        w.put(0, 1)
+        w.put(12 - 4, 4)
+        for symbol in W.LENGTH_ORDER[:12]:
+            w.put(int(symbol == 8), 3)
+        w.put(1, 1)  # 256 lengths follow, each of no bits
+        w.put(3, 3)
+        w.put(256 - 2, 8)
+    w.put(1 | 0 << 1 | 1 << 2 | 255 << 3, 11)
+    w.put(1, 4)  # one symbol of one bit: 0
 
 
 def flat_image(w, argb, outer=True):
     """Literal pixels; alpha 255."""
     w.put(0, 2 if outer else 1)
-    W._flat_codes(w)
+    _flat_codes(w)
     for a, r, g, b in argb.reshape(-1, 4).tolist():
         for v in (g, r, b):
-            w.put(int(W.REVERSED[v]), 8)
+            w.put(int(f"{v:08b}"[::-1], 2), 8)
 
 
 def test_round_trip():
@@ -38,7 +55,7 @@ def test_round_trip():
         assert (W.decode(W.encode(rgb)) == channels(rgb)).all()
 
 
-@pytest.mark.parametrize("payload", [b"", b"x", bytes(range(256)) * 9, b"a" * (W.UNIT * W.ROWS + 1)])
+@pytest.mark.parametrize("payload", [b"", b"x", bytes(range(256)) * 9, b"a" * (W.WIDTH * W.ROWS + 1)])
 def test_payloads(payload):
     back = W.load(W.store(payload)).tobytes()
     assert back.rstrip(b" ") == payload.rstrip(b" ") and len(back) % 192 == 0 and len(back) >= 192
@@ -66,18 +83,102 @@ def test_subtract_green_and_cross_colour():
             assert got[y, x].tolist() == [255, (r2 + g) & 255, g, (b2 + g) & 255]
 
 
+def predicted(mode, left, top, corner, right):
+    """One pixel's prediction, channel by channel."""
+    half = lambda a, b: [(p + q) // 2 for p, q in zip(a, b)]
+    clip = lambda v: min(max(v, 0), 255)
+    if mode == 11:
+        guess = [x + t - c for x, t, c in zip(left, top, corner)]
+        far = lambda v: sum(abs(a - b) for a, b in zip(guess, v))
+        return left if far(left) < far(top) else top
+    if mode == 12:
+        return [clip(x + t - c) for x, t, c in zip(left, top, corner)]
+    if mode == 13:
+        return [clip(a + int((a - c) / 2)) for a, c in zip(half(left, top), corner)]
+    return [
+        [255, 0, 0, 0], left, top, right, corner, half(half(left, right), top), half(left, corner), half(left, top),
+        half(corner, top), half(top, right), half(half(left, corner), half(top, right)),
+    ][mode]
+
+
 @pytest.mark.parametrize("mode", range(14))
 def test_predictor(mode):
     rng = np.random.default_rng(mode)
-    want = channels(rng.integers(0, 256, (5, 6, 3), dtype=np.uint8))
+    want = channels(rng.integers(0, 256, (9, 10, 3), dtype=np.uint8))
     res = np.zeros_like(want)
-    for y in range(5):
-        for x in range(6):
-            at = lambda v, u: want.reshape(-1, 4)[v * 6 + u].tolist()
-            guess = [255, 0, 0, 0] if not x + y else at(y, x - 1) if not y else at(y - 1, x) if not x else W._predicted(mode, at(y, x - 1), at(y - 1, x), at(y - 1, x - 1), at(y - 1, x + 1))
+    for y in range(9):
+        for x in range(10):
+            at = lambda v, u: want.reshape(-1, 4)[v * 10 + u].tolist()
+            guess = [255, 0, 0, 0] if not x + y else at(y, x - 1) if not y else at(y - 1, x) if not x else predicted(mode, at(y, x - 1), at(y - 1, x), at(y - 1, x - 1), at(y - 1, x + 1))
             res[y, x] = (want[y, x].astype(int) - guess) & 255
-    data = np.full((2, 2), mode << 8, np.uint32)
-    assert (W.unpredict(res, 2, data)[..., 1:] == want[..., 1:]).all()
+    data = np.full((3, 3), mode << 8, np.uint32)
+    assert (W.unpredict(res, 2, data) == want).all()
+    assert (W.predictions(want, mode)[1:, 1:] == (want.astype(int) - res)[1:, 1:] & 255).all()
+
+
+def used(monkeypatch, samples):
+    """What the decoder meets in an encoded image: transforms, cached colours, copies."""
+    seen = set()
+    for name in ("unpredict", "uncross"):
+        f = getattr(W, name)
+        monkeypatch.setattr(W, name, lambda *a, f=f, name=name: (seen.add(name), f(*a))[1])
+    copies, code, puts = W._copies, W.Vp8l.code, W.BitWriter.put
+    monkeypatch.setattr(W, "_copies", lambda *a: (r := copies(*a), seen.add("copies") if r[0] else None)[0])
+    monkeypatch.setattr(W.Vp8l, "code", lambda self, n: (seen.add("cache") if n > 280 else None, code(self, n))[1])
+    monkeypatch.setattr(W.BitWriter, "put", lambda self, v, n: (seen.add("palette") if n == 11 and v & 7 == 7 else seen.add("green") if (v, n) == (5, 3) else None, puts(self, v, n))[1])
+    media = W.encode(samples)
+    back = W.decode(media)[..., 1:] if samples.ndim == 3 else W.decode(media)[..., 2]
+    assert (back == samples).all()
+    return seen, len(media)
+
+
+def test_content_chooses_the_transforms(monkeypatch):
+    rng = np.random.default_rng(4)
+    y, x = np.mgrid[:100, :80]
+    smooth = np.stack([3 * x + y * y // 9, x * 2 + y, y * 2 + x * x // 30], axis=2).astype(np.uint8)
+    assert "unpredict" in used(monkeypatch, (smooth + rng.integers(0, 3, smooth.shape)).astype(np.uint8))[0]
+    assert "unpredict" in used(monkeypatch, smooth[..., 0])[0]
+    green = rng.integers(0, 256, (60, 64), dtype=np.uint8)
+    s8 = green.astype(np.int8).astype(int)
+    tinted = np.stack([(s8 * 20 >> 5) + rng.integers(0, 3, green.shape), green, (s8 * -9 >> 5)], axis=2).astype(np.uint8)
+    assert "uncross" in used(monkeypatch, tinted)[0]
+    few = rng.integers(0, 256, (9, 3), dtype=np.uint8)[rng.integers(0, 9, (50, 33))]
+    assert "palette" in used(monkeypatch, few)[0]
+    many = rng.integers(0, 256, (3000, 3), dtype=np.uint8)[np.minimum(rng.zipf(1.3, (60, 64)), 2999)]
+    assert "cache" in used(monkeypatch, many)[0]
+    assert "copies" in used(monkeypatch, np.tile(rng.integers(0, 256, (7, 64, 3), dtype=np.uint8), (5, 1, 1)))[0]
+    text = np.frombuffer(b"some words of a text that comes again and again, some words of " * 192, np.uint8).reshape(-1, 192)
+    seen, size = used(monkeypatch, text)
+    assert {"green", "copies"} <= seen and size < text.size / 20
+
+
+def test_a_file_of_another_encoder():
+    """The one-pixel lossless file that browsers are asked with whether they know the format: a clear pixel."""
+    data = base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA==")
+    assert W.decode(data).tolist() == [[[0, 0, 0, 0]]]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_any_samples(seed):
+    rng = np.random.default_rng(seed)
+    shape = tuple(rng.integers(1, 40, 2))
+    kind = rng.integers(0, 4)
+    top = 256 if kind == 0 else 2 if kind == 1 else 17 if kind == 2 else 5
+    rgb = rng.integers(0, top, (*shape, 3), dtype=np.uint8)
+    assert (W.decode(W.encode(rgb))[..., 1:] == rgb).all() and (W.decode(W.encode(rgb[..., 0]))[..., 2] == rgb[..., 0]).all()
+
+
+def test_skewed_counts_keep_within_the_longest_code():
+    count = np.array([1 << min(k, 40) for k in range(30)])
+    for most in (7, 15):
+        lengths = W.code_lengths(count, most)
+        assert lengths.max() <= most and sum(2.0 ** -lengths) == 1
+
+
+def test_truncated_stream_raises():
+    media = W.store(bytes(range(256)) * 12)
+    with pytest.raises((ValueError, IndexError)):
+        W.load(media[: len(media) // 2])
 
 
 def test_palette_with_packed_indices():
@@ -147,7 +248,12 @@ def test_query(spark, where, edge_dir):
     for r in spark.read.parquet(f"{where}/documents.parquet").collect():
         raw = (r.text or "").encode()
         p = raw.ljust(max(192, -(-len(raw) // 192) * 192), b" ")
-        want.append((r.doc_id, len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:])))
+        media = W.store(raw)
+        n, count = len(p), Counter(p)
+        assert b"".join(W.decode(f)[..., 2].tobytes() for f in W.files(media)) == p
+        feature = f"192x{n // 192};{sum(p) / n:.4f};{sum(-c / n * math.log2(c / n) for c in count.values()) + 0.0:.4f}"
+        want.append((r.doc_id, len(raw), n, hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature))
     got = op4_webp(spark, where).collect()
-    assert sorted((tuple(r)[:5] for r in got), key=repr) == sorted(want, key=repr)
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    assert sum(r.media_bytes for r in got) < 0.6 * sum(r.payload_bytes for r in got)
     assert len({r.payload_sha256 for r in got}) == len({(r.payload_sha256, r.media_sha256, r.media_bytes, r.feature) for r in got})
