@@ -216,13 +216,19 @@ def _near_codes(width: int) -> np.ndarray:
     return out
 
 
-def _prefix(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbol, extra bits and how many of lengths or distance codes from 1 on."""
-    x = values - 1
+@cache
+def _prefixes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbol, extra bits and how many of every length or distance code up to an image's last place."""
+    x = np.arange(-1, WIDTH * ROWS + 128)
     top = np.frexp(np.maximum(x, 1).astype(float))[1] - 1
-    big = x >= 4
-    n = np.where(big, top - 1, 0)
-    return np.where(big, 2 * top + ((x >> n) & 1), x), x & ((1 << n) - 1), n
+    n = np.where(x >= 4, top - 1, 0)
+    return np.where(x >= 4, 2 * top + ((x >> n) & 1), x), x & ((1 << n) - 1), n
+
+
+def _prefix(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if len(values) and values.max() >= len(_prefixes()[0]):
+        raise ValueError("the image is too large")
+    return tuple(t[values] for t in _prefixes())
 
 
 def _copies(pixels: np.ndarray, least: int) -> tuple[list[int], list[int], list[int]]:
@@ -231,30 +237,36 @@ def _copies(pixels: np.ndarray, least: int) -> tuple[list[int], list[int], list[
     n = len(pixels) - least + 1
     if n < 2:
         return [], [], []
-    p = pixels.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    key = p[:n]
-    for k in range(1, least):
-        key = (key ^ (key >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F) + p[k : n + k]
-    key = (key >> np.uint64(48)).astype(np.uint16)  # sorted by radix
-    order = np.argsort(key, kind="stable")
-    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
-    before = np.full(n, -1, np.int64)
-    before[order[same + 1]] = order[same]
-    found = np.flatnonzero(before >= 0)
-    for k in range(least):  # keys are hashes
-        found = found[pixels[found + k] == pixels[before[found] + k]]
-    if not len(found):
-        return [], [], []
-    distance = found - before[found]
-    broken = np.concatenate([(np.diff(found) != 1) | (np.diff(distance) != 0), [True]])
-    ends = found[broken][np.cumsum(np.concatenate([[0], broken[:-1]]))] + least
+    if pixels.dtype == np.uint8 and least <= 8:  # the bytes are the key
+        key = np.ndarray(n, "<u8", pixels.tobytes() + bytes(8), strides=(1,)) & np.uint64((1 << 8 * least) - 1)
+    else:
+        p = pixels.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        key = p[:n]
+        for k in range(1, least):
+            key = (key ^ (key >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F) + p[k : n + k]
+    order = np.argsort(((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.uint16), kind="stable")  # by radix
+    there, before = order[1:], order[:-1]
+    same = key[there] == key[before]
+    distance = np.zeros(n, np.int64)
+    distance[there[same]] = there[same] - before[same]
+    edge = np.concatenate([[0], np.flatnonzero(distance[1:] != distance[:-1]) + 1, [n]])  # runs of one distance
+    gap = distance[edge[:-1]]
+    some = np.flatnonzero(gap)
     at, size, far, upto = [], [], [], 0
-    for a, b, d in zip(found.tolist(), ends.tolist(), distance.tolist()):
-        if a >= upto:
+    for a, b, d in zip(edge[some].tolist(), (edge[some + 1] + (least - 1)).tolist(), gap[some].tolist()):
+        if a < upto:
+            a = upto
+        while b - a >= least:
             upto = min(b, a + 4096)
             at.append(a)
             size.append(upto - a)
             far.append(d)
+            a = upto
+    if at and pixels.dtype != np.uint8:  # keys are hashes
+        span, gap = np.array(size), np.array(far)
+        each = np.arange(span.sum()) + np.repeat(np.array(at) - (np.cumsum(span) - span), span)
+        if (pixels[each] != pixels[each - np.repeat(gap, span)]).any():
+            return [], [], []
     return at, size, far
 
 
@@ -271,13 +283,13 @@ def _cached(pixels: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 def _put_image(w: BitWriter, pixels: np.ndarray, width: int, outer: bool = False, bits_each: float = 16.0) -> None:
     """Writes an image of 32-bit ARGB pixels: cache, codes, tokens. bits_each: about what a literal pixel takes."""
     n = len(pixels)
-    at, size, far = _copies(pixels, max(3, int(COPY_BITS / max(bits_each, 2.0)) + 1))
-    token = np.ones(n, bool)
-    if at:
-        inside = np.zeros(n + 1, np.int64)
-        np.add.at(inside, np.array(at), 1)
-        np.add.at(inside, np.array(at) + np.array(size), -1)
-        token = np.cumsum(inside[:-1]) == 0
+    green_only = not ((pixels ^ pixels[0]) & np.uint32(0xFFFF00FF)).any()
+    sought = (pixels >> np.uint32(8)).astype(np.uint8) if green_only else pixels
+    at, size, far = _copies(sought, min(max(3, int(COPY_BITS / max(bits_each, 2.0)) + 1), 8))
+    inside = np.zeros(n + 1, np.int8)
+    inside[at] = 1
+    inside[np.array(at, np.int64) + np.array(size, np.int64)] -= 1
+    token = np.cumsum(inside[:-1], dtype=np.int8) == 0
     literal = np.flatnonzero(token)
     length = _prefix(np.array(size, np.int64))
     far = np.array(far, np.int64)
@@ -285,27 +297,34 @@ def _put_image(w: BitWriter, pixels: np.ndarray, width: int, outer: bool = False
     code = np.where(far < len(near), near[np.minimum(far, len(near) - 1)], 0)
     distance = _prefix(np.where(code > 0, code, far + 120))
     own = pixels[literal].astype(np.int64)
-    best, copied = None, 768 + 256 + length[0]
-    for bits in CACHE_BITS if bits_each >= CACHED_BITS else (0,):
-        if bits and 1 << bits > max(len(own), 32):
-            break
-        if bits:
-            place, hit = (x[literal] for x in _cached(pixels, bits))
-        else:
-            place, hit = np.zeros(len(own), np.int64), np.zeros(len(own), bool)
-        plain = own[~hit]
-        symbol = np.where(hit, 280 + place, own >> 8 & 255)
-        # the alphabets of red, blue, alpha and green end to end
-        all_of = np.concatenate([plain >> 16 & 255, 256 + (plain & 255), 512 + (plain >> 24), 768 + symbol, copied])
-        count = np.bincount(all_of, minlength=768 + 280 + (1 << bits if bits else 0))
-        cost = _entropy_bits(count, (len(plain),) * 3 + (len(symbol) + len(copied),))
-        if best is None or cost < best[0]:
-            best = (cost, bits, hit, symbol, count)
-    _, bits, hit, symbol, count = best
+    bits, hit, symbol = 0, None, own >> 8 & 255
+    if green_only:
+        first = int(pixels[0])
+        count = [np.bincount(np.concatenate([symbol, 256 + length[0]]), minlength=280)]
+        count += [np.bincount([first >> k & 255], minlength=256) for k in (16, 0, 24)]
+    else:
+        best, copied = None, 768 + 256 + length[0]
+        for tried in CACHE_BITS if bits_each >= CACHED_BITS else (0,):
+            if tried and 1 << tried > max(len(own), 32):
+                break
+            if tried:
+                place, hit = (x[literal] for x in _cached(pixels, tried))
+            else:
+                place, hit = 0, np.zeros(len(own), bool)
+            plain = own[~hit]
+            symbol = np.where(hit, 280 + place, own >> 8 & 255)
+            # the alphabets of red, blue, alpha and green end to end
+            all_of = np.concatenate([plain >> 16 & 255, 256 + (plain & 255), 512 + (plain >> 24), 768 + symbol, copied])
+            count = np.bincount(all_of, minlength=768 + 280 + (1 << tried if tried else 0))
+            cost = _entropy_bits(count, (len(plain),) * 3 + (len(symbol) + len(copied),))
+            if best is None or cost < best[0]:
+                best = (cost, tried, hit, symbol, count)
+        _, bits, hit, symbol, count = best
+        count = [count[768:], count[:256], count[256:512], count[512:768]]
     w.put(int(bits > 0) | bits << 1, 5 if bits else 1)
     if outer:
         w.put(0, 1)  # one group of codes
-    green, red, blue, alpha, to = (_put_code(w, c) for c in (count[768:], count[:256], count[256:512], count[512:768], np.bincount(distance[0], minlength=40)))
+    green, red, blue, alpha, to = (_put_code(w, c) for c in (*count, np.bincount(distance[0], minlength=40)))
     parts = [(green, symbol, None)] + [(c, own >> k & 255, hit if bits else None) for c, k in ((red, 16), (blue, 0), (alpha, 24)) if c[1].any()]
     value, bit = np.zeros(n, np.uint64), np.zeros(n, np.int64)
     v, b = np.zeros(len(own), np.uint64), np.zeros(len(own), np.int64)
@@ -437,8 +456,10 @@ def _put_grey(w: BitWriter, grey: np.ndarray) -> None:
     or the indices of a palette."""
     rows, columns = grey.shape
     argb = np.uint32(0xFF000000) | grey.reshape(-1).astype(np.uint32) * np.uint32(0x10101)
-    bits = _one_channel_bits(grey)
-    if indexed := _palette(w, argb, rows, columns, bits):
+    count = np.bincount(grey.reshape(-1), minlength=256)
+    bits = _entropy_bits(count, (grey.size,))
+    # of more values a palette can't put several in a pixel
+    if np.count_nonzero(count) <= 16 and (indexed := _palette(w, argb, rows, columns, bits)):
         w.put(0, 1)
         _put_image(w, *indexed, outer=True, bits_each=bits / len(indexed[0]))
         return
@@ -494,11 +515,10 @@ class Code:
     def __init__(self, lengths: list[int]) -> None:
         size = np.array(lengths, np.int64)
         used = np.flatnonzero(size)
-        self.single = len(used) < 2
-        if self.single:
-            self.table = [int(used[0]) << 4 if len(used) else 0]
-            self.mask = 0
+        if len(used) < 2:
+            self._one(int(used[0]) if len(used) else 0)
             return
+        self.single = False
         used, size = _canonical(size)
         self.most = int(size[-1])
         bits = min(self.most, TABLE_BITS)
@@ -514,6 +534,15 @@ class Code:
             code = _reversed(15)[np.cumsum(room) - room]
             self.longer = {(n, c): e for n, c, e in zip(size[short:].tolist(), code[short:].tolist(), entry[short:].tolist())}
 
+    def _one(self, symbol: int) -> None:
+        self.single, self.table, self.mask = True, [symbol << 4], 0
+
+    @classmethod
+    def of_one(cls, symbol: int) -> Code:
+        out = cls.__new__(cls)
+        out._one(symbol)
+        return out
+
     def long(self, value: int) -> int:
         for n in range(TABLE_BITS + 1, self.most + 1):
             found = self.longer.get((n, value & ((1 << n) - 1)))
@@ -553,12 +582,18 @@ class Vp8l:
         return value
 
     def code(self, size: int) -> Code:
+        if not self.bits(1):
+            return self.normal_code(size)
+        two, wide = self.bits(1), self.bits(1)
+        first = self.bits(8 if wide else 1)
+        if not two:
+            return Code.of_one(first)
+        lengths = [0] * size
+        lengths[first] = lengths[self.bits(8)] = 1
+        return Code(lengths)
+
+    def normal_code(self, size: int) -> Code:
         lengths = [0] * size
-        if self.bits(1):
-            two, wide = self.bits(1), self.bits(1)
-            for symbol in [self.bits(8 if wide else 1), *([self.bits(8)] if two else [])]:
-                lengths[symbol] = 1
-            return Code(lengths)
         small = [0] * 19
         for symbol in LENGTH_ORDER[: self.bits(4) + 4]:
             small[symbol] = self.bits(3)
@@ -884,9 +919,9 @@ def load(media: bytes) -> np.ndarray:
 def features(samples: np.ndarray) -> str:
     """Size, mean sample and entropy of the samples in bits."""
     count = np.bincount(samples.reshape(-1), minlength=256)
-    n = samples.size
-    bits = float(_log_sums()[n] - _log_sums()[count].sum()) / n if n < len(_log_sums()) else -sum(c / n * np.log2(c / n) for c in count[count > 0].tolist())
-    return f"{samples.shape[1]}x{samples.shape[0]};{float(samples.mean()):.4f};{abs(bits):.4f}"
+    n, table = samples.size, _log_sums()
+    bits = float(table[n] - table[count].sum()) / n if n < len(table) else -sum(c / n * np.log2(c / n) for c in count[count > 0].tolist())
+    return f"{samples.shape[1]}x{samples.shape[0]};{int(count @ np.arange(256)) / n:.4f};{abs(bits):.4f}"
 
 
 def with_media(docs: DataFrame, text_col: str = "text", media_col: str = "media") -> DataFrame:

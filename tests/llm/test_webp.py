@@ -149,7 +149,7 @@ def test_content_chooses_the_transforms(monkeypatch):
     assert "copies" in used(monkeypatch, np.tile(rng.integers(0, 256, (7, 64, 3), dtype=np.uint8), (5, 1, 1)))[0]
     text = np.frombuffer(b"some words of a text that comes again and again, some words of " * 192, np.uint8).reshape(-1, 192)
     seen, size = used(monkeypatch, text)
-    assert {"green", "copies"} <= seen and size < text.size / 20
+    assert {"green", "copies"} <= seen and size < text.size / 8
 
 
 def test_a_file_of_another_encoder():
