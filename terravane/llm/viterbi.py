@@ -1,27 +1,33 @@
-"""SentencePiece encoding and decoding: by merges for BPE models, by a streaming Viterbi search for unigram models.
-
-Pieces and scores come from a model file. The scores of a BPE model are the ranks of its merges, whose sum says nothing:
-its ids are those of merges in the order of rank, within stretches that no merge crosses.
-
-The search of a unigram model: the best way to every place of the text is kept in a window of one longest
-piece; ids are committed as soon as the ways of all surviving places go through one boundary, so a text of any length
-needs a bounded window as long as its ways converge. No piece goes on over a space after another character, so each
-such space is a boundary, and the ids of the stretch before it are kept in a bounded cache.
-
-The search maximises the sum of piece scores; characters without a piece cost less than any piece and become byte
-pieces. Of equal sums the longer last piece wins. A space is put before the text and spaces are written as the model's
-own mark; decoding takes both back, so decode(encode(text)) is the text, but for its own marks, which read as spaces.
-
-Defined results: null and empty text have no ids and decode to empty text; repeated rows get equal values; an empty
-table gives no rows.
+"""SentencePiece encoding and decoding by a streaming Viterbi search.
+
+Places of the text are visited in order. From each place the pieces that begin there lead to later places, at most one
+longest piece away, and every place keeps the best way to it: the place before and the piece. Ids are committed as soon
+as all surviving ways go through one boundary: at once where no piece leads past a place, and in long stretches where
+the backpointers of all surviving places are found to meet. What is kept is the window since the last boundary; scores
+look back over one longest piece, and while ways stay apart only their backpointers wait.
+
+Which way is best depends on the model. Of a unigram model: the largest sum of scores, of equal sums the longer last
+piece; characters without a piece cost less than any piece. The scores of a BPE model are the ranks of its merges, whose
+sum says nothing. There a way is a run of pieces that merging would leave as they are, which holds if and only if it
+holds for each two neighbours: merges inside a run don't depend on what stands beside it as long as none crosses its
+ends. So each place has one way, its last piece the one that is compatible with the way before it, and the ids are the
+library's. Compatible pairs are found by merging the two pieces' text and kept in a bounded cache.
+
+Characters without a piece become byte pieces. A space is put before the text and spaces are written as the model's own
+mark; decoding takes both back, so decode(encode(text)) is the text, but for its own marks, which read as spaces. Where
+no piece goes on over a space after another character, such a place is a boundary in every text, and the ids of a short
+stretch between two of them are kept in a bounded cache (`cached=False` searches every stretch again, with equal ids).
+
+Defined results: null and empty text have no ids and decode to empty text; texts of any length are searched whole;
+repeated rows get equal values; an empty table gives no rows; with_ids and with_text replace a column of the name that
+they add, digests returns columns of its own.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -30,7 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-MAX_CACHED = 2_000_000
+#: Stretches and pairs that a process keeps, characters of a stretch that is kept, and the id before the first piece.
+MAX_CACHED, MAX_PAIRS, SHORT, NONE = 1_000_000, 1_000_000, 64, -1
 
 
 def model_type(data: bytes) -> int:
@@ -76,81 +83,31 @@ class Pieces:
         of_byte = {i: b for b, i in self.byte.items()}
         self.raw = [bytes([of_byte[i]]) if i in of_byte else name.replace(MARK, " ").encode() for i, name in enumerate(self.names)]
         self.cuts = not any(MARK in p.lstrip(MARK) for p in self.score)
-        self.cached: dict[str, list[int]] = {}
         self.merges = model_type(sp.serialized_model_proto()) == 2
-        self.pairs = {p[k : k + 2] for p in self.score for k in range(len(p) - 1)} if self.merges else set()
-        self.merged: dict[str, list[int]] = {}
-
-    def committed(self, text: Iterable[str]) -> Iterator[list[tuple[int, str]]]:
-        """Runs of (id, piece), as they are settled; id -1 for a character without a piece. text: characters."""
-        tail = ""  # characters since the oldest place that is kept
-        best, way = [0.0], [(0, -1)]  # of the places base, base + 1, ...: score, and (place before, id)
-        base, look = 0, 2 * self.longest  # look: kept characters at which to look for a boundary
-        for char in text:
-            tail += char
-            place = base + len(tail)
-            top, choice = best[-1] + self.missing, (place - 1, -1)
-            for n in range(1, min(self.longest, len(tail)) + 1):
-                found = self.score.get(tail[-n:])
-                if found and best[-n] + found[0] >= top:
-                    top, choice = best[-n] + found[0], (place - n, found[1])
-            best.append(top)
-            way.append(choice)
-            if len(tail) >= look:  # where do the ways of the last places meet?
-                alive = set(range(place - self.longest + 1, place + 1))
-                while len(alive) > 1:
-                    last = max(alive)
-                    alive.remove(last)
-                    alive.add(way[last - base][0])
-                meet = alive.pop()
-                look = 2 * self.longest if meet > base else 2 * len(tail)  # rarer while ways stay apart
-                if meet > base:
-                    yield self._trace(way, tail, base, meet)
-                    k = meet - base
-                    tail, best, way, base = tail[k:], [b - best[k] for b in best[k:]], way[k:], meet
-        yield self._trace(way, tail, base, base + len(tail))
-
-    @staticmethod
-    def _trace(way: list, tail: str, base: int, end: int) -> list[tuple[int, str]]:
-        out = []
-        while end > base:
-            start, piece = way[end - base]
-            out.append((piece, tail[start - base : end - base]))
-            end = start
-        return out[::-1]
-
-    def ids(self, stretch: str) -> list[int]:
-        """Ids of a stretch; one shorter than the window is searched at once."""
-        if len(stretch) < 2 * self.longest:
-            return self._short(stretch)
-        out: list[int] = []
-        for run in self.committed(stretch):
-            for piece, text in run:
-                out += [piece] if piece >= 0 else [self.byte[b] for b in text.encode()]
-        return out
-
-    def _short(self, stretch: str) -> list[int]:
-        get, longest, missing = self.score.get, self.longest, self.missing
-        best, way = [0.0], [(0, -1)]
-        for end in range(1, len(stretch) + 1):
-            top, choice = best[end - 1] + missing, (end - 1, -1)
-            for start in range(end - 1, max(end - longest, 0) - 1, -1):
-                if (found := get(stretch[start:end])) and best[start] + found[0] >= top:
-                    top, choice = best[start] + found[0], (start, found[1])
-            best.append(top)
-            way.append(choice)
-        out: list[int] = []
-        end = len(stretch)
-        while end:
-            start, piece = way[end]
-            out += [piece] if piece >= 0 else [self.byte[b] for b in reversed(stretch[start:end].encode())]
-            end = start
-        return out[::-1]
+        self.root = self._tree()
+        self.single = {p for p in self.score if len(p) == 1}
+        self.pairs: dict[int, dict[int, bool]] = {}
+        self.n_pairs = 0
+        self.cached: dict[str, list[int]] = {}
 
-    def _merge_short(self, stretch: str) -> list[str]:
-        """The pair of best score is merged first, of equal ones the leftmost."""
+    def _tree(self) -> list:
+        """Pieces by their characters: nodes of (id or -1, score, next nodes)."""
+        root = [-1, 0.0, {}]
+        for piece, (score, i) in self.score.items():
+            node = root
+            for char in piece:
+                node = node[2].setdefault(char, [-1, 0.0, {}])
+            node[0], node[1] = i, score
+        return root
+
+    def name(self, i: int) -> str:
+        """The text of a piece, or of a character without one, whose id is its code point after all pieces."""
+        return self.names[i] if i < len(self.names) else chr(i - len(self.names))
+
+    def merged(self, text: str) -> list[str]:
+        """A short text by merges: the pair of best score first, of equal ones the leftmost."""
         get, none = self.score.get, (-np.inf, -1)
-        parts = list(stretch)
+        parts = list(text)
         gain = [get(a + b, none)[0] for a, b in zip(parts, parts[1:])]
         while gain and (top := max(gain)) > -np.inf:
             k = gain.index(top)
@@ -162,69 +119,139 @@ class Pieces:
                 gain[k] = get(parts[k] + parts[k + 1], none)[0]
         return parts
 
-    def _merge_long(self, stretch: str) -> list[str]:
-        """The same by a heap of pairs."""
-        get = self.score.get
-        n = len(stretch)
-        part: list[str] = list(stretch)
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(-found[0], k, stretch[k : k + 2]) for k in range(n - 1) if (found := get(stretch[k : k + 2]))]
-        heapq.heapify(heap)
-        while heap:
-            _, k, both = heapq.heappop(heap)
-            right = after[k]
-            if not part[k] or right >= n or len(part[k]) + len(part[right]) != len(both):
-                continue  # one of them has been merged since
-            part[k], part[right] = both, ""
-            after[k] = right = after[right]
-            if right < n:
-                before[right] = k
-                if found := get(both + part[right]):
-                    heapq.heappush(heap, (-found[0], k, both + part[right]))
-            if (left := before[k]) >= 0 and (found := get(part[left] + both)):
-                heapq.heappush(heap, (-found[0], left, part[left] + both))
-        return [p for p in part if p]
-
-    def merged_ids(self, stretch: str) -> list[int]:
-        """Ids by merges in order. No merge goes over two characters that stand side by side in no piece, so a long
-        stretch is cut there."""
-        if len(stretch) < 64:
-            parts = self._merge_short(stretch)
-        else:
-            cuts = [0, *(k for k in range(1, len(stretch)) if stretch[k - 1 : k + 1] not in self.pairs), len(stretch)]
-            parts = [p for a, b in zip(cuts, cuts[1:]) for p in (self._merge_short if b - a < 64 else self._merge_long)(stretch[a:b])]
-        out: list[int] = []
-        for p in parts:
-            found = self.score.get(p)
-            out += [found[1]] if found else [self.byte[b] for b in p.encode()]
+    def _compatible(self, a: int, b: int, known: dict[int, bool]) -> bool:
+        """Whether merging leaves the two pieces as they are."""
+        parts = ([self.name(a)] if a != NONE else []) + [self.name(b)]
+        known[b] = out = self.merged("".join(parts)) == parts
+        self.n_pairs += 1
         return out
 
-    def tokens(self, text: str) -> list[int]:
-        """The library's ids: by merges in order for a BPE model, by the best sum of scores for a unigram model."""
-        return self._encode(text, self.merged_ids, self.merged) if self.merges else self.encode(text)
+    def committed(self, text: str) -> Iterator[list[int]]:
+        """Runs of ids as they are settled. text: with marks for spaces."""
+        return self._by_merges(text) if self.merges else self._by_scores(text)
+
+    def _by_merges(self, text: str) -> Iterator[list[int]]:
+        """Each place's one way: by the piece that goes with the last one of the way to where it begins."""
+        n, longest, root, pairs, single = len(text), self.longest, self.root, self.pairs, self.single
+        base, reach, look = 0, 0, 4 * longest
+        last, way = {0: NONE}, {0: 0}  # of the places of the window: last piece, place before it
+        for place in range(n):
+            if reach <= place:  # no other way survives
+                if place > base:
+                    yield self._trace(last, way, base, place)
+                    last, way, base, look = {place: last[place]}, {}, place, 4 * longest
+            elif place - base >= look:
+                meet = self._meet(way, place, reach)
+                look = 2 * (place - base)  # rarer while ways stay apart
+                if meet > base:
+                    yield self._trace(last, way, base, meet)
+                    last, way = ({p: x for p, x in d.items() if p >= meet} for d in (last, way))
+                    base, look = meet, 4 * longest
+            a = last.get(place)
+            if a is None:
+                continue
+            if (known := pairs.get(a)) is None:
+                known = pairs[a] = {}
+            if text[place] not in single:
+                b = len(self.names) + ord(text[place])
+                if known[b] if b in known else self._compatible(a, b, known):
+                    last[place + 1], way[place + 1] = b, place
+                    reach = max(reach, place + 1)
+            node, at = root, place
+            for char in text[place : place + longest]:
+                node = node[2].get(char)
+                if node is None:
+                    break
+                at += 1
+                b = node[0]
+                if b >= 0:
+                    fits = known.get(b)
+                    if fits or (fits is None and self._compatible(a, b, known)):
+                        last[at], way[at] = b, place
+                        if at > reach:
+                            reach = at
+        yield self._trace(last, way, base, n)
+
+    def _by_scores(self, text: str) -> Iterator[list[int]]:
+        """Each place's way of the largest sum of scores."""
+        n, longest, root, missing = len(text), self.longest, self.root, self.missing
+        base, reach, look = 0, 0, 4 * longest
+        last, way, best = {0: NONE}, {0: 0}, {0: 0.0}
+        for place in range(n):
+            if reach <= place:
+                if place > base:
+                    yield self._trace(last, way, base, place)
+                    last, way, best, base, look = {place: last[place]}, {}, {place: best[place]}, place, 4 * longest
+            elif place - base >= look:
+                meet = self._meet(way, place, reach)
+                look = 2 * (place - base)
+                if meet > base:
+                    yield self._trace(last, way, base, meet)
+                    last, way, best = ({p: x for p, x in d.items() if p >= meet} for d in (last, way, best))
+                    base, look = meet, 4 * longest
+            own, at = best[place], place + 1
+            if own + missing > best.get(at, -np.inf):
+                best[at], last[at], way[at] = own + missing, len(self.names) + ord(text[place]), place
+            reach = max(reach, at)
+            node, at = root, place
+            for char in text[place : place + longest]:
+                node = node[2].get(char)
+                if node is None:
+                    break
+                at += 1
+                if node[0] >= 0:
+                    if own + node[1] > best.get(at, -np.inf):
+                        best[at], last[at], way[at] = own + node[1], node[0], place
+                    if at > reach:
+                        reach = at
+        yield self._trace(last, way, base, n)
+
+    @staticmethod
+    def _meet(way: dict[int, int], place: int, reach: int) -> int:
+        """The place that the ways of all surviving places go through."""
+        alive = {place, *(p for p in range(place + 1, reach + 1) if p in way)}
+        while len(alive) > 1:
+            late = max(alive)
+            alive.remove(late)
+            alive.add(way[late])
+        return alive.pop()
+
+    def _trace(self, last: dict[int, int], way: dict[int, int], base: int, end: int) -> list[int]:
+        out: list[int] = []
+        while end > base:
+            i = last[end]
+            if i < len(self.names):
+                out.append(i)
+            else:
+                out += [self.byte[b] for b in reversed(chr(i - len(self.names)).encode())]
+            end = way[end]
+        return out[::-1]
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of the best sum of scores."""
-        return self._encode(text, self.ids, self.cached)
+    def ids(self, stretch: str) -> list[int]:
+        if self.n_pairs > MAX_PAIRS:
+            self.pairs, self.n_pairs = {}, 0
+        return [i for run in self.committed(stretch) for i in run]
 
-    def _encode(self, text: str, ids: Callable[[str], list[int]], known: dict[str, list[int]]) -> list[int]:
+    def encode(self, text: str, cached: bool = True) -> list[int]:
+        """Ids of a text, the library's own for a BPE model."""
         if not text:
             return []
         marked = MARK + text.replace(" ", MARK)
-        if not self.cuts:
-            return ids(marked)
+        if not (cached and self.cuts):
+            return self.ids(marked)
         out: list[int] = []
-        held = ""
+        held, known = "", self.cached
         for word in marked.split(MARK)[1:]:
             held += MARK
             if word:
-                if (found := known.get(held + word)) is None:
-                    found = ids(held + word)
-                    if len(held) + len(word) < 64:
-                        known[held + word] = found
+                stretch = held + word
+                if (found := known.get(stretch)) is None:
+                    found = self.ids(stretch)
+                    if len(stretch) < SHORT:
+                        known[stretch] = found
                 out += found
                 held = ""
-        out += ids(held) if held else []
+        out += self.ids(held) if held else []
         if len(known) > MAX_CACHED:
             known.clear()
         return out
@@ -244,7 +271,7 @@ def with_ids(docs: DataFrame, model: str, text_col: str = "text", ids_col: str =
     @F.pandas_udf("array<int>")
     def run(texts):
         own = pieces(model)
-        return texts.map(lambda t: own.tokens(t or ""))
+        return texts.map(lambda t: own.encode(t or ""))
 
     return docs.withColumn(ids_col, run(F.coalesce(text_col, F.lit(""))))
 
@@ -266,7 +293,7 @@ def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
-                ids = own.tokens(text or "")
+                ids = own.encode(text or "")
                 rows.append((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), hashlib.sha256(own.decode(ids).encode()).hexdigest()))
             n, crc, sha = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_ids", "ids_crc32", "decoded_sha256"])
