@@ -1,30 +1,37 @@
-"""Licence scans: MinHash bands over overlapping windows retrieve templates, exact containment verifies them.
+"""Licence scans: MinHash bands over overlapping text windows retrieve templates, exact shingle containment verifies them.
 
-All five-word sequences of a text are its shingles; line ends are white space like any other. Punctuation around
-words is taken off. A template of fewer shingles than a window is sought whole, at every word. Windows of WINDOW shingles overlap by half; a
-window's band is its least shingle hash under one of BANDS masks. A window that shares a share j of its and a template
-part's shingles collides in some band with probability 1 - (1 - j) ** BANDS: 0.97 at j = 1/4, 0.9998 at 1/2. Where a
-window collides, the stretch around it must hold 75 % of the template's shingles.
+All five-word sequences of a text are its shingles; line ends are white space like any other, and punctuation around
+words is taken off. Windows of WINDOW shingles begin at every STRIDE-th one, so any WINDOW - STRIDE + 1 shingles in a row
+lie in one window whole. A window has BANDS band values, each the least hash of its shingles under a hash function of
+its own; a template's windows begin at each of its shingles, and their band values are a table that is joined to the
+texts' windows. A window that shares a share j of its shingles with a template's meets it in some band with probability
+1 - (1 - j) ** BANDS: 0.992 at j = 1/3, 0.9998 at 1/2. The least that a template of four shingles leaves of a window is
+j = 1/3; longer ones have many windows. A template of fewer shingles is retrieved by each of them (a window of one
+shingle is its own least hash), and one of fewer than five words by the sequence of all its words.
+
+Only templates that were retrieved are verified, around the windows that met them: that stretch must hold PERCENT % of
+the template's shingles, or all its words in order. Verdicts depend on the text alone: they are made once for each text
+that met a template, named by 128 bits of hash, and joined to all its copies.
 
 Defined results: null and empty text hold no licence; texts of any length are scanned whole; repeated rows get equal
-values; an empty table gives no rows; other columns pass through.
+values; an empty table gives no rows; no template gives empty lists; other columns pass through, and one of the name of
+the result is replaced.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terravane.llm import license_texts
-from terravane.llm._shared import ascii_lower
+from terravane.llm._shared import SPACE_CLASS, ascii_lower, free_names, staged
 
-SHINGLE, WINDOW, BANDS, PERCENT = 5, 4, 12, 75
-#: What is taken off words: as characters, and in a class of a pattern.
+SHINGLE, WINDOW, STRIDE, BANDS, PERCENT = 5, 8, 4, 12, 75
+#: Templates of this many shingles are retrieved by windows, of fewer by each shingle. Rows of band values that are
+#: broadcast at most; a larger table is joined by its values.
+LEAST, MAX_BROADCAST = 4, 4_000_000
+#: What is taken off words.
 PUNCT_CHARS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~“”‘’«»–—•"
-PUNCT = r"!-/:-@\[-`{-~“”‘’«»–—•"
 #: Short licence statements.
 TEMPLATES = (
     ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -35,38 +42,52 @@ TEMPLATES = (
 )
 
 
-def normal(text: Column) -> Column:
-    """The words of a text, lower-case, without punctuation around them, with one space before and after each: line ends
-    are white space."""
-    between = rf"(?<![{PUNCT}])[{PUNCT}]*+[\x20\x09-\x0D][\x20\x09-\x0D{PUNCT}]*+"
-    trimmed = F.btrim(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), between, " "), F.lit(" " + PUNCT_CHARS))
-    return F.concat(F.lit(" "), trimmed, F.lit(" "))
 
 
-def with_shingles(df: DataFrame, text: Column) -> DataFrame:
-    """Adds the words in _n, and the hashes of all shingles of SHINGLE words in _s, in order."""
-    df = df.withColumn("_n", normal(text)).withColumn("_w", F.expr("transform(split(btrim(_n, ' '), ' ', -1), x -> xxhash64(x))"))
-    each = ", ".join(f"get(_w, i + {k})" for k in range(SHINGLE))
-    some = F.expr(f"transform(sequence(0, size(_w) - {SHINGLE}), i -> xxhash64({each}))")
-    return df.withColumn("_s", F.when(F.size("_w") >= SHINGLE, some).otherwise(F.expr("cast(array() as array<bigint>)"))).drop("_w")
+def words(text: Column) -> Column:
+    """The words of a text, lower-case, without punctuation around them; line ends are white space."""
+    each = F.split(ascii_lower(F.coalesce(text, F.lit(""))), SPACE_CLASS, -1)
+    return F.filter(F.transform(each, lambda x: F.btrim(x, F.lit(PUNCT_CHARS))), lambda x: x != "")
+
+
+def spaced(each: Column) -> Column:
+    """Words with one space before and after each."""
+    return F.concat(F.lit(" "), F.array_join(each, " "), F.lit(" "))
+
+
+def _sequences(k: int) -> str:
+    """Hashes of all sequences of k words of the word hashes in w, in order."""
+    each = ", ".join(f"get(w, i + {d})" for d in range(k))
+    return f"CASE WHEN size(w) >= {k} THEN transform(sequence(0, size(w) - {k}), i -> xxhash64({each})) ELSE cast(array() AS array<bigint>) END"
 
 
-def _masks() -> list[int]:
-    """One 64-bit mask for each band, from a multiplicative generator."""
-    x, out = 1, []
-    for _ in range(BANDS):
-        x = x * 6364136223846793005 + 1442695040888963407 & (1 << 64) - 1
-        out.append(x - (1 << 63))
-    return out
+def with_shingles(df: DataFrame, text: Column, short: list[int] = ()) -> DataFrame:
+    """Adds the word hashes w, the shingles s and, for each length in short, the sequences of so many words s1, s2 …"""
+    df = df.withColumn("w", F.transform(words(text), lambda x: F.xxhash64(x)))
+    return df.withColumns({"s": F.expr(_sequences(SHINGLE)), **{f"s{k}": F.expr(_sequences(k)) for k in short}})
 
 
-def template_hashes(spark: SparkSession, templates) -> tuple[list[tuple], list[tuple]]:
-    """(name, shingles, needed) of each template, and (name, words, needed) of those of fewer shingles than a window,
-    which must stand whole; their list is short and given by the caller."""
-    rows = [(k, t[1], list(t[2]) if len(t) > 2 else []) for k, t in enumerate(templates)]
-    made = with_shingles(spark.createDataFrame(rows, "k int, text string, needed array<string>"), F.col("text")).withColumn("needed", F.transform("needed", normal)).collect()
-    made = [(templates[r["k"]][0], r["_s"], r["_n"], r["needed"]) for r in made if r["_n"].strip()]
-    return [(n, s, must) for n, s, _, must in made if len(s) >= WINDOW], [(n, words, must) for n, s, words, must in made if len(s) < WINDOW]
+def _band_values(start: str) -> str:
+    """The least hashes of the window from a place on; null where no shingle is left."""
+    least = ", ".join(f"array_min(transform(x, h -> xxhash64({band}, h)))" for band in range(BANDS))
+    return f"get(transform(array(slice(s, {start} + 1, {WINDOW})), x -> array({least})), 0)"
+
+
+def template_table(spark: SparkSession, templates) -> list[tuple]:
+    """(t, name, word count, shingles, text with spaces, needed texts) of each template; the caller's list is bounded."""
+    rows = [(k, t[0], t[1], list(t[2]) if len(t) > 2 else []) for k, t in enumerate(templates)]
+    made = with_shingles(spark.createDataFrame(rows, "t int, name string, text string, needed array<string>"), F.col("text"))
+    made = made.select("t", "name", F.size("w").alias("n"), "s", spaced(words(F.col("text"))).alias("text"), F.transform("needed", lambda x: spaced(words(x))).alias("needed"))
+    return [tuple(r) for r in made.where("n > 0").collect()]
+
+
+def band_table(spark: SparkSession, known: list[tuple]) -> DataFrame:
+    """(value, t): by what windows of texts are found to meet a template."""
+    df = spark.createDataFrame([(t, n, s, text) for t, _, n, s, text, _ in known], "t int, n int, s array<bigint>, text string")
+    df = df.withColumn("w", F.transform(F.split(F.btrim("text"), " "), lambda x: F.xxhash64(x)))
+    windows = f"flatten(transform(sequence(0, greatest(size(s) - {WINDOW}, 0)), j -> {_band_values('j')}))"
+    own = F.expr(f"CASE WHEN n < {SHINGLE} THEN array(" + " ".join(f"CASE WHEN n = {k} THEN get({_sequences(k)}, 0) END," for k in range(1, SHINGLE)).rstrip(",") + f") WHEN size(s) < {LEAST} THEN s ELSE {windows} END")
+    return df.select(F.explode(F.array_distinct(own)).alias("value"), "t").where("value IS NOT NULL")
 
 
 def tagged(text: Column) -> Column:
@@ -78,31 +99,63 @@ def tagged(text: Column) -> Column:
     return F.filter(ids, lambda x: x != "")
 
 
+def _candidates(texts: DataFrame, known: list[tuple]) -> DataFrame:
+    """(k1, k2, t, j): the windows j of each text that met template t. texts: k1, k2, text."""
+    spark = texts.sparkSession
+    bands = band_table(spark, known)
+    short = sorted({n for _, _, n, *_ in known if n < SHINGLE})
+    each = [_band_values(f"{STRIDE} * j")]
+    if any(n >= SHINGLE and len(s) < LEAST for _, _, n, s, *_ in known):
+        each.append(f"slice(s, {STRIDE} * j + 1, {STRIDE})")
+    each += [f"slice(s{k}, {STRIDE} * j + 1, {STRIDE})" for k in short]
+    values = f"transform(sequence(0, (size(w) - 1) div {STRIDE}), j -> struct(cast(j AS int) AS j, concat({', '.join(each)}) AS v))"
+    windows = with_shingles(texts, F.col("text"), short).where("size(w) > 0").select("k1", "k2", F.explode(F.expr(values)).alias("x"))
+    found = windows.select("k1", "k2", "x.j", F.explode("x.v").alias("value")).where("value IS NOT NULL")
+    found = found.join(F.broadcast(bands) if bands.count() <= MAX_BROADCAST else bands, "value")
+    return found.select("k1", "k2", "t", "j").distinct()
+
+
+def _holds(known: list[tuple]) -> tuple[DataFrame, Column]:
+    """The templates as a table, and the test of a text's words, shingles and windows js against one."""
+    spark = SparkSession.getActiveSession()
+    rows = [(t, name, n, sorted(set(s)), text, needed) for t, name, n, s, text, needed in known]
+    table = spark.createDataFrame(rows, "t int, name string, n int, own array<bigint>, whole string, needed array<string>")
+    table = table.withColumns({"reach": F.size("own") + WINDOW, "stride": F.greatest(F.floor(F.size("own") / 4), F.lit(STRIDE)).cast("int")})
+    stretch = f"slice(s, greatest(b * stride - reach, 0) + 1, 2 * reach + {WINDOW} + stride)"  # one for all windows of a stride
+    near = F.expr(f"exists(array_distinct(transform(js, j -> j * {STRIDE} div stride)), b -> 100 * size(array_intersect({stretch}, own)) >= {PERCENT} * size(own))")
+    needed = (F.size("needed") == 0) | F.expr("exists(needed, x -> contains(text, x))")
+    return table, needed & F.when(F.col("n") < SHINGLE, F.contains("text", F.col("whole"))).otherwise(near)
+
+
+def found_licenses(docs: DataFrame, known: list[tuple], text_col: str = "text") -> DataFrame:
+    """(k1, k2, names) of each text that holds a template; k1 and k2 are its hashes."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"), text.alias("text"))
+    met = staged(_candidates(texts, known), "license-windows")
+    # one row for each text that met a template; the copies are folded before the shuffle
+    some = texts.join(met.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.max("text").alias("text"))
+    some = with_shingles(some, F.col("text")).withColumn("text", spaced(words(F.col("text")))).drop("w")
+    table, holds = _holds(known)
+    tried = some.join(met.groupBy("k1", "k2", "t").agg(F.collect_list("j").alias("js")), ["k1", "k2"])
+    tried = tried.join(F.broadcast(table) if sum(len(s) for _, _, _, s, *_ in known) <= MAX_BROADCAST else table, "t")
+    return staged(tried.where(holds).groupBy("k1", "k2").agg(F.collect_set("name").alias("names")), "license-names")
+
+
 def scan(docs: DataFrame, templates=None, text_col: str = "text", out_col: str = "licenses") -> DataFrame:
     """Adds the sorted names of the templates that the text holds; of all known ones and SPDX tags where none are given."""
     tags = templates is None
-    hashed, short = template_hashes(docs.sparkSession, [*TEMPLATES, *license_texts.templates()] if tags else list(templates))
-    df = with_shingles(docs, F.col(text_col))
-    known = ", ".join(f"{h}L" for h in sorted({h for _, s, _ in hashed for h in s}))
-    least = ", ".join("least(" + ", ".join(f"get(_s, j + {k}) ^ ({mask}L)" for k in range(WINDOW)) + f") ^ ({mask}L)" for mask in _masks())
-    if hashed:  # does the least of a window stand in some piece of a template?
-        hits = F.expr(f"filter(sequence(0, greatest(size(_s) - 1, 0), {WINDOW // 2}), j -> exists(array({least}), v -> v IN ({known})))")
-        df = df.withColumn("_hits", F.when(F.size("_s") > 0, hits))
-    holds = lambda must: reduce(or_, (F.contains("_n", F.lit(w)) for w in must)) if must else F.lit(True)
-    found = [F.when(F.contains("_n", F.lit(words)) & holds(must), F.lit(name)) for name, words, must in short]
-    long = []
-    for name, s, must in hashed:
-        reach, stride = len(s) + WINDOW, max(len(s) // 4, WINDOW // 2)  # one stretch for all hits of a stride
-        wanted = f"cast(split('{','.join(map(str, sorted(set(s))))}', ',') AS array<bigint>)"
-        stretch = f"slice(_s, greatest(b * {stride} - {reach}, 0) + 1, {2 * reach + WINDOW + stride - WINDOW // 2})"
-        test = F.expr(f"exists(array_distinct(transform(_hits, j -> int(j div {stride}))), b -> 100 * size(array_intersect({stretch}, {wanted})) >= {PERCENT * len(set(s))})")
-        long.append(F.when(holds(must) & test, F.lit(name)))
-    names = F.array(*found) if found else F.array().cast("array<string>")
-    if long:
-        names = F.when(F.size("_hits") > 0, F.concat(names, F.array(*long))).otherwise(names)
+    known = template_table(docs.sparkSession, [*TEMPLATES, *license_texts.templates()] if tags else list(templates))
+    names = F.array().cast("array<string>")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    df, drop = docs, []
+    if known:
+        drop = free_names(docs.columns, "_k1", "_k2", "_names")
+        found = found_licenses(docs, known, text_col).toDF(*drop)
+        df = df.withColumns({drop[0]: F.xxhash64(text), drop[1]: F.xxhash64(F.lit(1), text)}).join(found, drop[:2], "left")
+        names = F.coalesce(F.col(drop[2]), names)
     if tags:
-        names = F.when(F.contains("_n", F.lit("spdx-license-identifier")), F.concat(names, tagged(F.col(text_col)))).otherwise(names)
-    df = df.withColumn(out_col, F.array_sort(F.array_distinct(F.array_compact(names)))).drop("_n", "_s", "_hits")
+        names = F.when(F.contains(ascii_lower(text), F.lit("spdx-license-identifier")), F.concat(names, tagged(text))).otherwise(names)
+    df = df.withColumn(out_col, F.array_sort(F.array_distinct(names))).drop(*drop)
     for one, other in license_texts.HOLDS.items() if tags else ():
         df = df.withColumn(out_col, F.when(F.array_contains(out_col, one), F.array_remove(out_col, other)).otherwise(F.col(out_col)))
     return df
