@@ -1,12 +1,12 @@
 """Licence scans: MinHash bands over overlapping text windows retrieve templates, exact shingle containment verifies them.
 
 All five-word sequences of a text are its shingles; line ends are white space like any other, and punctuation around
-words is taken off. Windows of WINDOW shingles begin at every STRIDE-th one, so any WINDOW - STRIDE + 1 shingles in a row
-lie in one window whole. A window has BANDS band values, each the least hash of its shingles under a hash function of
-its own; a template's windows begin at each of its shingles, and their band values are a table that is joined to the
-texts' windows. A window that shares a share j of its shingles with a template's meets it in some band with probability
-1 - (1 - j) ** BANDS: 0.992 at j = 1/3, 0.9998 at 1/2. The least that a template of four shingles leaves of a window is
-j = 1/3; longer ones have many windows. A template of fewer shingles is retrieved by each of them (a window of one
+words is taken off. Windows of two blocks of STRIDE shingles begin at every block, so any STRIDE + 1 shingles in a row lie
+in one window whole. A window has BANDS band values, each the least hash of its shingles under a hash function of its
+own; a template's windows begin at each of its shingles, and their band values are a table that is joined to the texts'
+windows. A window that shares a share j of its shingles with a template's meets it in some band with probability
+1 - (1 - j) ** BANDS: 0.990 at j = 4/9, 0.998 at 1/2. The least that a template of five shingles leaves of a window is
+j = 4/9; longer ones have many windows. A template of fewer shingles is retrieved by each of them (a window of one
 shingle is its own least hash), and one of fewer than five words by the sequence of all its words.
 
 Only templates that were retrieved are verified, around the windows that met them: that stretch must hold PERCENT % of
@@ -26,10 +26,11 @@ from pyspark.sql import functions as F
 from terravane.llm import license_texts
 from terravane.llm._shared import SPACE_CLASS, ascii_lower, free_names, staged
 
-SHINGLE, WINDOW, STRIDE, BANDS, PERCENT = 5, 8, 4, 12, 75
+SHINGLE, WINDOW, STRIDE, BANDS, PERCENT = 5, 8, 4, 8, 75
 #: Templates of this many shingles are retrieved by windows, of fewer by each shingle. Rows of band values that are
-#: broadcast at most; a larger table is joined by its values.
-LEAST, MAX_BROADCAST = 4, 4_000_000
+#: broadcast at most; a larger table is joined by its values. Slots of the hashes of texts that met a template: at most so
+#: many rows tell, before texts are shuffled, which can't be among them.
+LEAST, MAX_BROADCAST, SLOTS = 5, 4_000_000, 1 << 21
 #: What is taken off words.
 PUNCT_CHARS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~“”‘’«»–—•"
 #: Short licence statements.
@@ -67,10 +68,10 @@ def with_shingles(df: DataFrame, text: Column, short: list[int] = ()) -> DataFra
     return df.withColumns({"s": F.expr(_sequences(SHINGLE)), **{f"s{k}": F.expr(_sequences(k)) for k in short}})
 
 
-def _band_values(start: str) -> str:
-    """The least hashes of the window from a place on; null where no shingle is left."""
+def _band_values(start: str, size: int = WINDOW) -> str:
+    """The least hashes of so many shingles from a place on; null where no shingle is left."""
     least = ", ".join(f"array_min(transform(x, h -> xxhash64({band}, h)))" for band in range(BANDS))
-    return f"get(transform(array(slice(s, {start} + 1, {WINDOW})), x -> array({least})), 0)"
+    return f"get(transform(array(slice(s, {start} + 1, {size})), x -> array({least})), 0)"
 
 
 def template_table(spark: SparkSession, templates) -> list[tuple]:
@@ -104,13 +105,16 @@ def _candidates(texts: DataFrame, known: list[tuple]) -> DataFrame:
     spark = texts.sparkSession
     bands = band_table(spark, known)
     short = sorted({n for _, _, n, *_ in known if n < SHINGLE})
-    each = [_band_values(f"{STRIDE} * j")]
+    each = ["zip_with(get(m, j), coalesce(get(m, j + 1), get(m, j)), (a, b) -> least(a, b))"]
     if any(n >= SHINGLE and len(s) < LEAST for _, _, n, s, *_ in known):
         each.append(f"slice(s, {STRIDE} * j + 1, {STRIDE})")
     each += [f"slice(s{k}, {STRIDE} * j + 1, {STRIDE})" for k in short]
     values = f"transform(sequence(0, (size(w) - 1) div {STRIDE}), j -> struct(cast(j AS int) AS j, concat({', '.join(each)}) AS v))"
-    windows = with_shingles(texts, F.col("text"), short).where("size(w) > 0").select("k1", "k2", F.explode(F.expr(values)).alias("x"))
-    found = windows.select("k1", "k2", "x.j", F.explode("x.v").alias("value")).where("value IS NOT NULL")
+    blocks = with_shingles(texts, F.col("text"), short)
+    blocks = blocks.withColumn("m", F.expr(f"transform(sequence(0, (size(w) - 1) div {STRIDE}), j -> {_band_values(f'{STRIDE} * j', STRIDE)})"))
+    # outer: Spark would compute the arrays twice, first for a filter on their sizes
+    windows = blocks.select("k1", "k2", F.explode_outer(F.expr(values)).alias("x"))
+    found = windows.select("k1", "k2", "x.j", F.explode_outer("x.v").alias("value")).where("value IS NOT NULL")
     found = found.join(F.broadcast(bands) if bands.count() <= MAX_BROADCAST else bands, "value")
     return found.select("k1", "k2", "t", "j").distinct()
 
@@ -133,7 +137,9 @@ def found_licenses(docs: DataFrame, known: list[tuple], text_col: str = "text")
     texts = docs.select(F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"), text.alias("text"))
     met = staged(_candidates(texts, known), "license-windows")
     # one row for each text that met a template; the copies are folded before the shuffle
-    some = texts.join(met.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.max("text").alias("text"))
+    slots = met.select(F.pmod("k1", F.lit(SLOTS)).alias("slot")).distinct()  # at most SLOTS rows
+    some = texts.withColumn("slot", F.pmod("k1", F.lit(SLOTS))).join(F.broadcast(slots), "slot", "left_semi").drop("slot")
+    some = some.join(met.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.max("text").alias("text"))
     some = with_shingles(some, F.col("text")).withColumn("text", spaced(words(F.col("text")))).drop("w")
     table, holds = _holds(known)
     tried = some.join(met.groupBy("k1", "k2", "t").agg(F.collect_list("j").alias("js")), ["k1", "k2"])
