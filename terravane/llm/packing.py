@@ -6,13 +6,12 @@ cheapest cuts follow from best(j) = pad - c_j + penalty_j + min(best(i) + c_i) o
 queue keeps that minimum. Windows of a power of two need no padding and are tried besides.
 
 Defined results: null or empty text is the end id alone; null ids come first; repeated ids stay, by text; a text of any
-length is cut; an empty table gives no pieces.
+length is cut; an empty table gives no pieces; other columns are not read.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,43 +41,50 @@ def sentence_ends(tokens: list[str]) -> np.ndarray:
 def candidates(ends: np.ndarray, is_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places where a window may end, in order, and their penalties. ends: where documents end; is_end: of each token,
     whether a sentence ends with it."""
-    sentence = np.flatnonzero(is_end) + 1
-    places = np.union1d(ends, sentence)
-    gaps = np.diff(np.r_[0, places])
+    kind = np.zeros(len(is_end) + 1, np.int8)  # of each place: 1 a sentence's end, 2 a document's
+    kind[1:][is_end] = 1
+    kind[ends] = 2
+    places = np.flatnonzero(kind)
+    gaps = np.diff(places, prepend=0)
     wide = np.flatnonzero(gaps > FAR)
-    inside = np.concatenate([np.arange(places[w] - gaps[w] + FAR, places[w], FAR) for w in wide]) if len(wide) else np.zeros(0, np.int64)
-    every = np.union1d(places, inside)
-    penalty = np.full(len(every), INSIDE)
-    penalty[np.searchsorted(every, sentence)] = SENTENCE
-    penalty[np.searchsorted(every, ends)] = 0.0
-    return every, penalty
+    if len(wide):
+        kind[np.concatenate([np.arange(places[w] - gaps[w] + FAR, places[w], FAR) for w in wide])] = 3
+        places = np.flatnonzero(kind)
+    return places, np.array([0.0, SENTENCE, 0.0, INSIDE])[kind[places]]
 
 
-def best_cuts(places: list[int], penalties: list[float], length: int = LENGTH) -> list[int]:
+def best_cuts(places: np.ndarray, penalties: np.ndarray, length: int = LENGTH) -> list[int]:
     """Window ends of least cost; the last place is the last cut. No two places are further apart than length."""
-    exact = [1 << k for k in range(8, length.bit_length()) if 1 << k < length]
-    at = {0: 0}
-    c = [0, *places]
+    at = np.r_[0, np.asarray(places, np.int64)]
+    own = (np.r_[0.0, np.asarray(penalties, float)] + WINDOW).tolist()
+    exact: list[list[int] | None] = [None] * len(at)  # of a place those that lie a power of two before it
+    for size in (1 << k for k in range(8, length.bit_length()) if 1 << k < length):
+        before = np.searchsorted(at, at - size)
+        for j in np.flatnonzero((at >= size) & (at[before] == at - size)).tolist():
+            exact[j] = [*(exact[j] or ()), int(before[j])]
+    c = at.tolist()
     best, back = [0.0], [0]
-    queue = deque([(0.0, 0)])  # (best + place, index), rising
+    value, queue, head = [0.0], [0], 0  # best + place, rising, and whose it is; from head on
     for j in range(1, len(c)):
         p = c[j]
-        while p - c[queue[0][1]] > length:
-            queue.popleft()
-        low, i = queue[0]
-        cost = low + length - p
-        for size in exact:
-            k = at.get(p - size)
-            if k is not None and best[k] < cost:
-                cost, i = best[k], k
-        cost += penalties[j - 1] + WINDOW
+        least = p - length
+        while c[queue[head]] < least:
+            head += 1
+        i = queue[head]
+        cost = value[head] - least
+        if exact[j]:
+            for k in exact[j]:
+                if best[k] < cost:
+                    cost, i = best[k], k
+        cost += own[j]
         best.append(cost)
         back.append(i)
-        at[p] = j
-        g = cost + p
-        while queue and queue[-1][0] >= g:
+        cost += p
+        while len(value) > head and value[-1] >= cost:
+            value.pop()
             queue.pop()
-        queue.append((g, j))
+        value.append(cost)
+        queue.append(j)
     cuts = []
     j = len(c) - 1
     while j > 0:
@@ -110,7 +116,7 @@ class Packer:
         ids = np.concatenate(self.ids).astype("<u4")
         ends = np.cumsum([d[2] for d in self.docs])
         places, penalties = candidates(ends, self.is_end[ids])
-        cuts = best_cuts(places.tolist(), penalties.tolist(), self.length)
+        cuts = best_cuts(places, penalties, self.length)
         if not last:
             cuts = cuts[:-2]
         at, d = 0, 0

@@ -21,7 +21,7 @@ def test_least_cost_over_all_sentence_ends():
             own = 0.0 if p in ends else P.SENTENCE
             fits = [(b + (0 if p - q == 256 else length - p + q)) for q, b in best.items() if p - q <= length]
             best[p] = min(fits) + own + P.WINDOW
-    cuts = P.best_cuts(places.tolist(), penalties.tolist(), length)
+    cuts = P.best_cuts(places, penalties, length)
     own = dict(zip(places.tolist(), penalties.tolist()))
     cost = sum(own[b] + P.WINDOW + (0 if b - a == 256 else length - b + a) for a, b in zip([0, *cuts], cuts))
     assert cost == best[700]
