@@ -6,7 +6,7 @@ covers are taken away. The list is a chain of CASE WHEN conditions; a row that n
 
 Defined results: null text has no words and fails the base rules, as does empty text; texts of any length count whole;
 repeated rows get equal values; an empty table gives no rows; without labels of both kinds no rule is learned; columns of
-other names pass through.
+the counts' names are replaced by with_counts, all others pass through; keep_good keeps every column of its documents.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terravane.llm._shared import SPACE, SPACE_CLASS, staged
+from terravane.llm._shared import SPACE, SPACE_CLASS, free_names, staged
 
 #: Labelled rows that the list is fitted on at most: those of the smallest id hashes.
 MAX_LABELLED = 20_000
@@ -37,24 +37,25 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds COUNTS. Windows of three words are compared by 64-bit hashes within a text."""
-    own = [f"_{x}" for x in ("words", "lines", "wins", "sorted")]
+    own = free_names(docs.columns, "_words", "_lines", "_wins", "_sorted")
+    words_col, lines_col, wins, ordered = own
     text = F.coalesce(F.col(text_col), F.lit(""))
     trimmed = F.btrim(text, F.lit(SPACE))
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_CLASS, -1))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(SPACE)) != "")
-    df = docs.withColumns({"_words": words, "_lines": lines})
-    df = df.withColumn("_wins", F.expr("CASE WHEN size(_words) >= 4 THEN transform(sequence(0, size(_words) - 3), i -> xxhash64(get(_words, i), get(_words, i + 1), get(_words, i + 2))) END"))
-    df = df.withColumn("_sorted", F.expr("CASE WHEN size(array_distinct(_wins)) < size(_wins) THEN sort_array(transform(_wins, (h, i) -> struct(h AS h, i AS i))) END"))
-    repeated = "sort_array(transform(filter(_sorted, (x, k) -> x.h <=> get(_sorted, k - 1).h OR x.h <=> get(_sorted, k + 1).h), x -> x.i))"
+    df = docs.withColumns({words_col: words, lines_col: lines})
+    df = df.withColumn(wins, F.expr(f"CASE WHEN size({words_col}) >= 4 THEN transform(sequence(0, size({words_col}) - 3), i -> xxhash64(get({words_col}, i), get({words_col}, i + 1), get({words_col}, i + 2))) END"))
+    df = df.withColumn(ordered, F.expr(f"CASE WHEN size(array_distinct({wins})) < size({wins}) THEN sort_array(transform({wins}, (h, i) -> struct(h AS h, i AS i))) END"))
+    repeated = f"sort_array(transform(filter({ordered}, (x, k) -> x.h <=> get({ordered}, k - 1).h OR x.h <=> get({ordered}, k + 1).h), x -> x.i))"
     covered = f"aggregate({repeated}, struct(0 AS upto, 0L AS n), (a, p) -> struct(p + 3 AS upto, a.n + p + 3 - greatest(a.upto, p) AS n), a -> a.n)"
     return df.withColumns({
-        "n_words": F.size("_words").cast("long"),
-        "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+        "n_words": F.size(words_col).cast("long"),
+        "word_chars": F.length(F.array_join(words_col, "")).cast("long"),
         "n_symbols": F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long"),
         "n_marks": F.regexp_count(text, F.lit("[!?]")).cast("long"),
         "n_upper": F.regexp_count(text, F.lit("[A-ZÀ-Þ]")).cast("long"),
-        "n_lines": F.size("_lines").cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+        "n_lines": F.size(lines_col).cast("long"),
+        "n_dup_lines": (F.size(lines_col) - F.size(F.array_distinct(lines_col))).cast("long"),
         "n_repeat_words": F.coalesce(F.expr(covered), F.lit(0).cast("long")),
     }).drop(*own)
 

@@ -29,8 +29,10 @@ class SlotMap:
     shard_of: tuple[int, ...]
     moved: tuple[tuple[int, int, int], ...] = ()
 
-    def rows(self) -> list[tuple[int, int, int]]:
-        return [(self.version, slot, shard) for slot, shard in enumerate(self.shard_of)]
+    def rows(self) -> list[tuple[int, int, int, int, int | None]]:
+        """(version, slot, shard, number of shards, shard in the version before where the slot moved)."""
+        came = {slot: source for slot, source, _ in self.moved}
+        return [(self.version, slot, shard, self.n_shards, came.get(slot)) for slot, shard in enumerate(self.shard_of)]
 
 
 def initial_map(n_shards: int, n_slots: int = N_SLOTS) -> SlotMap:
@@ -85,15 +87,18 @@ def rebalance(old: SlotMap, weight: dict[int, int], n_shards: int | None = None)
 
 def write_map(spark: SparkSession, slot_map: SlotMap, path: str) -> None:
     """Append this version to the table of versions at path."""
-    spark.createDataFrame(slot_map.rows(), "version int, slot int, shard int").coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+    spark.createDataFrame(slot_map.rows(), "version int, slot int, shard int, n_shards int, moved_from int").coalesce(1).write.mode("append").partitionBy("version").parquet(path)
 
 
 def read_map(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
     """A stored version, by default the newest. The map has one row for each slot, so its size is bounded."""
     df = spark.read.parquet(path)
     version = df.agg(F.max("version")).first()[0] if version is None else version
-    rows = {r.slot: r.shard for r in df.where(F.col("version") == version).collect()}
-    return SlotMap(version, max(rows.values()) + 1, tuple(rows[s] for s in range(len(rows))))
+    rows = sorted(df.where(F.col("version") == version).collect(), key=lambda r: r.slot)
+    if not rows:
+        raise ValueError(f"no version {version} of the map")
+    moved = tuple((r.slot, r.moved_from, r.shard) for r in rows if r.moved_from is not None)
+    return SlotMap(version, rows[0].n_shards, tuple(r.shard for r in rows), moved)
 
 
 def with_slots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_slots: int = N_SLOTS) -> DataFrame:

@@ -6,7 +6,8 @@ fails or no payload is asked for.
 
 Defined results: null payloads are empty; a null id writes a record id without number and reads as null; null addresses
 are left out; control characters in header values become spaces. Of rows with equal payloads the smallest id is the
-response; rows that repeat this id are responses too. An empty table gives an archive without records.
+response; rows that repeat this id are responses too. An empty table gives an archive without records. Columns of the
+names that plan_records adds are replaced, all others pass through. A truncated file or a record without length raises.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 from pyspark.sql.types import StructType
 
-from terravane.llm._shared import staged
+from terravane.llm._shared import free_names, staged
 
 #: The alphabet of RFC 4648.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -54,20 +55,21 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", payload_col: str = "
     """
     page = pages.withColumn("payload", F.coalesce(F.col(payload_col), F.lit("")).cast("binary"))
     page = page.withColumn("payload_digest", base32_sha1(F.col("payload")))
+    (first,) = free_names([*pages.columns, "payload", "payload_digest", "record_type", "refers_to"], "_first_id")
     groups = (
         page.where(F.length("payload") >= min_revisit_bytes)
         .groupBy(F.col("payload_digest"))
-        .agg(F.min(id_col).alias("first_id"), F.count("*").alias("n"))
+        .agg(F.min(id_col).alias(first), F.count("*").alias("n"))
         .where("n > 1")
         .drop("n")
     )
     # written first, so that Spark knows its size: payloads are shuffled only if it is too large to broadcast
     page = page.join(staged(groups, "warc-groups"), "payload_digest", "left")
-    revisit = F.col("first_id").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("first_id"))
+    revisit = F.col(first).isNotNull() & ~F.col(id_col).eqNullSafe(F.col(first))
     return page.withColumns({
         "record_type": F.when(revisit, "revisit").otherwise("response"),
-        "refers_to": F.when(revisit, F.col("first_id")),
-    }).drop("first_id")
+        "refers_to": F.when(revisit, F.col(first)),
+    }).drop(first)
 
 
 def write_warc(planned: DataFrame, path: str, id_col: str = "page_id", uri_col: str = "url", date: str = "2024-01-01T00:00:00Z") -> None:
@@ -174,6 +176,8 @@ class WarcReader(DataSourceReader):
                     raise ValueError(f"{path}: no WARC record where one is due")
                 headers = read_headers(stream)
                 low = {k.lower(): v for k, v in headers.items()}
+                if not re.fullmatch(r"\d+", low.get("content-length", "")):
+                    raise ValueError(f"{path}: a record without a Content-Length")
                 left = int(low["content-length"])
                 if all(low.get(k) in v for k, v in self.wanted.items()):
                     row = {c: low.get(h) for c, h in HEADERS.items() if c in self.names}
@@ -181,7 +185,8 @@ class WarcReader(DataSourceReader):
                     if "payload" in self.names or "payload_length" in self.names:
                         left = self.block(stream, low, left, row)
                     yield row
-                skip(stream, left)
+                if skip(stream, left) < left:
+                    raise ValueError(f"{path}: a record ends too early")
 
     def block(self, stream, low: dict, left: int, row: dict) -> int:
         """Sets payload and its length, from the HTTP header where there is one; gives the bytes not read."""
@@ -200,7 +205,7 @@ class WarcReader(DataSourceReader):
             row["payload_length"] = left
         if "payload" in self.names and low.get("warc-type") != "revisit":
             row["payload"] = stream.read(left)
-            left = 0
+            left -= len(row["payload"])  # what is missing of a truncated file
         return left
 
 
@@ -217,13 +222,15 @@ def read_headers(stream) -> dict[str, str]:
     return out
 
 
-def skip(stream, n: int) -> None:
-    """Pass over n bytes without decoding them."""
+def skip(stream, n: int) -> int:
+    """Pass over n bytes without decoding them; the bytes that there were."""
     if n and not isinstance(stream, gzip.GzipFile):
-        stream.seek(n, io.SEEK_CUR)
-        return
-    while n > 0 and (got := len(stream.read(min(n, 1 << 20)))):
-        n -= got
+        stream.seek(n - 1, io.SEEK_CUR)
+        return n if stream.read(1) else 0
+    left = n
+    while left > 0 and (got := len(stream.read(min(left, 1 << 20)))):
+        left -= got
+    return n - left
 
 
 class WarcDataSource(DataSource):

@@ -34,3 +34,9 @@ def test_held_out_accuracy(spark):
 def test_no_labels_no_rules(spark):
     rows = Q.features(Q.with_counts(spark.createDataFrame([(1, "a b")], "doc_id long, text string"))).withColumn("quality", F.lit(1))
     assert Q.learn(rows) == []
+
+
+def test_no_callers_column_is_lost(spark):
+    docs = spark.createDataFrame([(1, "a b", 5, 6, 7, 8)], "doc_id long, text string, _words int, _lines int, _wins int, _sorted int")
+    r = Q.with_counts(docs).first()
+    assert (r._words, r._lines, r._wins, r._sorted, r.n_words) == (5, 6, 7, 8, 2)

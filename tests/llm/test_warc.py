@@ -1,5 +1,7 @@
 import gzip
 
+import pytest
+
 from terravane.llm import warc
 
 RECORDS = (
@@ -28,3 +30,20 @@ def test_predicates_reach_the_reader(spark, tmp_path):
 
     rest = list(reader.pushFilters([EqualTo(("type",), "revisit"), GreaterThan(("content_length",), 1)]))
     assert len(rest) == 1 and [r["type"] for r in reader.records(str(tmp_path / "a.warc"))] == ["revisit"]
+
+
+def test_truncated_files_raise(tmp_path):
+    reader = warc.WarcReader({"path": str(tmp_path)}, type("S", (), {"names": ["type", "payload"]})())
+    whole = b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: 1000\r\n\r\n" + b"x" * 1000 + b"\r\n\r\n"
+    for name, data in (("a.warc", whole[:-500]), ("b.warc.gz", gzip.compress(whole[:-500])), ("c.warc", b"WARC/1.0\r\nWARC-Type: resource\r\n\r\n")):
+        (tmp_path / name).write_bytes(data)
+        for names in (["type", "payload"], ["type"]):
+            reader.names = names
+            with pytest.raises(ValueError, match="too early|Content-Length"):
+                list(reader.records(str(tmp_path / name)))
+
+
+def test_no_callers_column_is_lost(spark):
+    pages = spark.createDataFrame([(1, "u", "x", 7, 8), (2, "u", "x", 7, 8)], "page_id long, url string, html string, first_id int, _first_id int")
+    got = warc.plan_records(pages).orderBy("page_id").collect()
+    assert [(r.first_id, r._first_id, r.record_type, r.refers_to) for r in got] == [(7, 8, "response", None), (7, 8, "revisit", 1)]
