@@ -224,16 +224,28 @@ def st_area(g) -> Column:
 
 @once
 def st_centroid(g) -> Column:
-    """Of the shell's area for polygons without holes, of the length for lines, of the vertices for points."""
-    p = F.get(_g(g).paths, F.lit(0))
-    o = F.get(p, F.lit(0))
+    """Of the area of all shells less their holes, of the length of all lines, of all points; null where that is 0."""
+    paths, gtype = _g(g).paths, _g(g).gtype
+    o = F.get(F.get(paths, F.lit(0)), F.lit(0))
     cross = lambda a, b: (a.x - o.x) * (b.y - o.y) - (b.x - o.x) * (a.y - o.y)
-    twice = _sum(_steps(p, cross))
-    area = st_point(o.x + F.try_divide(_sum(_steps(p, lambda a, b: (a.x + b.x - 2 * o.x) * cross(a, b))), 3 * twice), o.y + F.try_divide(_sum(_steps(p, lambda a, b: (a.y + b.y - 2 * o.y) * cross(a, b))), 3 * twice))
     size = lambda a, b: F.hypot(b.x - a.x, b.y - a.y)
-    line = st_point(F.try_divide(_sum(_steps(p, lambda a, b: (a.x + b.x) / 2 * size(a, b))), _sum(_steps(p, size))), F.try_divide(_sum(_steps(p, lambda a, b: (a.y + b.y) / 2 * size(a, b))), _sum(_steps(p, size))))
-    mean = st_point(_sum(F.transform(p, lambda v: v.x)) / F.size(p), _sum(F.transform(p, lambda v: v.y)) / F.size(p))
-    return F.when(_g(g).gtype == POLYGON, area).when(_g(g).gtype == LINESTRING, line).otherwise(mean)
+
+    def ring(p: Column, k: Column) -> Column:  # twice the area and the moments; shells count for, holes against
+        twice = _sum(_steps(p, cross))
+        sign = F.when(gtype == MULTIPOLYGON, F.lit(1.0)).otherwise(F.signum(twice) * F.when(k == 0, 1.0).otherwise(-1.0))
+        return F.struct((sign * twice).alias("w"), (sign * _sum(_steps(p, lambda a, b: (a.x + b.x - 2 * o.x) * cross(a, b)))).alias("x"), (sign * _sum(_steps(p, lambda a, b: (a.y + b.y - 2 * o.y) * cross(a, b)))).alias("y"))
+
+    def line(p: Column) -> Column:
+        return F.struct(_sum(_steps(p, size)).alias("w"), _sum(_steps(p, lambda a, b: (a.x + b.x) / 2 * size(a, b))).alias("x"), _sum(_steps(p, lambda a, b: (a.y + b.y) / 2 * size(a, b))).alias("y"))
+
+    def total(parts: Column, name: str) -> Column:
+        return _sum(F.transform(parts, lambda s: s[name]))
+
+    rings, lines, points = F.transform(paths, ring), F.transform(paths, line), F.flatten(paths)
+    area = bind(rings, lambda r: st_point(o.x + F.try_divide(total(r, "x"), 3 * total(r, "w")), o.y + F.try_divide(total(r, "y"), 3 * total(r, "w"))))
+    along = bind(lines, lambda r: st_point(F.try_divide(total(r, "x"), total(r, "w")), F.try_divide(total(r, "y"), total(r, "w"))))
+    mean = st_point(F.try_divide(_sum(F.transform(points, lambda v: v.x)), F.size(points).cast("double")), F.try_divide(_sum(F.transform(points, lambda v: v.y)), F.size(points).cast("double")))
+    return F.when(gtype.isin(POLYGON, MULTIPOLYGON), area).when(gtype.isin(LINESTRING, MULTILINESTRING), along).otherwise(mean)
 
 
 @once
@@ -581,10 +593,10 @@ def st_overlaps(a, b) -> Column:
 
 
 def st_crosses(a, b) -> Column:
-    """A line that is partly inside a polygon, or lines that meet between their ends."""
+    """A line that is partly inside a polygon. For two lines and for concave polygons take shapes.st_crosses."""
     a, b = _g(a), _g(b)
     line, other = F.when(a.gtype == LINESTRING, a).otherwise(b), F.when(a.gtype == LINESTRING, b).otherwise(a)
-    return (a.gtype == LINESTRING) != (b.gtype == LINESTRING) & st_intersects(a, b) & (other.gtype == POLYGON) & ~st_contains(other, line)
+    return ((a.gtype == LINESTRING) != (b.gtype == LINESTRING)) & st_intersects(a, b) & (other.gtype == POLYGON) & ~st_contains(other, line)
 
 
 def _point_to_paths(g: Column, x: Column, y: Column) -> Column:

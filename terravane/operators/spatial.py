@@ -12,17 +12,55 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terravane.functions import geometry as G
+from terravane.functions import kernels as K
 from terravane.functions import shapes as E
 
 
-def _cell(v: Column, size: float) -> Column:
+#: Exact predicates of all shapes, by name; boxes and points are answered without Python.
+PREDICATES = {
+    "intersects": G.st_intersects, "contains": E.st_contains, "within": E.st_within, "equals": E.st_equals, "touches": E.st_touches,
+    "overlaps": E.st_overlaps, "crosses": E.st_crosses,
+}
+#: Cells of one level that a row is put into at most; larger rows go to levels of wider cells.
+MAX_CELLS, LEVELS, LEVEL_STEP = 64, 12, 8
+#: Bytes of a side that is broadcast at most, by Spark's own estimate.
+MAX_BROADCAST = 256 << 20
+
+
+def _cell(v: Column, size: float | Column) -> Column:
     return F.floor(v / size)
 
 
-def _with_cells(df: DataFrame, geom: str, cx: float, cy: float, grow: Column | float = 0.0) -> DataFrame:
+def _with_cells(df: DataFrame, geom: str, cx: float, cy: float, grow: Column | float = 0.0, names: tuple[str, str] = ("_x", "_y")) -> DataFrame:
     g, pad = F.col(geom), grow if isinstance(grow, Column) else F.lit(float(grow))
-    df = df.withColumn("_x", F.explode(F.sequence(_cell(g.xmin - pad, cx), _cell(g.xmax + pad, cx))))
-    return df.withColumn("_y", F.explode(F.sequence(_cell(g.ymin - pad, cy), _cell(g.ymax + pad, cy))))
+    df = df.withColumn(names[0], F.explode(F.sequence(_cell(g.xmin - pad, cx), _cell(g.xmax + pad, cx))))
+    return df.withColumn(names[1], F.explode(F.sequence(_cell(g.ymin - pad, cy), _cell(g.ymax + pad, cy))))
+
+
+def _level(geom: str, cx: float, cy: float, grow: Column) -> Column:
+    """The finest level, by its number, at which the row lies in at most MAX_CELLS cells; at the last one all do."""
+    g = F.col(geom)
+    wide, high = (g.xmax - g.xmin + 2 * grow) / cx + 1, (g.ymax - g.ymin + 2 * grow) / cy + 1
+    out = F.lit(LEVELS)
+    for k in reversed(range(LEVELS)):
+        step = float(LEVEL_STEP**k)
+        out = F.when((wide / step + 1) * (high / step + 1) <= MAX_CELLS, F.lit(k)).otherwise(out)
+    return out
+
+
+def _levelled(df: DataFrame, geom: str, cx: float, cy: float, grow: Column, names: list[str]) -> DataFrame:
+    """Adds the row's own level."""
+    return df.withColumn(names[2], _level(geom, cx, cy, grow).cast("int"))
+
+
+def _cells_at(df: DataFrame, geom: str, cx: float, cy: float, grow: Column, names: list[str], at: Column) -> DataFrame:
+    """Adds a level to join at and the row's cells of it; above the last level there is one cell."""
+    g, (x, y, _, join) = F.col(geom), names
+    df = df.withColumn(join, F.explode(at))
+    step = F.pow(F.lit(float(LEVEL_STEP)), F.col(join).cast("double"))
+    edge = lambda v, size: F.when(F.col(join) == LEVELS, F.lit(0).cast("long")).otherwise(_cell(v, size * step))
+    df = df.withColumn(x, F.explode(F.sequence(edge(g.xmin - grow, cx), edge(g.xmax + grow, cx))))
+    return df.withColumn(y, F.explode(F.sequence(edge(g.ymin - grow, cy), edge(g.ymax + grow, cy))))
 
 
 def cell_size(df: DataFrame, geom: str) -> tuple[float, float]:
@@ -32,25 +70,59 @@ def cell_size(df: DataFrame, geom: str) -> tuple[float, float]:
     return tuple(max(2 * (r[k] or 0), (r[k + 1] or 0) / 256) or 1.0 for k in (0, 2))
 
 
-def spatial_join(left: DataFrame, right: DataFrame, predicate: Callable[[str, str], Column] = G.st_intersects, left_geom: str = "left_geom", right_geom: str = "right_geom", cell: tuple[float, float] | None = None, grow: float = 0.0, broadcast: bool = False) -> DataFrame:
-    """Inner join on a predicate of two geometry columns of different names. broadcast hints a right side that the
-    caller knows to be small."""
+def _free(columns: list[str], *wanted: str) -> list[str]:
+    used, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name in used:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def _estimate(df: DataFrame) -> int:
+    """Bytes of a frame as Spark's optimiser estimates them."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
+def spatial_join(left: DataFrame, right: DataFrame, predicate: str | Callable[[str, str], Column] = "intersects", left_geom: str = "left_geom", right_geom: str = "right_geom", cell: tuple[float, float] | None = None, grow: Column | float = 0.0, broadcast: bool = False) -> DataFrame:
+    """Inner join on a predicate of two geometry columns of different names: one of PREDICATES by name, exact for all
+    shapes, or a function of two columns. broadcast asks for the right side to be broadcast, which is done up to
+    MAX_BROADCAST bytes by Spark's estimate.
+
+    A row lies in at most about MAX_CELLS cells: rows too large for the cells are put into wider ones, of the level of
+    their size. Rows meet at the wider of their two levels, so those of a level join those of all finer ones there.
+    """
+    test = PREDICATES[predicate] if isinstance(predicate, str) else predicate
     cx, cy = cell or cell_size(left, left_geom)
-    a = _with_cells(left, left_geom, cx, cy, grow)
-    b = _with_cells(right, right_geom, cx, cy)
-    joined = a.join(F.broadcast(b) if broadcast else b, ["_x", "_y"])
+    names = x, y, own, join = _free([*left.columns, *right.columns], "_x", "_y", "_level", "_join")
+    pad, none = grow if isinstance(grow, Column) else F.lit(float(grow)), F.lit(0.0)
+    a, b = _levelled(left, left_geom, cx, cy, pad, names), _levelled(right, right_geom, cx, cy, none, names)
+    used = [sorted(r[0] for r in df.select(own).where(f"{own} IS NOT NULL").distinct().collect()) for df in (a, b)]  # at most LEVELS + 1 each
+    levels = F.array(*(F.lit(k) for k in sorted({*used[0], *used[1]}))) if used[0] or used[1] else F.array().cast("array<int>")
+    own_right = f"{own}_right"
+    while own_right in left.columns or own_right in right.columns:
+        own_right += "_"
+    at = F.filter(levels, lambda k: k >= F.col(own))  # a wider level than its own: for the other side's rows of it
+    a = _cells_at(a, left_geom, cx, cy, pad, names, at)
+    b = _cells_at(b, right_geom, cx, cy, none, names, at).withColumnRenamed(own, own_right)
+    joined = a.join(F.broadcast(b) if broadcast and _estimate(right) <= MAX_BROADCAST else b, [join, x, y])
     g, h = F.col(left_geom), F.col(right_geom)
-    home = (F.col("_x") == _cell(F.greatest(g.xmin - grow, h.xmin), cx)) & (F.col("_y") == _cell(F.greatest(g.ymin - grow, h.ymin), cy))
-    return joined.where(home & predicate(left_geom, right_geom)).drop("_x", "_y")
+    step = F.pow(F.lit(float(LEVEL_STEP)), F.col(join).cast("double"))
+    corner = lambda v, size: F.when(F.col(join) == LEVELS, F.lit(0).cast("long")).otherwise(_cell(v, size * step))
+    home = (F.col(x) == corner(F.greatest(g.xmin - pad, h.xmin), cx)) & (F.col(y) == corner(F.greatest(g.ymin - pad, h.ymin), cy))
+    once = F.greatest(F.col(own), F.col(own_right)) == F.col(join)
+    return joined.where(once & home & test(left_geom, right_geom)).drop(x, y, own, own_right, join)
 
 
-def distance_join(left: DataFrame, right: DataFrame, radius: float, inclusive: bool = True, left_geom: str = "left_geom", right_geom: str = "right_geom", cell: tuple[float, float] | None = None, broadcast: bool = False) -> DataFrame:
-    """Pairs within (or nearer than) the radius, by exact distance."""
+def distance_join(left: DataFrame, right: DataFrame, radius: float | Column, inclusive: bool = True, left_geom: str = "left_geom", right_geom: str = "right_geom", cell: tuple[float, float] | None = None, broadcast: bool = False) -> DataFrame:
+    """Pairs within (or nearer than) the radius, by exact distance; the radius may be a column of the left side."""
     def near(a: str, b: str) -> Column:
         d = G.st_distance(a, b)
         return d <= radius if inclusive else d < radius
 
-    cell = cell or tuple(max(c, 2 * radius) for c in cell_size(left, left_geom))
+    if cell is None:
+        wide = left.agg(F.avg(radius)).first()[0] or 0.0 if isinstance(radius, Column) else radius
+        cell = tuple(max(c, 2 * wide) for c in cell_size(left, left_geom))
     return spatial_join(left, right, near, left_geom, right_geom, cell, radius, broadcast)
 
 
@@ -58,10 +130,27 @@ def join_count_by_key(joined: DataFrame, key: str) -> DataFrame:
     return joined.groupBy(key).agg(F.count("*").alias("n"))
 
 
-def range_query(df: DataFrame, geom: str, window: Column, boundary: bool = True) -> DataFrame:
-    """Rows that the window meets (boundary) or covers; the box test stands first and reaches the scan."""
-    exact = G.st_intersects(window, geom) if boundary else G.st_contains(window, geom)
-    return df.where(G.boxes_meet(window, geom) & exact)
+def join_grouped(joined: DataFrame, key: str | list[str], *values: str, name: str = "matches") -> DataFrame:
+    """(key, matches): a left row's right rows as one array. A key's matches are one value in one task: count them by
+    join_count_by_key where they may be many."""
+    return joined.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*values))).alias(name))
+
+
+def range_query(df: DataFrame, geom: str, window: Column, boundary: bool = True, covering: bool = False) -> DataFrame:
+    """Rows that the window meets (boundary) or covers, or with covering, that cover the window; the box test stands
+    first and reaches the scan. Exact for all shapes."""
+    if boundary and not covering:
+        return df.where(G.boxes_meet(window, geom) & G.st_intersects(window, geom))
+    row = df.sparkSession.range(1).select(window.alias("w")).first()  # the window is one constant value
+    if row.w is None:
+        return df.where("false")
+    shape = (row.w.gtype, [[(v.x, v.y) for v in path] for path in row.w.paths])
+    held = (lambda s: K.covers(s, shape)) if covering else (lambda s: K.covers(shape, s))
+    near = G.box_covers(geom, window) if covering else G.box_covers(window, geom)
+    # a column that isn't deterministic keeps Spark from moving the Python test below the making of the geometry
+    (row_id,) = _free(df.columns, "_row")
+    near_rows = df.where(near).withColumn(row_id, F.monotonically_increasing_id())
+    return near_rows.where(E.call(held, "boolean", (F.col(geom).gtype.cast("int"), F.col(geom).paths))).drop(row_id)
 
 
 def knn(df: DataFrame, geom: str, x: float, y: float, k: int, tie: str) -> DataFrame:
@@ -80,7 +169,7 @@ def layer_count(polygons: DataFrame, points: DataFrame, name: str, poly_geom: st
         r = cells.agg(F.count("*"), F.approx_count_distinct(F.struct("a", "b"))).first()
         method = "decomposition" if r[0] > 8 * max(r[1], 1) else "filter_refine"
     if method == "filter_refine":
-        joined = spatial_join(polygons, points, G.st_intersects, poly_geom, point_geom, cell)
+        joined = spatial_join(polygons, points, "intersects", poly_geom, point_geom, cell)
         return joined.groupBy(name).agg(F.count("*").alias("n"))
     cx, cy = (c / 4 for c in cell)
     g = F.col(poly_geom)

@@ -80,20 +80,92 @@ for _name, _predicate, _where in (
     ("spatial_join_touches", G.st_touches, f"{_MEET} AND (least(x1, u1) = greatest(x0, u0) OR least(y1, v1) = greatest(y0, v0))"),
     ("spatial_join_overlaps", G.st_overlaps, f"{_MEET} AND least(x1, u1) > greatest(x0, u0) AND least(y1, v1) > greatest(y0, v0) AND NOT (x0 <= u0 AND u1 <= x1 AND y0 <= v0 AND v1 <= y1) AND NOT (u0 <= x0 AND x1 <= u1 AND v0 <= y0 AND y1 <= v1)"),
     ("spatial_join_covers", G.st_contains, "x0 <= u0 AND u1 <= x1 AND y0 <= v0 AND v1 <= y1"),
-    ("spatial_join_within", G.st_within, "u0 <= x0 AND x1 <= u1 AND v0 <= y0 AND y1 <= v1"),
-    ("spatial_join_equals", G.st_equals, "x0 = u0 AND x1 = u1 AND y0 = v0 AND y1 = v1"),
 ):
     QUERIES[_name] = lambda spark, sf_dir, p=_predicate: S.spatial_join(*_sides(spark, sf_dir), p, "box", "sbox").select("p_partkey", "s_suppkey")
     SQL[_name] = f"SELECT p_partkey, s_suppkey FROM {_TWO} WHERE {_where}"
 
 
+@query(f"SELECT p_partkey, s_suppkey FROM {_TWO} WHERE x0 <= u0 AND u1 <= x1 AND y0 <= v0 AND v1 <= y1")
+def spatial_join_within(spark, sf_dir):
+    a, b = _sides(spark, sf_dir)
+    return S.spatial_join(b, a, "within", "sbox", "box").select("p_partkey", "s_suppkey")
+
+
+def _whole_boxes(spark, sf_dir, key, name):
+    """Boxes on whole numbers, of which some are equal."""
+    k = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias(key))
+    x, y = F.col(key) * 7 % 40, F.col(key) * 13 % 50
+    return k.withColumn(name, G.st_polygonfromenvelope(x, y, x + 2, y + 3))
+
+
+@query("SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a, part b WHERE a.p_partkey * 7 % 40 = b.p_partkey * 7 % 40 AND a.p_partkey * 13 % 50 = b.p_partkey * 13 % 50")
+def spatial_join_equals(spark, sf_dir):
+    return S.spatial_join(_whole_boxes(spark, sf_dir, "a", "g"), _whole_boxes(spark, sf_dir, "b", "h"), "equals", "g", "h").select("a", "b")
+
+
+# Other shapes than boxes, on whole numbers: triangles, lines, a concave polygon, holes
+
+
+def _polygon(*points):
+    return G.st_geomfromwkt(F.concat(F.lit("POLYGON (("), F.concat_ws(", ", *(F.concat_ws(" ", x, y) for x, y in points)), F.lit("))")))
+
+
+def _triangles(spark, sf_dir, table, key, name, upper):
+    """A half of the unit square at a place of a 12 x 12 lattice: the lower left or the upper right one."""
+    k = _t(spark, sf_dir, table).select(F.col(key))
+    x, y = F.col(key) % 12, F.col(key) * 5 % 13
+    points = [(x, y + 1), (x + 1, y), (x + 1, y + 1), (x, y + 1)] if upper else [(x, y), (x + 1, y), (x, y + 1), (x, y)]
+    return k.withColumn(name, _polygon(*points))
+
+
+_HALVES = "(SELECT p_partkey, p_partkey % 12 AS i, p_partkey * 5 % 13 AS j FROM part) a, (SELECT s_suppkey, s_suppkey % 12 AS k, s_suppkey * 5 % 13 AS l FROM supplier) b"
+
+
+@query(f"SELECT p_partkey, s_suppkey FROM {_HALVES} WHERE i <= k + 1 AND j <= l + 1 AND k + l <= i + j AND i + j <= k + l + 2")
+def triangles_touch(spark, sf_dir):
+    a, b = _triangles(spark, sf_dir, "part", "p_partkey", "g", False), _triangles(spark, sf_dir, "supplier", "s_suppkey", "h", True)
+    return S.spatial_join(a, b, "touches", "g", "h").select("p_partkey", "s_suppkey")
+
+
+@query(f"SELECT p_partkey, s_suppkey FROM {_HALVES} WHERE i = k AND j = l")
+def triangles_equal(spark, sf_dir):
+    a, b = _triangles(spark, sf_dir, "part", "p_partkey", "g", False), _triangles(spark, sf_dir, "supplier", "s_suppkey", "h", False)
+    return S.spatial_join(a, b, "equals", "g", "h").select("p_partkey", "s_suppkey")
+
+
+@query("SELECT p_partkey, c_custkey FROM (SELECT p_partkey, p_partkey % 30 AS x, p_partkey * 7 % 40 AS y FROM part), (SELECT c_custkey, c_custkey % 35 AS u, c_custkey * 3 % 41 AS v FROM customer) WHERE u >= x AND v >= y AND 2 * (u - x) + (v - y) <= 6")
+def triangle_join_points(spark, sf_dir):
+    x, y = F.col("p_partkey") % 30, F.col("p_partkey") * 7 % 40
+    a = _t(spark, sf_dir, "part").select("p_partkey").withColumn("g", _polygon((x, y), (x + 3, y), (x, y + 6), (x, y)))
+    b = _t(spark, sf_dir, "customer").select("c_custkey", G.st_point(F.col("c_custkey") % 35, F.col("c_custkey") * 3 % 41).alias("h"))
+    return S.spatial_join(a, b, "contains", "g", "h").select("p_partkey", "c_custkey")
+
+
+@query("SELECT s_suppkey, s_suppkey % 17 - 1 < 10 AND s_suppkey % 17 + 2 > 10 AND s_suppkey * 3 % 9 > 0 OR s_suppkey % 17 = 0 AND s_suppkey * 3 % 9 > 0 AS crosses, s_suppkey % 17 BETWEEN 1 AND 8 AS covered FROM supplier")
+def line_against_box(spark, sf_dir):
+    """Lines of length 3 at whole heights 0 to 8 against a box from 0 to 10."""
+    x, y = F.col("s_suppkey") % 17, F.col("s_suppkey") * 3 % 9
+    line = G.st_geomfromwkt(F.concat(F.lit("LINESTRING ("), F.concat_ws(" ", x - 1, y), F.lit(", "), F.concat_ws(" ", x + 2, y), F.lit(")")))
+    df = _t(spark, sf_dir, "supplier").select("s_suppkey", line.alias("g"), G.st_polygonfromenvelope(0, 0, 10, 10).alias("h"))
+    return df.select("s_suppkey", E.st_crosses("g", "h").alias("crosses"), E.st_contains("h", "g").alias("covered"))
+
+
+@query("SELECT s_suppkey, (s_suppkey % 9 + 1) * 100.0 - 4.0 AS area, round(((s_suppkey % 9 + 1) * 100 * ((s_suppkey % 9 + 1) * 5.0) - 4 * 3.0) / ((s_suppkey % 9 + 1) * 100 - 4), 6) AS cx FROM supplier")
+def holed_centroid(spark, sf_dir):
+    """A box of width 10 n and height 10 with a square hole of side 2 around (3, 5)."""
+    w = (F.col("s_suppkey") % 9 + 1) * 10
+    text = F.concat(F.lit("POLYGON ((0 0, "), w, F.lit(" 0, "), w, F.lit(" 10, 0 10, 0 0), (2 4, 4 4, 4 6, 2 6, 2 4))"))
+    df = _t(spark, sf_dir, "supplier").select("s_suppkey", G.st_geomfromwkt(text).alias("g"))
+    return df.select("s_suppkey", F.round(G.st_area("g"), 6).alias("area"), F.round(G.st_centroid("g").xmin, 6).alias("cx"))
+
+
 def _near(spark, sf_dir, inclusive):
-    a = _t(spark, sf_dir, "supplier").select("s_suppkey", G.st_point("s_acctbal", F.col("s_nationkey") * 100).alias("a"))
-    b = _t(spark, sf_dir, "customer").select("c_custkey", G.st_point("c_acctbal", F.col("c_nationkey") * 100).alias("b"))
+    a = _t(spark, sf_dir, "supplier").select("s_suppkey", G.st_point(F.col("s_suppkey") % 40 * 100, F.col("s_nationkey") * 100).alias("a"))
+    b = _t(spark, sf_dir, "customer").select("c_custkey", G.st_point(F.col("c_custkey") % 43 * 100, F.col("c_nationkey") * 100).alias("b"))
     return S.distance_join(a, b, 100.0, inclusive, "a", "b").select("s_suppkey", "c_custkey")
 
 
-_DISTANCE = "SELECT s_suppkey, c_custkey FROM supplier, customer WHERE sqrt((s_acctbal - c_acctbal) * (s_acctbal - c_acctbal) + (s_nationkey * 100.0 - c_nationkey * 100.0) * (s_nationkey * 100.0 - c_nationkey * 100.0))"
+_DISTANCE = "SELECT s_suppkey, c_custkey FROM supplier, customer WHERE 100.0 * sqrt((s_suppkey % 40 - c_custkey % 43) * (s_suppkey % 40 - c_custkey % 43) + (s_nationkey - c_nationkey) * (s_nationkey - c_nationkey))"
 
 
 @query(f"{_DISTANCE} <= 100")
@@ -106,6 +178,14 @@ def distance_join_lt(spark, sf_dir):
     return _near(spark, sf_dir, False)
 
 
+@query(f"{_DISTANCE} <= 100 * (s_suppkey % 3)")
+def distance_join_by_row(spark, sf_dir):
+    """A radius of each left row's own."""
+    a = _t(spark, sf_dir, "supplier").select("s_suppkey", G.st_point(F.col("s_suppkey") % 40 * 100, F.col("s_nationkey") * 100).alias("a"), (F.col("s_suppkey") % 3 * 100.0).alias("r"))
+    b = _t(spark, sf_dir, "customer").select("c_custkey", G.st_point(F.col("c_custkey") % 43 * 100, F.col("c_nationkey") * 100).alias("b"))
+    return S.distance_join(a, b, F.col("r"), True, "a", "b").select("s_suppkey", "c_custkey")
+
+
 @query("SELECT l_orderkey, l_linenumber, sqrt((l_quantity - 25) * (l_quantity - 25) + (l_extendedprice - 30000) * (l_extendedprice - 30000)) AS distance FROM lineitem ORDER BY distance, l_orderkey * 10 + l_linenumber LIMIT 20")
 def knn(spark, sf_dir):
     df = _points(spark, sf_dir).withColumn("tie", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
@@ -186,7 +266,7 @@ def tile_counts(spark, sf_dir):
     return _points(spark, sf_dir).select(pixel.alias("p")).where("p IS NOT NULL").groupBy(V.st_tilename(F.col("p"), 64, 64, 3).alias("tile")).agg(F.count("*").alias("n"))
 
 
-_BANDS = "(SELECT vec_id AS id, list_transform(embedding, lambda x: round(x::DOUBLE * 100)) AS a, list_transform(embedding, lambda x: round(x::DOUBLE * 50) + 1) AS b FROM embeddings)"
+_BANDS = "(SELECT vec_id AS id, list_transform(embedding, lambda x: round(x::DOUBLE * 100) + 0.0::DOUBLE) AS a, list_transform(embedding, lambda x: round(x::DOUBLE * 50) + 1) AS b FROM embeddings)"
 
 
 def _bands(spark, sf_dir):
@@ -220,4 +300,10 @@ _band("logical_over", lambda: R.rs_logicalover("a", "b"), "list_transform(list_z
 _band("logical_difference", lambda: R.rs_logicaldifference("a", "b"), "list_transform(list_zip(a, b), lambda z: CASE WHEN z[1] <> z[2] THEN z[1] ELSE 0 END)")
 _band("bitwise_and", lambda: R.rs_bitwiseand("a", "b"), "list_transform(list_zip(a, b), lambda z: (z[1]::INT & z[2]::INT)::DOUBLE)")
 _band("bitwise_or", lambda: R.rs_bitwiseor("a", "b"), "list_transform(list_zip(a, b), lambda z: (z[1]::INT | z[2]::INT)::DOUBLE)")
+_band("divide", lambda: R.rs_dividebands("a", "b"), "list_transform(list_zip(a, b), lambda z: CASE WHEN z[2] = 0 THEN CASE WHEN z[1] > 0 THEN 92233720368547758.07::DOUBLE WHEN z[1] < 0 THEN -92233720368547758.08::DOUBLE ELSE 0.0 END ELSE floor(z[1] / z[2] * 100 + 0.5) / 100 END)")
+_band("mode", lambda: R.rs_mode("a"), "list_sort(list_filter(list_distinct(a), lambda v: len(list_filter(a, lambda x: x = v)) = list_max(list_transform(list_distinct(a), lambda u: len(list_filter(a, lambda x: x = u))))))")
+_band("fetch_region", lambda: R.rs_fetchregion("a", [1, 2, 2, 3], [4, 4]), "list_concat(a[7:8], a[11:12])")
+_band("normalize", lambda: R.rs_normalize("a"), "list_transform(a, lambda x: CASE WHEN list_max(a) = 0 THEN CASE WHEN x < 0 THEN -2147483648.0 ELSE 0.0 END ELSE trunc(x / (list_max(a) / 255)) + 0.0::DOUBLE END)")
+_band("array", lambda: R.rs_array(3, 2.5), "[2.5::DOUBLE, 2.5, 2.5]")
+_band("html", lambda: R.rs_html(F.concat(F.lit("x"), F.col("id").cast("string"))), "'<img src=\"data:image/png;base64,x' || id || '\" width=\"200\" />'")
 _band("get_band", lambda: R.rs_getband("a", 2, 4), "a[len(a) // 4 + 1 : 2 * (len(a) // 4)]")
