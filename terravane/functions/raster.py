@@ -93,7 +93,7 @@ rs_logicalover = _pairwise(lambda x, y: F.when(x != 0, x).otherwise(y))
 
 def rs_modulo(a, d) -> Column:
     by = (d if isinstance(d, Column) else F.lit(d)).cast("double")
-    return F.transform(_c(a), lambda x: F.when(by == 0, F.lit(float("nan"))).otherwise(x % by))
+    return F.transform(_c(a), lambda x: F.when(by == 0, F.lit("NaN").cast("double")).otherwise(x % by))
 
 
 def rs_squareroot(a) -> Column:
