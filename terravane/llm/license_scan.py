@@ -62,10 +62,9 @@ def _sequences(k: int) -> str:
     return f"CASE WHEN size(w) >= {k} THEN transform(sequence(0, size(w) - {k}), i -> xxhash64({each})) ELSE cast(array() AS array<bigint>) END"
 
 
-def with_shingles(df: DataFrame, text: Column, short: list[int] = ()) -> DataFrame:
-    """Adds the word hashes w, the shingles s and, for each length in short, the sequences of so many words s1, s2 …"""
-    df = df.withColumn("w", F.transform(words(text), lambda x: F.xxhash64(x)))
-    return df.withColumns({"s": F.expr(_sequences(SHINGLE)), **{f"s{k}": F.expr(_sequences(k)) for k in short}})
+def with_shingles(df: DataFrame, text: Column) -> DataFrame:
+    """Adds the word hashes w and the shingles s."""
+    return df.withColumn("w", F.transform(words(text), lambda x: F.xxhash64(x))).withColumn("s", F.expr(_sequences(SHINGLE)))
 
 
 def _band_values(start: str, size: int = WINDOW) -> str:
@@ -108,9 +107,14 @@ def _candidates(texts: DataFrame, known: list[tuple]) -> DataFrame:
     each = ["zip_with(get(m, j), coalesce(get(m, j + 1), get(m, j)), (a, b) -> least(a, b))"]
     if any(n >= SHINGLE and len(s) < LEAST for _, _, n, s, *_ in known):
         each.append(f"slice(s, {STRIDE} * j + 1, {STRIDE})")
-    each += [f"slice(s{k}, {STRIDE} * j + 1, {STRIDE})" for k in short]
     values = f"transform(sequence(0, (size(w) - 1) div {STRIDE}), j -> struct(cast(j AS int) AS j, concat({', '.join(each)}) AS v))"
-    blocks = with_shingles(texts, F.col("text"), short)
+    for k in short:  # sequences of k words, where the first of them begins such a template
+        first = spark.createDataFrame([(text,) for _, _, n, _, text, _ in known if n == k], "text string").select(F.xxhash64(F.split(F.btrim("text"), " ")[0]))
+        firsts = ", ".join(sorted({f"{r[0]}L" for r in first.collect()}))
+        hashed = ", ".join(f"get(w, i + {d})" for d in range(k))
+        some = f"filter(sequence(0, greatest(size(w) - {k}, 0)), i -> get(w, i) IN ({firsts}))"
+        values = f"concat({values}, transform({some}, i -> struct(cast(i div {STRIDE} AS int) AS j, array(xxhash64({hashed})) AS v)))"
+    blocks = with_shingles(texts, F.col("text"))
     blocks = blocks.withColumn("m", F.expr(f"transform(sequence(0, (size(w) - 1) div {STRIDE}), j -> {_band_values(f'{STRIDE} * j', STRIDE)})"))
     # outer: Spark would compute the arrays twice, first for a filter on their sizes
     windows = blocks.select("k1", "k2", F.explode_outer(F.expr(values)).alias("x"))

@@ -94,7 +94,39 @@ QUERIES = {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_license_scan
 
 SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
 SQL = {
+    "op1_warc": """
+WITH digests AS (
+    SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages
+), firsts AS (
+    SELECT *, min(page_id) OVER (PARTITION BY payload) AS first_id FROM digests
+)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           (((('0x' || substr(h, CAST(5 * (i // 4) + 1 AS BIGINT), 5))::INT >> CAST(15 - 5 * (i % 4) AS INT)) & 31) + 1)::BIGINT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM firsts
+""",
+    "op6_ngram_join": f"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), {LETTERS}), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), sets AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS s FROM words
+), shingles AS (
+    SELECT doc_id, len(s) AS n, unnest(s) AS h FROM sets
+), links AS (
+    SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.h = b.h AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), reached(doc_id, root) AS (
+    SELECT doc_id, doc_id FROM sets UNION SELECT links.b, root FROM reached JOIN links ON links.a = reached.doc_id
+)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id
+FROM sets JOIN (SELECT doc_id, min(root) AS component_id FROM reached GROUP BY doc_id) USING (doc_id)
+""",
     "op9_line_dedup": f"""
 WITH lines AS (
     SELECT doc_id, pos, lines[pos] AS line

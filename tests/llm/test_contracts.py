@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -139,6 +140,17 @@ def test_op10(spark, where):
     assert rows(Q.op10_token_files(spark, where)) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("name", sorted(Q.SQL))
+def test_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got = Q.QUERIES[name](spark, SF)
+    want = con.sql(Q.SQL[name])
+    at = [want.columns.index(c) for c in got.columns]
+    assert rows(got) == sorted((tuple(r[k] for k in at) for r in want.fetchall()), key=repr)
+
+
 def test_empty_tables(spark, empty_dir):
     for name, query in Q.QUERIES.items():
         assert query(spark, empty_dir).count() == 0, name
