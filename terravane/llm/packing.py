@@ -148,6 +148,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = LENGTH,
             ids, off = own.encode(batch.column(1))
             for k, doc_id in enumerate(batch.column(0).to_pylist()):
                 rows += packer.add(doc_id, np.append(ids[off[k] : off[k + 1]], np.uint32(end_id)))
+            del ids, batch
+            release_memory()
             if rows:
                 yield batch_of(rows)
                 rows = []
