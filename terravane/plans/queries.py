@@ -58,12 +58,12 @@ def spatial_join_contains(spark, sf_dir):
 
 @query(f"SELECT p_partkey, count(*) AS n FROM ({_BOX}), lineitem WHERE {_IN} GROUP BY p_partkey")
 def join_count_by_key(spark, sf_dir):
-    return S.join_count_by_key(S.spatial_join(_boxes(spark, sf_dir), _points(spark, sf_dir), G.st_intersects, "box", "pt"), "p_partkey")
+    return S.spatial_join_count(_boxes(spark, sf_dir), _points(spark, sf_dir), G.st_intersects, "p_partkey", "box", "pt")
 
 
 @query(SQL["join_count_by_key"])
 def covers_join_count(spark, sf_dir):
-    return S.join_count_by_key(S.spatial_join(_boxes(spark, sf_dir), _points(spark, sf_dir), G.st_contains, "box", "pt"), "p_partkey")
+    return S.spatial_join_count(_boxes(spark, sf_dir), _points(spark, sf_dir), G.st_contains, "p_partkey", "box", "pt")
 
 
 def _sides(spark, sf_dir):
