@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terravane.session import ship_package
+from terravane.session import cleanup, new_path, remove, shared_dir, ship_package, staged  # noqa: F401
 
 SPACE = " \t\n\x0b\f\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
@@ -20,55 +17,6 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MAX_LONG = (1 << 63) - 1
 
 
-#: Intermediate paths of this process, by application, for cleanup().
-_made: dict[str, list[str]] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. A local master may do without it: there a temp
-    folder is shared by all; a cluster without it raises."""
-    ship_package(spark)
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="terravane-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has used; cleanup() deletes it."""
-    path = f"{shared_dir(spark)}/terravane/{name}-{uuid.uuid4().hex}"
-    made = _made.setdefault(spark.sparkContext.applicationId, [])
-    if not made:
-        atexit.register(_at_exit, spark)
-    made.append(path)
-    return path
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it from there: lineage ends, lost executors lose nothing."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def cleanup(spark: SparkSession) -> int:
-    """Delete the intermediate tables of this application, once its results are written; the number deleted. Frames
-    that operators returned can't be read afterwards. Called when the driver's process ends."""
-    made = _made.pop(spark.sparkContext.applicationId, [])
-    for path in made:
-        remove(spark, path)
-    return len(made)
-
-
-def _at_exit(spark: SparkSession) -> None:
-    with contextlib.suppress(Exception):  # the session may have ended before the process
-        if spark.sparkContext._jsc and not spark.sparkContext._jsc.sc().isStopped():
-            cleanup(spark)
-
-
 def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
     """The wanted column names, with underscores after them where a column of that name is taken (in any case)."""
     used = {t.lower() for t in taken}
@@ -81,12 +29,6 @@ def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
     return out
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a path of the shared folder."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

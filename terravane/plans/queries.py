@@ -29,6 +29,11 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """Rows of a small file, which Spark reads in one task, over all cores, as shapes are made of them."""
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def _points(spark, sf_dir):
     df = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
     return df.withColumn("pt", G.st_point("l_quantity", "l_extendedprice"))
@@ -112,7 +117,7 @@ def _polygon(*points):
 
 def _triangles(spark, sf_dir, table, key, name, upper):
     """A half of the unit square at a place of a 12 x 12 lattice: the lower left or the upper right one."""
-    k = _t(spark, sf_dir, table).select(F.col(key))
+    k = _dealt(_t(spark, sf_dir, table).select(F.col(key)))
     x, y = F.col(key) % 12, F.col(key) * 5 % 13
     points = [(x, y + 1), (x + 1, y), (x + 1, y + 1), (x, y + 1)] if upper else [(x, y), (x + 1, y), (x, y + 1), (x, y)]
     return k.withColumn(name, _polygon(*points))
@@ -136,7 +141,7 @@ def triangles_equal(spark, sf_dir):
 @query("SELECT p_partkey, c_custkey FROM (SELECT p_partkey, p_partkey % 30 AS x, p_partkey * 7 % 40 AS y FROM part), (SELECT c_custkey, c_custkey % 35 AS u, c_custkey * 3 % 41 AS v FROM customer) WHERE u >= x AND v >= y AND 2 * (u - x) + (v - y) <= 6")
 def triangle_join_points(spark, sf_dir):
     x, y = F.col("p_partkey") % 30, F.col("p_partkey") * 7 % 40
-    a = _t(spark, sf_dir, "part").select("p_partkey").withColumn("g", _polygon((x, y), (x + 3, y), (x, y + 6), (x, y)))
+    a = _dealt(_t(spark, sf_dir, "part").select("p_partkey")).withColumn("g", _polygon((x, y), (x + 3, y), (x, y + 6), (x, y)))
     b = _t(spark, sf_dir, "customer").select("c_custkey", G.st_point(F.col("c_custkey") % 35, F.col("c_custkey") * 3 % 41).alias("h"))
     return S.spatial_join(a, b, "contains", "g", "h").select("p_partkey", "c_custkey")
 

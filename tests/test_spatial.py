@@ -190,3 +190,19 @@ def test_repeated_geometries(spark, monkeypatch, small):
     lines = spark.createDataFrame([(k, f"LINESTRING ({k % 2} 0, {k % 2 + 2} 0)") for k in range(10)], "i int, t string").select("i", G.st_geomfromwkt("t").alias("g"))
     other = lines.select(F.col("i").alias("j"), F.col("g").alias("h"))
     assert sorted(map(tuple, S.spatial_join(lines, other, "equals", "g", "h").select("i", "j").collect())) == [(p, q) for p in range(10) for q in range(10) if p % 2 == q % 2]
+
+
+def test_shapes_are_made_once(spark):
+    """A text is parsed once for its row, and joins read the shapes that were made of it."""
+    a = spark.createDataFrame([(k, f"POLYGON (({k % 3} 0, {k % 3 + 1} 0, {k % 3} 1, {k % 3} 0))") for k in range(12)], "i int, t string")
+    left, right = a.select("i", G.st_geomfromwkt("t").alias("g")), a.select(F.col("i").alias("j"), G.st_geomfromwkt("t").alias("h"))
+    assert left._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") == 2
+    out = S.spatial_join(left, right, "equals", "g", "h")
+    assert "regexp_extract" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, out.select("i", "j").collect())) == [(p, q) for p in range(12) for q in range(12) if p % 3 == q % 3]
+
+
+def test_kinds_of_shapes(spark):
+    texts = ["POINT (1 2)", "POLYGON ((0 0, 0 2, 3 2, 3 0, 0 0))", "POLYGON ((3 2, 0 2, 0 0, 3 0, 3 2))", "POLYGON ((0 0, 3 2, 0 2, 3 0, 0 0))", "POLYGON ((0 0, 3 0, 3 0, 0 2, 0 0))", "POLYGON ((0 0, 3 0, 0 0, 3 2, 0 0))"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", G.st_geomfromwkt("t").alias("g"))
+    assert [r.k for r in df.select("i", S._kind(F.col("g")).alias("k")).orderBy("i").collect()] == [1, 2, 2, 3, 3, 3]
