@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,9 @@ DEFAULT = "byte_bpe_50k.json"
 #: White space, a superset of the pattern's own.
 BLANK = r"[\s\x{b}\x{1c}-\x{1f}\x{85}\pZ]"
 #: Text that is cut into chunks at a time: what bounds a worker's memory.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 6 << 20
+#: Chunks whose encodings are held at a time.
+LOT = 10_000
 _encoders: dict[str, Encoder] = {}
 
 
@@ -55,7 +58,7 @@ class Encoder:
 
     def _clear(self) -> None:
         self.slot: dict[str, dict[str, int]] = {" ": {}, "": {}}  # by what stands before the chunk
-        self.start, self.size, self.pool = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
+        self.start, self.size, self.pool = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(4096, np.uint32)
         self.n_slots = self.used = 0
 
     def tokens(self) -> list[str]:
@@ -64,10 +67,14 @@ class Encoder:
             out[i] = token
         return out
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        texts = pc.fill_null(texts, "")
+    def parts(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """What encode() gives, for about SLICE_BYTES of the texts after another."""
         step = max(1, len(texts) * SLICE_BYTES // max(texts.nbytes, 1))
-        parts = [self._encode(texts.slice(k, step)) for k in range(0, len(texts), step)]
+        for k in range(0, len(texts), step):
+            yield self._encode(pc.fill_null(texts.slice(k, step), ""))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        parts = list(self.parts(texts))
         sizes = np.concatenate([np.zeros(1, np.int64), *(np.diff(off) for _, off in parts)])
         return np.concatenate([np.zeros(0, np.uint32), *(ids for ids, _ in parts)]), np.cumsum(sizes)
 
@@ -83,7 +90,7 @@ class Encoder:
         off, values = off - off[0], values.slice(off[0], off[-1] - off[0])
         first = np.zeros(len(values), bool)
         first[off[:-1]] = True
-        at = np.empty(len(values), np.int64)
+        at = np.empty(len(values), np.int32)
         tail, head = np.zeros(len(values), bool), np.zeros(len(values), bool)
         for mask, lead in ((~first, " "), (first, "")):
             part = values.filter(pa.array(mask)).dictionary_encode()
@@ -96,10 +103,13 @@ class Encoder:
         bad = tail[:-1] & head[1:] & ~first[1:]
         if bad.any():
             whole[np.searchsorted(off, np.flatnonzero(bad), "right") - 1] = True
-        start, size = self.start[at], self.size[at]
-        ends = np.r_[0, np.cumsum(size)]
-        ids = self.pool[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])]
-        doc_off = ends[off]
+        size = self.size[at]
+        ends = np.r_[0, np.cumsum(size, dtype=np.int64)]
+        kind = np.int32 if max(self.used, ends[-1]) < 1 << 31 else np.int64
+        place = np.repeat((self.start[at] - ends[:-1]).astype(kind), size)
+        place += np.arange(ends[-1], dtype=kind)
+        ids, doc_off = self.pool[place], ends[off]
+        del at, size, ends, place
         if whole.any():
             ids, doc_off = self._patched(ids, doc_off, np.flatnonzero(whole), texts)
         if self.n_slots > self.max_cached:
@@ -126,19 +136,22 @@ class Encoder:
         missing = [k for k in names if k not in known]
         plain = [k for k in missing if k and not k[0].isspace() and not k[-1].isspace()] if lead else []
         other = [k for k in missing if not k or k[0].isspace() or k[-1].isspace()] if lead else missing
-        groups = [plain[k : k + 200] for k in range(0, len(plain), 200)]
-        for group, e in zip(groups, self.tok.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, np.int64)
-            due = np.cumsum([len(k.encode()) + 1 for k in group])  # cut the ids of the joined text at bytes
-            ends = np.cumsum(self.n_bytes[ids])
-            cut = np.searchsorted(ends, due) + 1
-            if cut[-1] > len(ids) or (ends[cut - 1] != due).any():  # never with a byte-level pattern; then one by one
-                other += group
-            else:
-                self._add(lead, group, ids, np.diff(np.r_[0, cut]))
-        found = [e.ids for e in self.tok.encode_batch_fast([lead + k for k in other], add_special_tokens=False)]
-        self._add(lead, other, np.array([i for ids in found for i in ids], np.int64), np.array([len(x) for x in found], np.int64))
-        return np.fromiter(map(known.__getitem__, names), np.int64, len(names))
+        for at in range(0, len(plain), LOT):
+            groups = [plain[k : k + 200] for k in range(at, min(at + LOT, len(plain)), 200)]
+            for group, e in zip(groups, self.tok.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, np.int64)
+                due = np.cumsum([len(k.encode()) + 1 for k in group])  # cut the ids of the joined text at bytes
+                ends = np.cumsum(self.n_bytes[ids])
+                cut = np.searchsorted(ends, due) + 1
+                if cut[-1] > len(ids) or (ends[cut - 1] != due).any():  # never with a byte-level pattern; then one by one
+                    other += group
+                else:
+                    self._add(lead, group, ids, np.diff(np.r_[0, cut]))
+        for at in range(0, len(other), LOT):
+            lot = other[at : at + LOT]
+            found = [e.ids for e in self.tok.encode_batch_fast([lead + k for k in lot], add_special_tokens=False)]
+            self._add(lead, lot, np.array([i for ids in found for i in ids], np.int64), np.array([len(x) for x in found], np.int64))
+        return np.fromiter(map(known.__getitem__, names), np.int32, len(names))
 
     def _add(self, lead: str, names: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         n, used = self.n_slots, self.used

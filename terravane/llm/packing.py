@@ -145,10 +145,12 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = LENGTH,
 
         rows: list[tuple] = []
         for batch in batches:
-            ids, off = own.encode(batch.column(1))
-            for k, doc_id in enumerate(batch.column(0).to_pylist()):
-                rows += packer.add(doc_id, np.append(ids[off[k] : off[k + 1]], np.uint32(end_id)))
-            del ids, batch
+            doc_ids = iter(batch.column(0).to_pylist())
+            for ids, off in own.parts(batch.column(1)):
+                for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+                    rows += packer.add(next(doc_ids), np.append(ids[a:b], np.uint32(end_id)))
+                del ids
+            del batch
             release_memory()
             if rows:
                 yield batch_of(rows)

@@ -1,5 +1,7 @@
 import numpy as np
+import pyarrow as pa
 
+from terravane.llm import bpe
 from terravane.llm import packing as P
 
 
@@ -25,3 +27,24 @@ def test_least_cost_over_all_sentence_ends():
     own = dict(zip(places.tolist(), penalties.tolist()))
     cost = sum(own[b] + P.WINDOW + (0 if b - a == 256 else length - b + a) for a, b in zip([0, *cuts], cuts))
     assert cost == best[700]
+
+
+def test_encoder_holds_encodings_of_few_words_at_a_time():
+    own = bpe.Encoder(bpe.tokenizer_path())
+    tok, held = own.tok, []
+
+    class Counting:
+        def __getattr__(self, name):
+            return getattr(tok, name)
+
+        def encode_batch_fast(self, texts, **options):
+            held.append(sum(t.count(" ") for t in texts))
+            return tok.encode_batch_fast(texts, **options)
+
+    own.tok = Counting()
+    words = " ".join(f"w{k}x" for k in range(30_000))
+    ids, off = own.encode(pa.array([words]))
+    assert max(held) <= 10_000 and ids.tolist() == tok.encode(words, add_special_tokens=False).ids
+    texts = pa.array([f"{k} " * 100_000 for k in range(40)] + [None])
+    parts = list(own.parts(texts))
+    assert max(len(i) for i, _ in parts) < 4_000_000 and sum(len(o) - 1 for _, o in parts) == len(texts)
