@@ -39,8 +39,9 @@ def _points(spark, sf_dir):
     return df.withColumn("pt", G.st_point("l_quantity", "l_extendedprice"))
 
 
-def _boxes(spark, sf_dir):
+def _boxes(spark, sf_dir, dealt=False):
     df = _t(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
+    df = _dealt(df) if dealt else df
     s, p = F.col("p_size"), F.col("p_retailprice")
     return df.withColumn("box", G.st_polygonfromenvelope(s - 1, p - 50, s + 1, p + 50))
 
@@ -72,7 +73,7 @@ def covers_join_count(spark, sf_dir):
 
 
 def _sides(spark, sf_dir):
-    a = _boxes(spark, sf_dir).select("p_partkey", "box")
+    a = _boxes(spark, sf_dir, True).select("p_partkey", "box")
     s = _t(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 50).alias("x"), (F.col("s_suppkey") * 7 % 1000 + 900).alias("y"))
     b = s.select("s_suppkey", G.st_polygonfromenvelope(F.col("x") - 1, F.col("y") - 40, F.col("x") + 1, F.col("y") + 40).alias("sbox"))
     return a, b
@@ -98,7 +99,7 @@ def spatial_join_within(spark, sf_dir):
 
 def _whole_boxes(spark, sf_dir, key, name):
     """Boxes on whole numbers, of which some are equal."""
-    k = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias(key))
+    k = _dealt(_t(spark, sf_dir, "part").select(F.col("p_partkey").alias(key)))
     x, y = F.col(key) * 7 % 40, F.col(key) * 13 % 50
     return k.withColumn(name, G.st_polygonfromenvelope(x, y, x + 2, y + 3))
 

@@ -217,3 +217,35 @@ def test_small_sides_are_profiled_side_by_side(spark, monkeypatch):
     b = spark.range(-9, 30).withColumnRenamed("id", "j").withColumn("h", G.st_point(F.col("j") + 0.5, F.lit(0.5)))
     assert sorted(map(tuple, S.spatial_join(a, b, "contains", "g", "h").select("i", "j").collect())) == [(k, k) for k in range(9)]
     assert len(threads) == 2 and threading.main_thread() not in threads
+
+
+def _repeated_boxes(spark, n, times, key, name, hot=0):
+    """n boxes on a lattice, each so many times; the first one hot times more."""
+    k = spark.range(n * times).select(F.col("id").alias(key), (F.col("id") % n).alias("place"))
+    if hot:
+        k = k.union(spark.range(n * times, n * times + hot).select(F.col("id"), F.lit(0)))
+    x, y = F.col("place") % 100, F.floor(F.col("place") / 100)
+    return k.withColumn(name, G.st_polygonfromenvelope(x - 0.0, y, x + 1, y + 1)).withColumn("note_" + key, F.when(F.col(key) % 3 > 0, F.col(key).cast("string"))).drop("place")
+
+
+@pytest.mark.parametrize("hot", [0, 5000])
+@pytest.mark.parametrize("limit", [S.SMALL_ROWS, 10])
+def test_repeated_boxes_meet_as_arrays(spark, monkeypatch, hot, limit):
+    monkeypatch.setattr(S, "SMALL_ROWS", limit)  # whether the right side is broadcast
+    monkeypatch.setattr(S, "CHUNK", 3)
+    a, b = _repeated_boxes(spark, 1000, 3, "a", "g", hot), _repeated_boxes(spark, 400, 7, "b", "h")
+    monkeypatch.setattr(S, "EVEN", 1)
+    out = S.spatial_join(a, b, "equals", "g", "h")
+    rows = out.select("a", "b", "note_a", "note_b", F.col("g").xmin == F.col("h").xmin).collect()
+    assert len(rows) == len(set(rows)) == 400 * 3 * 7 + 7 * hot
+    assert all((r[0] % 1000 if r[0] < 3000 else 0) == r[1] % 400 and r[4] for r in rows)
+    assert all(r.note_a == (str(r.a) if r.a % 3 else None) and r.note_b == (str(r.b) if r.b % 3 else None) for r in rows)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" in plan and "_level" not in plan
+    out = S.spatial_join(a, b, "overlaps", "g", "h")
+    assert out.count() == 0
+    out = S.spatial_join(a, b, "intersects", "g", "h").select("a", "b")
+    near = [[c for c in range(400) if abs(c % 100 - k % 100) <= 1 and abs(c // 100 - k // 100) <= 1] for k in range(1000)]
+    assert out.count() == out.distinct().count() == sum(21 * len(c) for c in near) + 7 * hot * len(near[0])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert limit == 10 or ("RoundRobin" in plan) == bool(hot)  # evenly dealt rows aren't dealt again
