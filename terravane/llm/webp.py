@@ -16,7 +16,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,8 @@ WIDTH, ROWS = 192, 4096
 #: Bits that a code's table looks up at once, blocks of the predictor transform, cache sizes that are tried where a
 #: literal takes so many bits, and about the bits of a back-reference.
 TABLE_BITS, BLOCK_BITS, CACHE_BITS, CACHED_BITS, COPY_BITS = 10, 4, (0, 6, 8, 10), 8.0, 22
+#: Bytes of a stream whose tokens are looked up at once.
+STRETCH = 1 << 13
 HASH = 0x1E35A7BD  # fixed value of the format: the colour cache's multiplier
 #: Fixed values of the format: order of code-length codes, and near distances as (x, y).
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -231,12 +233,12 @@ def _prefix(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(t[values] for t in _prefixes())
 
 
-def _copies(pixels: np.ndarray, least: int) -> tuple[list[int], list[int], list[int]]:
+def _copies(pixels: np.ndarray, least: int) -> tuple[list[int], np.ndarray, np.ndarray]:
     """Where back-references stand, their lengths and distances: of each place the longest run on from the last place
     before it with the same pixels, so many at least, taken greedily."""
-    n = len(pixels) - least + 1
+    n, none = len(pixels) - least + 1, np.zeros(0, np.int64)
     if n < 2:
-        return [], [], []
+        return [], none, none
     if pixels.dtype == np.uint8 and least <= 8:  # the bytes are the key
         key = np.ndarray(n, "<u8", pixels.tobytes() + bytes(8), strides=(1,)) & np.uint64((1 << 8 * least) - 1)
     else:
@@ -252,21 +254,27 @@ def _copies(pixels: np.ndarray, least: int) -> tuple[list[int], list[int], list[
     edge = np.concatenate([[0], np.flatnonzero(distance[1:] != distance[:-1]) + 1, [n]])  # runs of one distance
     gap = distance[edge[:-1]]
     some = np.flatnonzero(gap)
-    at, size, far, upto = [], [], [], 0
-    for a, b, d in zip(edge[some].tolist(), (edge[some + 1] + (least - 1)).tolist(), gap[some].tolist()):
+    end = edge[some + 1] + (least - 1)
+    at, of, upto = [], [], 0
+    for k, (a, b) in enumerate(zip(edge[some].tolist(), end.tolist())):
         if a < upto:
             a = upto
-        while b - a >= least:
-            upto = min(b, a + 4096)
+        if b - a >= least:
             at.append(a)
-            size.append(upto - a)
-            far.append(d)
-            a = upto
+            of.append(k)
+            upto = b
+            if b - a > 4096:  # several of the most that one may have
+                upto = a = a + 4096
+                while b - a >= least:
+                    at.append(a)
+                    of.append(k)
+                    upto = a = min(b, a + 4096)
+    of = np.array(of, np.int64)
+    size, far = np.minimum(end[of] - np.array(at, np.int64), 4096), gap[some[of]]
     if at and pixels.dtype != np.uint8:  # keys are hashes
-        span, gap = np.array(size), np.array(far)
-        each = np.arange(span.sum()) + np.repeat(np.array(at) - (np.cumsum(span) - span), span)
-        if (pixels[each] != pixels[each - np.repeat(gap, span)]).any():
-            return [], [], []
+        each = np.arange(size.sum()) + np.repeat(np.array(at) - (np.cumsum(size) - size), size)
+        if (pixels[each] != pixels[each - np.repeat(far, size)]).any():
+            return [], none, none
     return at, size, far
 
 
@@ -288,11 +296,10 @@ def _put_image(w: BitWriter, pixels: np.ndarray, width: int, outer: bool = False
     at, size, far = _copies(sought, min(max(3, int(COPY_BITS / max(bits_each, 2.0)) + 1), 8))
     inside = np.zeros(n + 1, np.int8)
     inside[at] = 1
-    inside[np.array(at, np.int64) + np.array(size, np.int64)] -= 1
+    inside[np.array(at, np.int64) + size] -= 1
     token = np.cumsum(inside[:-1], dtype=np.int8) == 0
     literal = np.flatnonzero(token)
-    length = _prefix(np.array(size, np.int64))
-    far = np.array(far, np.int64)
+    length = _prefix(size)
     near = _near_codes(width)
     code = np.where(far < len(near), near[np.minimum(far, len(near) - 1)], 0)
     distance = _prefix(np.where(code > 0, code, far + 120))
@@ -301,7 +308,7 @@ def _put_image(w: BitWriter, pixels: np.ndarray, width: int, outer: bool = False
     if green_only:
         first = int(pixels[0])
         count = [np.bincount(np.concatenate([symbol, 256 + length[0]]), minlength=280)]
-        count += [np.bincount([first >> k & 255], minlength=256) for k in (16, 0, 24)]
+        count += [first >> k & 255 for k in (16, 0, 24)]
     else:
         best, copied = None, 768 + 256 + length[0]
         for tried in CACHE_BITS if bits_each >= CACHED_BITS else (0,):
@@ -324,8 +331,14 @@ def _put_image(w: BitWriter, pixels: np.ndarray, width: int, outer: bool = False
     w.put(int(bits > 0) | bits << 1, 5 if bits else 1)
     if outer:
         w.put(0, 1)  # one group of codes
-    green, red, blue, alpha, to = (_put_code(w, c) for c in (*count, np.bincount(distance[0], minlength=40)))
-    parts = [(green, symbol, None)] + [(c, own >> k & 255, hit if bits else None) for c, k in ((red, 16), (blue, 0), (alpha, 24)) if c[1].any()]
+    green = _put_code(w, count[0])
+    parts = [(green, symbol, None)]
+    for c, k in zip(count[1:], (16, 0, 24)):
+        if green_only:
+            w.put(1 | 1 << 2 | c << 3, 11)  # the code of one symbol
+        elif (put := _put_code(w, c))[1].any():
+            parts.append((put, own >> k & 255, hit if bits else None))
+    to = _put_code(w, np.bincount(distance[0], minlength=40))
     value, bit = np.zeros(n, np.uint64), np.zeros(n, np.int64)
     v, b = np.zeros(len(own), np.uint64), np.zeros(len(own), np.int64)
     for (codes, lengths), s, unless in parts:
@@ -519,20 +532,31 @@ class Code:
             self._one(int(used[0]) if len(used) else 0)
             return
         self.single = False
-        used, size = _canonical(size)
-        self.most = int(size[-1])
-        bits = min(self.most, TABLE_BITS)
-        entry = used << 4 | size
-        short = np.searchsorted(size, bits, "right")
-        by_first = np.full(1 << bits, -1, np.int64)  # by the bits as a code is written, first bit highest
-        found = np.repeat(entry[:short], 1 << (bits - size[:short]))
+        self.used, self.size = _canonical(size)
+        self.most = int(self.size[-1])
+        self.mask = (1 << min(self.most, TABLE_BITS)) - 1
+
+    def whole(self, bits: int = 15) -> np.ndarray:
+        """Symbol and length in one number by the next bits, so many or as many as the longest code has; -1 for no code."""
+        if self.single:
+            return np.array(self.table, np.int32)
+        bits = min(self.most, bits)
+        short = np.searchsorted(self.size, bits, "right")
+        by_first = np.full(1 << bits, -1, np.int32)  # by the bits as a code is written, first bit highest
+        found = np.repeat((self.used << 4 | self.size)[:short], 1 << (bits - self.size[:short]))
         by_first[: len(found)] = found
-        self.table, self.mask = by_first[_reversed(bits)].tolist(), (1 << bits) - 1
-        self.longer: dict[tuple[int, int], int] = {}
-        if short < len(used):
-            room = 1 << (15 - size)
-            code = _reversed(15)[np.cumsum(room) - room]
-            self.longer = {(n, c): e for n, c, e in zip(size[short:].tolist(), code[short:].tolist(), entry[short:].tolist())}
+        return by_first[_reversed(bits)]
+
+    @cached_property
+    def table(self) -> list[int]:
+        return self.whole(TABLE_BITS).tolist()
+
+    @cached_property
+    def longer(self) -> dict[tuple[int, int], int]:
+        short = np.searchsorted(self.size, TABLE_BITS, "right")
+        size, room = self.size[short:].tolist(), 1 << (15 - self.size)
+        code = _reversed(15)[(np.cumsum(room) - room)[short:]].tolist()
+        return {(n, c): s << 4 | n for n, c, s in zip(size, code, self.used[short:].tolist())}
 
     def _one(self, symbol: int) -> None:
         self.single, self.table, self.mask = True, [symbol << 4], 0
@@ -559,6 +583,46 @@ def _fixed(red: list, r_code: Code, blue: list, b_code: Code, alpha: list, a_cod
     return a, a | red[0] >> 4 << 16 | blue[0] >> 4 if r_code.single and b_code.single else -1
 
 
+_SHIFTS, _PLACES = np.arange(8, dtype=np.uint32), np.arange(8 * (STRETCH + 8), dtype=np.int32)
+
+
+@cache
+def _extra_bits() -> np.ndarray:
+    """Extra bits of each symbol of a length or distance; of -1 none."""
+    symbol = np.arange(256)
+    return np.r_[np.where(symbol < 4, 0, (symbol - 2) >> 1)[:40], np.zeros(1, np.int64)].astype(np.int32)
+
+
+def _told(symbol: np.ndarray, window: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Lengths or distance codes of symbols whose extra bits begin at these places."""
+    n = _extra_bits()[symbol]
+    more = (window[at >> 3] >> (at & 7).astype(np.uint32)).astype(np.int64) & ((1 << n) - 1)
+    return np.where(symbol < 4, symbol, (2 + (symbol & 1) << n) + more) + 1
+
+
+@cache
+def _near_places(width: int) -> np.ndarray:
+    """Distances of the codes up to 120."""
+    return np.array([0] + [max(1, dy * width + dx) for dx, dy in NEAR], np.int64)
+
+
+def _way(after: np.ndarray, first: int, end: int) -> np.ndarray:
+    """The places before end on the way from the first, each followed by the one that after names."""
+    hops = [np.concatenate([np.minimum(after, end), np.array([end], np.int32)])]
+    for _ in range(3):
+        hops.append(hops[-1][hops[-1]])
+    eight, at, way = memoryview(hops.pop()), first, []
+    while at < end:
+        way.append(at)
+        at = eight[at]
+    out = np.array(way, np.int32)
+    for hop in reversed(hops):
+        both = np.empty(2 * len(out), np.int32)
+        both[::2], both[1::2] = out, hop[out]
+        out = both
+    return out[: np.searchsorted(out, end)]
+
+
 class Vp8l:
     """Decodes one stream to (rows, columns) of 32-bit ARGB."""
 
@@ -577,7 +641,7 @@ class Vp8l:
         return int.from_bytes(self.data[first : first + bits // 8 + 1], "little") >> (self.at & 7)
 
     def bits(self, n: int) -> int:
-        value = self.peek() & ((1 << n) - 1)
+        value = self.peek(max(n + 7, 32)) & ((1 << n) - 1)
         self.at += n
         return value
 
@@ -595,8 +659,10 @@ class Vp8l:
     def normal_code(self, size: int) -> Code:
         lengths = [0] * size
         small = [0] * 19
-        for symbol in LENGTH_ORDER[: self.bits(4) + 4]:
-            small[symbol] = self.bits(3)
+        n = self.bits(4) + 4
+        value = self.bits(3 * n)
+        for k, symbol in enumerate(LENGTH_ORDER[:n]):
+            small[symbol] = value >> 3 * k & 7
         small_code = Code(small)
         left = 2 + self.bits(2 + 2 * self.bits(3)) if self.bits(1) else size
         table, mask = small_code.table, small_code.mask
@@ -633,11 +699,12 @@ class Vp8l:
             groups = (self.image(step, (height + (1 << group_bits) - 1) >> group_bits) >> 8 & 0xFFFF).tolist()
             n_groups = max(max(r) for r in groups) + 1
         codes = [[self.code(n) for n in (280 + len(cache), 256, 256, 256, 40)] for _ in range(n_groups)]
+        if not groups and not cache and all(c.single for c in codes[0][1:4]):
+            red, blue, alpha = (c.table[0] >> 4 for c in codes[0][1:4])
+            return self.green(codes[0][0], codes[0][4], alpha << 24 | red << 16 | blue, width, height)
         tables = [[x for c in own for x in (c.table, c.mask, c)] for own in codes]
         (green, g_mask, g_code, red, r_mask, r_code, blue, b_mask, b_code, alpha, a_mask, a_code, to, t_mask, t_code) = tables[0]
         fixed, one = _fixed(red, r_code, blue, b_code, alpha, a_code)
-        if one >= 0 and not groups and not cache:
-            return self.green(codes[0][0], to, t_mask, t_code, one, width, height)
         data, total = self.data, width * height
         byte, held = self.at >> 3, 0  # next byte to take, and bits that are taken but not used
         value = 0
@@ -726,62 +793,67 @@ class Vp8l:
             raise ValueError("the stream ends too early")
         return np.array(out, np.uint32).reshape(height, width)
 
-    def green(self, code: Code, to: list, t_mask: int, t_code: Code, one: int, width: int, height: int) -> np.ndarray:
-        """Pixels of which green alone varies, without a cache."""
-        data, total = self.data, width * height
-        table, mask = code.table, code.mask
-        byte, held, value = self.at >> 3, 0, 0
-        if self.at & 7:
-            value, held, byte = data[byte] >> (self.at & 7), 8 - (self.at & 7), byte + 1
-        out = bytearray()
-        append = out.append
-        n_out = 0
-        while n_out < total:
-            if held < 96:  # no token takes more
-                value |= int.from_bytes(data[byte : byte + 16], "little") << held
-                held += 128
-                byte += 16
-            s = table[value & mask]
-            if s < 0:
-                s = code.long(value)
-            n = s & 15
-            value >>= n
-            held -= n
-            if s < 4096:  # 256 << 4: a literal
-                append(s >> 4)
-                n_out += 1
-                continue
-            x = (s >> 4) - 256
-            if x >= 4:
-                n = (x - 2) >> 1
-                x = ((2 + (x & 1)) << n) + (value & ((1 << n) - 1))
-                value >>= n
-                held -= n
-            size = min(x + 1, total - n_out)
-            x = to[value & t_mask]
-            if x < 0:
-                x = t_code.long(value)
-            n = x & 15
-            value >>= n
-            held -= n
-            x >>= 4
-            if x >= 4:
-                n = (x - 2) >> 1
-                x = ((2 + (x & 1)) << n) + (value & ((1 << n) - 1))
-                value >>= n
-                held -= n
-            if x >= 120:
-                d = x - 119
-            else:
-                dx, dy = NEAR[x]
-                d = max(1, dy * width + dx)
-            if d > n_out:
+    def green(self, code: Code, to_code: Code, one: int, width: int, height: int) -> np.ndarray:
+        """Pixels of which green alone varies, without a cache. Of a stretch of the stream, the token that would begin at
+        each bit is looked up at once, and where the next one begins; the tokens are those on the way from the first."""
+        total = width * height
+        if code.single:
+            if (symbol := code.table[0] >> 4) >= 256:
                 raise ValueError("a copy from before the image")
-            out += out[n_out - d : n_out - d + size] if d >= size else (out[-d:] * (size // d + 1))[:size]
-            n_out += size
-        self.at = 8 * byte - held
+            return np.full((height, width), one | symbol << 8, np.uint32)
+        table, to = code.whole(), to_code.whole()
+        mask, t_mask = np.uint32(len(table) - 1), np.uint32(len(to) - 1)
+        extra, skip = _extra_bits(), (to & 15) + _extra_bits()[to >> 4]  # bits of a distance
+        data = self.data
+        starts, sizes, gaps, out, n_out = [], [], [], bytearray(), 0
+        while n_out < total:
+            if self.at > 8 * len(data):
+                raise ValueError("the stream ends too early")
+            base = self.at >> 3
+            room = min(STRETCH, total - n_out, len(data) - base) + 8
+            held = data[base : base + room + 16]
+            window = np.ndarray(room + 12, "<u4", held.ljust(room + 16, b"\0"), strides=(1,))
+            word = (window[:room, None] >> _SHIFTS).reshape(-1)
+            token = table[word & mask]
+            after = _PLACES[: 8 * room] + (token & 15)
+            copy = np.flatnonzero(token >= 4096)  # 256 << 4
+            there = after[copy] + extra[(token[copy] >> 4) - 256]
+            after[copy] = there + skip[window[there >> 3] >> (there & 7).astype(np.uint32) & t_mask]
+            at = _way(after, self.at & 7, 8 * room)
+            found = token[at]
+            if found.min() < 0:
+                raise ValueError("no such prefix code")
+            copied = np.flatnonzero(found >= 4096)
+            size = np.ones(len(at), np.int64)
+            symbol = (found[copied] >> 4) - 256
+            there = at[copied] + (found[copied] & 15)
+            size[copied] = _told(symbol, window, there)
+            there = there + extra[symbol]
+            symbol = to[window[there >> 3] >> (there & 7).astype(np.uint32) & t_mask]
+            ends = n_out + np.cumsum(size)
+            last = min(int(np.searchsorted(ends, total)), len(at) - 1)  # tokens behind the image's end belong to others
+            copied, symbol, there = (x[: np.searchsorted(copied, last, "right")] for x in (copied, symbol, there))
+            if len(copied):
+                if symbol.min() < 0:
+                    raise ValueError("no such prefix code")
+                far = _told(symbol >> 4, window, there + (symbol & 15))
+                far = np.where(far > 120, far - 120, _near_places(width)[np.minimum(far, 120)])
+                start = (ends - size)[copied]
+                if (far > start).any():
+                    raise ValueError("a copy from before the image")
+                starts += start.tolist()
+                sizes += np.minimum(size[copied], total - start).tolist()
+                gaps += far.tolist()
+            part = np.zeros(min(int(ends[last]), total) - n_out, np.uint8)
+            literal = found[: last + 1] < 4096
+            part[(ends - size)[: last + 1][literal] - n_out] = found[: last + 1][literal] >> 4
+            out += part.tobytes()
+            n_out = len(out)
+            self.at = 8 * base + int(after[at[last]])
         if self.at > 8 * len(data):
             raise ValueError("the stream ends too early")
+        for a, n, d in zip(starts, sizes, gaps):
+            out[a : a + n] = out[a - d : a - d + n] if d >= n else (out[a - d : a] * (n // d + 1))[:n]
         return np.uint32(one) | np.frombuffer(out, np.uint8).astype(np.uint32).reshape(height, width) << np.uint32(8)
 
     def decode(self) -> np.ndarray:

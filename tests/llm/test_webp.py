@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import math
+import sys
 import zlib
 from collections import Counter
 
@@ -241,6 +242,56 @@ def test_back_reference_and_colour_cache():
     assert stream(6, 1, build)[0].tolist() == [[255, 1, 7, 2]] * 6
 
 
+def test_tokens_are_looked_up_at_once():
+    """No step of the interpreter for each literal."""
+    rng = np.random.default_rng(3)
+    payload = rng.choice(np.arange(60, 100, dtype=np.uint8), 192 * 60).tobytes()
+    media = W.store(payload)
+    steps = 0
+
+    def count(frame, event, arg):
+        nonlocal steps
+        steps += event == "line"
+        return count if frame.f_code.co_filename == W.__file__ else None
+
+    before = sys.gettrace()
+    sys.settrace(count)
+    try:
+        back = W.load(media)
+    finally:
+        sys.settrace(before)
+    assert back.tobytes() == payload and steps < len(payload)
+
+
+@pytest.mark.parametrize("stretch", [1, 7, 64, W.STRETCH])
+def test_stretches_of_a_stream(monkeypatch, stretch):
+    """Tokens across the borders of stretches, codes of 15 bits, long copies, and one value only."""
+    monkeypatch.setattr(W, "STRETCH", stretch)
+    rng = np.random.default_rng(stretch)
+    skewed = np.repeat(np.arange(20), np.maximum(1, (2.0 ** np.arange(20) / 400).astype(int))).astype(np.uint8)
+    rng.shuffle(skewed)
+    words = [bytes(rng.integers(97, 123, k, dtype=np.uint8)) for k in (3, 9, 40)]
+    text = b" ".join(words[k] for k in rng.integers(0, 3, 150))
+    for payload in (skewed.tobytes(), text, b"ab" * 6000, b"\0" * 500, b"q" * 192):
+        assert W.load(W.store(payload)).tobytes().rstrip(b" ") == payload
+
+
+def test_damaged_streams_raise_or_differ():
+    rng = np.random.default_rng(5)
+    payload = b" ".join(rng.choice([b"some", b"words", b"again", b"and", b"longer passages"], 400).tolist())
+    media = bytearray(W.store(payload))
+    for at in rng.integers(40, len(media), 40).tolist():
+        changed = media.copy()
+        changed[at] ^= 1 << at % 8
+        try:
+            assert W.load(bytes(changed)).shape[1] > 0
+        except (ValueError, IndexError):
+            pass
+    for end in range(60, len(media) - 2, 37):
+        with pytest.raises((ValueError, IndexError)):
+            W.load(bytes(media[:end]))
+
+
 @pytest.mark.parametrize("where", ["sf", "edge"])
 def test_query(spark, where, edge_dir):
     where = "/root/testdata/sf0.001" if where == "sf" else edge_dir
