@@ -32,6 +32,8 @@ from terravane.llm.components import connected_components
 WORDS, PERCENT = 5, 75
 #: Text bytes of a block of documents; sets and hashes of a group that one task takes.
 BLOCK_BYTES, GROUP_SETS, GROUP_HASHES = 8 << 20, 10_000, 2_000_000
+#: Bytes of a word from which on words are hashed one by one.
+LONG_WORD = 64
 #: Odd multipliers for mixing 64-bit hashes.
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -46,19 +48,36 @@ def _mix(h: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def shingle_sets(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Of each text its distinct shingle hashes, sorted, end to end, and where they begin."""
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word, from eight bytes at a time of all words; words of one length up to 8 never clash."""
     import xxhash
 
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    start = np.frombuffer(words.buffers()[1], np.int64 if pa.types.is_large_string(words.type) else np.int32, len(words) + 1, words.offset * (8 if pa.types.is_large_string(words.type) else 4)).astype(np.int64)
+    first, size = start[0], np.diff(start)
+    start = start[:-1] - first
+    data = bytes(memoryview(words.buffers()[2] or b"")[first : first + size.sum()]) + bytes(8)
+    chunk = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    out = _mix(size.astype(np.uint64), 0)
+    for k in range(0, min(int(size.max()), LONG_WORD), 8):
+        some = np.flatnonzero(size > k) if k else slice(None)
+        room = np.maximum(64 - 8 * (size[some] - k), 0).astype(np.uint64)
+        low = np.where(room < 64, (chunk[start[some] + k] << np.minimum(room, 63)) >> np.minimum(room, 63), np.uint64(0))
+        out[some] = _mix(_mix(out[some] ^ low, 1), 2)
+    for k in np.flatnonzero(size > LONG_WORD).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[start[k] : start[k] + size[k]])
+    return out
+
+
+def shingle_sets(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text its distinct shingle hashes, sorted, end to end, and where they begin."""
     split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
     off, values = np.asarray(split.offsets, np.int64), split.values
     off, values = off - off[0], values.slice(off[0], off[-1] - off[0])
     real = pc.greater(pc.binary_length(values), 0)
     off = np.r_[0, np.cumsum(real.to_numpy(zero_copy_only=False))][off]
-    coded = values.filter(real).dictionary_encode()
-    names = coded.dictionary.to_pylist()
-    hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))
-    h = hashed[np.asarray(coded.indices)] if names else np.zeros(0, np.uint64)
+    h = word_hashes(values.filter(real))
     n = np.diff(off)
     out, doc = [], []
     for size in range(1, words + 1):  # texts of fewer words give their one sequence

@@ -2,7 +2,9 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 
 from terravane.llm import ngram_join as J
 from terravane.llm.components import connected_components
@@ -108,3 +110,17 @@ def test_repeated_id_drops_only_the_near_copy(spark):
     rows = [(1, copy), (10, copy + " more"), (10, clean), (10, clean), (10, None), (12, copy), (13, "short"), (None, copy)]
     got = J.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted([(1, copy), (10, clean), (10, None), (13, "short"), (None, copy)], key=repr)
+
+
+def test_word_hashes(monkeypatch):
+    """Equal words, equal hashes wherever they stand; no step for each word but the very long ones."""
+    rng = np.random.default_rng(2)
+    words = ["", "\0", "\0\0", "a", "a\0", "é", "x" * 64, "x" * 65, "x" * 5000] + ["".join(map(chr, rng.integers(97, 123, n))) for n in rng.integers(1, 40, 3000).tolist()]
+    calls = []
+    digest = xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(xxhash, "xxh3_64_intdigest", lambda b: calls.append(b) or digest(b))
+    got = J.word_hashes(pa.array(words))
+    assert len(calls) == 2 and len(set(got.tolist())) == len(set(words))
+    back = J.word_hashes(pa.array(words[::-1] + ["y"]).slice(0, len(words)))
+    assert (back[::-1] == got).all() and (J.word_hashes(pa.array(words, pa.large_string())) == got).all()
+    assert (J.word_hashes(pa.array(words).slice(5, 2000)) == got[5:2005]).all()
